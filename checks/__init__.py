@@ -1,0 +1,10 @@
+"""Checked queries over the test tables."""
+
+import importlib
+
+MODULES = ["stats_checks", "task_checks"]
+
+
+def load_all() -> None:
+    for name in MODULES:
+        importlib.import_module(f"checks.{name}")

@@ -32,6 +32,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
     """One row per key: ``n, total, low, high, m2`` (sum of squared deviations) and the value
     at every wanted 1-based rank. ``ranks`` maps output names to columns over ``n``."""
     keys = list(keys)
+    if not keys:
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
     base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     base = base.withColumn("_cell", value_cell(F.col("_v")))
     cells = base.groupBy(*keys, "_cell").agg(
@@ -46,53 +48,49 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
     cells = cells.withColumns(
         {
             "n": F.sum("_n").over(whole),
-            "_mean": F.sum("_s").over(whole) / F.sum("_n").over(whole),
+            "total": F.sum("_s").over(whole),
+            "low": F.min("_lo").over(whole),
+            "high": F.max("_hi").over(whole),
             "_upto": F.sum("_n").over(upto),
         }
     )
-    spread = F.col("_s") / F.col("_n") - F.col("_mean")
-    stats = cells.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.sum("_s").alias("total"),
-        F.min("_lo").alias("low"),
-        F.max("_hi").alias("high"),
-        F.sum(F.col("_var") * F.col("_n") + F.col("_n") * spread * spread).alias("m2"),
-    )
-    if not ranks:
-        return stats
+    gap = F.col("_s") / F.col("_n") - F.col("total") / F.col("n")
+    cells = cells.withColumn("m2", F.sum((F.col("_var") + gap * gap) * F.col("_n")).over(whole))
+    cells = cells.withColumn("_skip", F.col("_upto") - F.col("_n"))
+    stats = ["n", "total", "low", "high", "m2"]
     names = list(ranks)
-    wanted = (
-        cells.select(
-            *keys,
-            "_cell",
-            "_lo",
-            "_hi",
-            (F.col("_upto") - F.col("_n")).alias("_skip"),
-            F.col("_upto"),
-            F.explode(F.array(*[F.struct(F.lit(k).alias("name"), ranks[k].cast("bigint").alias("rank")) for k in names])).alias("_w"),
-        )
-        .where((F.col("_w.rank") > F.col("_skip")) & (F.col("_w.rank") <= F.col("_upto")))
-        .select(*keys, "_cell", "_lo", "_hi", "_skip", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
-    )
+    wants = F.array(*[F.struct(F.lit(k).alias("_name"), ranks[k].cast("bigint").alias("rank")) for k in names])
+    # the cells that hold a wanted rank: at most one row per name and key
+    targets = cells.select(
+        *keys,
+        "_cell",
+        "_lo",
+        "_hi",
+        "_skip",
+        F.struct(*stats).alias("_stats"),
+        F.filter(wants, lambda w: (w.rank > F.col("_skip")) & (w.rank <= F.col("_upto"))).alias("_wants"),
+    ).where(F.size("_wants") > 0)
     part = keys + ["_cell"]
-    single = wanted.where(F.col("_lo") == F.col("_hi")).select(*keys, "_name", F.col("_lo").alias("_x"))
-    mixed = wanted.where(~(F.col("_lo") == F.col("_hi")))
-    looked_up = base.join(mixed.select(*part).distinct(), part, "left_semi").groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    looked_up = looked_up.withColumn(
-        "_cum", F.sum("_c").over(W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    single = targets.where(F.col("_lo") == F.col("_hi")).select(
+        *keys, "_stats", F.transform("_wants", lambda w: F.struct(w["_name"].alias("_name"), F.col("_lo").alias("_x"))).alias("_got")
     )
-    local = F.col("_rank") - F.col("_skip")
-    found = (
-        looked_up.join(mixed, part)
-        .where((local > F.col("_cum") - F.col("_c")) & (local <= F.col("_cum")))
-        .select(*keys, "_name", F.col("_v").alias("_x"))
+    mixed = targets.where(~(F.col("_lo") == F.col("_hi")))
+    counted = (
+        base.join(mixed.drop("_lo", "_hi"), part)
+        .groupBy(*part, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_stats", "_skip", "_wants")])
     )
-    picks = (
-        single.unionByName(found)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_name") == k, F.col("_x"))).alias(k) for k in names])
+    running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
+    hit = F.filter("_wants", lambda w: (w.rank > F.col("_to") - F.col("_c")) & (w.rank <= F.col("_to")))
+    found = counted.select(
+        *keys, "_stats", F.transform(hit, lambda w: F.struct(w["_name"].alias("_name"), F.col("_v").alias("_x"))).alias("_got")
+    ).where(F.size("_got") > 0)
+    picked = single.unionByName(found).select(*keys, "_stats", F.inline("_got"))
+    return picked.groupBy(*keys).agg(
+        *[F.first(f"_stats.{c}").alias(c) for c in stats],
+        *[F.max(F.when(F.col("_name") == k, F.col("_x"))).alias(k) for k in names],
     )
-    return stats.join(picks, keys) if keys else stats.crossJoin(picks)
 
 
 def exclusive_ranks(prefix: str, i: int, q: int) -> dict[str, Column]:
