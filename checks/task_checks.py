@@ -275,7 +275,7 @@ def _(spark, d):
     "task result",
     """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts_us, seq) AS attempt FROM result),
     walked AS (SELECT *, coalesce(bool_or(success) OVER (PARTITION BY task_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM numbered)
-    SELECT w.task_id, w.attempt, CAST(least(t.priority5 + w.attempt - 1, 4) AS INT) AS priority5, w.worker_id, w.success,
+    SELECT w.task_id, w.attempt, CAST(least(t.priority5 + w.attempt - 1, 4) AS INT) AS priority5, w.worker_id, w.processing_ms, w.success,
       CASE WHEN w.success THEN 'completed' WHEN w.attempt = 4 THEN 'failed' ELSE 'retried' END AS outcome, w.error
     FROM walked w JOIN task t ON w.task_id = t.task_id WHERE w.attempt <= 4 AND NOT w.over""",
 )

@@ -37,7 +37,9 @@ VIEWS = {
       UNION ALL SELECT task_id, queue_id, pool, priority5, priority7, completed_us, task_id * 8 + 3,
         CASE WHEN task_id % 10 = 1 THEN 'failed' ELSE 'completed' END FROM task WHERE status = 'completed'
       UNION ALL SELECT task_id, queue_id, pool, priority5, priority7, created_us + 86400000000, task_id * 8 + 4, 'cancelled'
-        FROM task WHERE status = 'pending' AND task_id % 11 = 0)""",
+        FROM task WHERE status = 'pending' AND task_id % 11 = 0
+      UNION ALL SELECT task_id, queue_id, pool, priority5, priority7, deadline_us, task_id * 8 + 5, 'deadline_missed'
+        FROM task WHERE status = 'pending' AND deadline_us IS NOT NULL AND task_id % 17 = 0)""",
     "queue_event": """
     SELECT * FROM (
       SELECT queue_id, task_id, priority5, created_us AS ts_us, task_id * 4 AS seq, 'put' AS event FROM task

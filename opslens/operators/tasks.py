@@ -266,6 +266,7 @@ def retry_chain(attempts: DataFrame, tasks: DataFrame, max_retries: int = 3, wid
         "attempt",
         F.least(F.col("priority5") + F.col("attempt") - 1, F.lit(4)).cast("int").alias("priority5"),
         "worker_id",
+        "processing_ms",
         "success",
         F.when(F.col("success"), "completed").when(last, "failed").otherwise("retried").alias("outcome"),
         F.when(~F.col("success"), F.col("error")).alias("error"),

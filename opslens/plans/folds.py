@@ -4,57 +4,138 @@ A fold whose step depends on the state so far cannot be a window frame. If the e
 chunk of rows can be written down without knowing the state before it, the fold still runs
 in parallel inside one key:
 
-1. each (key, chunk) group is summarised on its own,
+1. the rows of each (key, chunk) are folded into a short summary,
 2. the summaries of a key, one short row per chunk, are chained in order,
-3. each (key, chunk) group is replayed from the state it starts with.
+3. the rows of each (key, chunk) are replayed from the state they start with.
 
-Groups of steps 1 and 3 are as large as one chunk; the group of step 2 has one row per chunk.
+Steps 1 and 3 read sorted partitions as a stream of Arrow batches and hold one summary or
+state at a time, never a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def chunked_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    summarise: Callable[[pd.DataFrame], str],
-    chain: Callable[[list[str]], list[str]],
-    replay: Callable[[pd.DataFrame, str], pd.DataFrame],
-    schema: str,
-) -> DataFrame:
-    """``summarise`` turns the ordered rows of a chunk into text, ``chain`` turns the ordered
-    summaries of a key into the text of the state before each chunk, ``replay`` yields the
-    output rows of a chunk given that state."""
+class Fold:
+    """What a chunked fold computes. Summaries and states travel as text."""
+
+    # columns of the row handed to ``absorb`` and ``step``
+    columns: tuple[str, ...] = ()
+    # names and Spark types that ``step`` adds to each row
+    outputs: str = ""
+
+    def empty(self):
+        """Summary of no rows."""
+        raise NotImplementedError
+
+    def absorb(self, summary, row: tuple):
+        """Summary after one more row."""
+        raise NotImplementedError
+
+    def dump(self, summary) -> str:
+        raise NotImplementedError
+
+    def first_state(self) -> str:
+        """State before the first row of a key."""
+        raise NotImplementedError
+
+    def advance(self, state: str, summary: str) -> str:
+        """State after a chunk with this summary."""
+        raise NotImplementedError
+
+    def load(self, state: str):
+        raise NotImplementedError
+
+    def step(self, state, row: tuple):
+        """New state and the tuple of output values of this row."""
+        raise NotImplementedError
+
+
+def _spark_fields(df: DataFrame, names: Sequence[str]):
+    return [df.schema[n] for n in names]
+
+
+def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fold: Fold) -> DataFrame:
+    """The rows of ``df`` with the outputs of ``fold`` added, folded per key in ``order``."""
+    from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+
     keys, order = list(keys), list(order)
     base = df.withColumn("_chunk", chunk.cast("bigint"))
     part = keys + ["_chunk"]
-    key_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in keys]
-    part_schema = ", ".join(key_fields + ["_chunk bigint"])
-
-    def one_summary(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[part].iloc[:1].copy()
-        out["_text"] = summarise(rows.sort_values(order, kind="stable"))
-        return out[part + ["_text"]]
-
-    def one_chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_chunk", kind="stable")
-        out = rows[part].copy()
-        out["_text"] = chain(list(rows["_text"]))
-        return out[part + ["_text"]]
-
-    def one_replay(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[c.split()[0].strip("`") for c in schema.split(",")])
-        return replay(rows.sort_values(order, kind="stable").drop(columns="_chunk"), state["_text"].iloc[0])
-
-    grouped = base.groupBy(*part)
-    summaries = grouped.applyInPandas(one_summary, f"{part_schema}, _text string")
-    states = summaries.groupBy(*keys).applyInPandas(one_chain, f"{part_schema}, _text string")
-    return grouped.cogroup(states.groupBy(*part)).applyInPandas(one_replay, schema)
+    text_schema = StructType([*_spark_fields(base, part), StructField("_text", StringType())])
+    text_arrow = to_arrow_schema(text_schema)
+
+    def emit_texts(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(text_arrow)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, text_arrow)], schema=text_arrow)
+
+    def rows_of(batch: pa.RecordBatch, names: Sequence[str]) -> Iterable[tuple]:
+        return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]) if names else ()
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, summary = None, None
+        for batch in batches:
+            done = []
+            for key, row in zip(rows_of(batch, part), rows_of(batch, fold.columns)):
+                if key != group:
+                    if group is not None:
+                        done.append((*group, fold.dump(summary)))
+                    group, summary = key, fold.empty()
+                summary = fold.absorb(summary, row)
+            if done:
+                yield emit_texts(done)
+        if group is not None:
+            yield emit_texts([(*group, fold.dump(summary))])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            done = []
+            for *key, number, text in rows_of(batch, part + ["_text"]):
+                if key != group:
+                    group, state = key, fold.first_state()
+                done.append((*key, number, state))
+                state = fold.advance(state, text)
+            yield emit_texts(done)
+
+    added = _parse_datatype_string(fold.outputs)
+    out_schema = StructType([*df.schema.fields, *added.fields])
+    added_arrow = to_arrow_schema(added)
+    out_arrow = to_arrow_schema(out_schema)
+    kept = df.columns
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            mask, values = [], []
+            for mark, text, row in zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_mark", "_text")], rows_of(batch, fold.columns)):
+                if mark == 0:
+                    state = fold.load(text)
+                else:
+                    state, out = fold.step(state, row)
+                    values.append(out)
+                mask.append(mark == 1)
+            rows = batch.filter(pa.array(mask, pa.bool_()))
+            columns = list(zip(*values)) if values else [()] * len(added_arrow)
+            arrays = [rows.column(rows.schema.get_field_index(n)).cast(f.type) for n, f in zip(kept, out_arrow)]
+            arrays += [pa.array(list(c), f.type) for c, f in zip(columns, added_arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=out_arrow)
+
+    summaries = (
+        base.select(*dict.fromkeys([*part, *order, *fold.columns]))
+        .repartition(*part)
+        .sortWithinPartitions(*part, *order)
+        .mapInArrow(summarise, text_schema)
+    )
+    by_key = summaries.repartition(*keys) if keys else summaries.repartition(1)
+    states = by_key.sortWithinPartitions(*part).mapInArrow(chain, text_schema)
+    marked = base.withColumns({"_mark": F.lit(1), "_text": F.lit(None).cast("string")}).unionByName(
+        states.withColumn("_mark", F.lit(0)), allowMissingColumns=True
+    )
+    return marked.repartition(*part).sortWithinPartitions(*part, "_mark", *order).mapInArrow(replay, out_schema)
+

@@ -81,7 +81,7 @@ def task(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def task_event(spark: SparkSession, folder: str) -> DataFrame:
-    """Status moves: one scan of the task table, up to five rows per task, no join."""
+    """Status moves: one scan of the task table, up to six rows per task, no join."""
     t = task(spark, folder)
     key = F.col("task_id")
     ran = F.col("status") != "pending"
@@ -95,6 +95,7 @@ def task_event(spark: SparkSession, folder: str) -> DataFrame:
         step(2, ran, F.col("started_at"), F.lit("running")),
         step(3, F.col("status") == "completed", F.col("completed_at"), F.when(key % 10 == 1, "failed").otherwise("completed")),
         step(4, (F.col("status") == "pending") & (key % 11 == 0), shift(F.col("created_at"), F.lit(DAY_US)), F.lit("cancelled")),
+        step(5, (F.col("status") == "pending") & F.col("deadline").isNotNull() & (key % 17 == 0), F.col("deadline"), F.lit("deadline_missed")),
     )
     return t.select(
         "task_id", "queue_id", "pool", "priority5", "priority7", F.inline(F.filter(steps, lambda s: s.isNotNull()))
@@ -325,3 +326,28 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return views
+
+
+def counter_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of a cumulative counter per event type that restarts every 500 events."""
+    raw = _read(spark, folder, "events")
+    return raw.select(
+        F.col("event_type").alias("name"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+        (F.col("event_id") % 500).cast("double").alias("value"),
+    )
+
+
+def alert_rule(spark: SparkSession) -> DataFrame:
+    """One rule per event type, with hold times of hours to fit the density of the samples."""
+    from opslens.functions.fixed import RULE_SCHEMA
+
+    rows = [
+        ("HighView", "view", {}, ">", 50.0, 3600, "warning", "view"),
+        ("HighClick", "click", {"user": "7"}, ">", 75.0, 7200, "warning", "click"),
+        ("HighError", "error", {}, ">", 20.0, 18000, "critical", "error"),
+        ("LowSignup", "signup", {}, "<", 125.0, 36000, "info", "signup"),
+        ("HighPurchase", "purchase", {}, ">=", 10.0, 3600, "warning", "purchase"),
+    ]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
