@@ -28,8 +28,8 @@ def metric_summary(samples: DataFrame, keys: Sequence[str] = ("name",), value: s
     """
     n = F.col("n")
     ranks = {
-        "mid_a": F.floor((n + 1) / 2),
-        "mid_b": F.floor(n / 2) + 1,
+        "mid_a": "(n + 1) div 2",
+        "mid_b": "n div 2 + 1",
         **exclusive_ranks("p95", 19, 20),
         **exclusive_ranks("p99", 99, 100),
     }

@@ -14,28 +14,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CELLS_PER_OCTAVE = 65536
 
 
-def value_cell(v: Column) -> Column:
-    """Monotone cell number of a double. Scaling by a power of two is exact, and an exponent
-    that is off by one next to a power of two gives the same cell."""
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size))
-    scaled = size / F.pow(F.lit(2.0), exponent.cast("double"))
-    fine = (exponent + 1100) * CELLS_PER_OCTAVE + F.floor((scaled - 1.0) * CELLS_PER_OCTAVE)
-    top = F.lit(4000 * CELLS_PER_OCTAVE).cast("bigint")
-    magnitude = (
-        F.when(F.isnan(v) | (size == float("inf")), top).when(size == 0, F.lit(0).cast("bigint")).otherwise(fine)
+def value_cell(column: str) -> Column:
+    """Monotone cell number of a double column. Scaling by a power of two is exact, and an
+    exponent that is off by one next to a power of two gives the same cell."""
+    k, top = CELLS_PER_OCTAVE, 4000 * CELLS_PER_OCTAVE
+    exponent = f"floor(log2(abs({column})))"
+    fine = f"({exponent} + 1100) * {k} + floor((abs({column}) / pow(2D, double({exponent})) - 1) * {k})"
+    return F.expr(
+        f"CASE WHEN isnan({column}) THEN bigint({top} + 1) WHEN {column} = 0 THEN bigint(0)"
+        f" WHEN {column} = double('infinity') THEN bigint({top}) WHEN {column} = double('-infinity') THEN bigint(-{top})"
+        f" ELSE bigint(sign({column})) * bigint({fine}) END"
     )
-    return F.when(F.isnan(v), top + 1).when(v < 0, -magnitude).otherwise(magnitude)
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, str]) -> DataFrame:
     """One row per key: ``n, total, low, high, m2`` (sum of squared deviations) and the value
-    at every wanted 1-based rank. ``ranks`` maps output names to columns over ``n``."""
+    at every wanted 1-based rank. ``ranks`` maps output names to SQL over ``n``."""
     keys = list(keys)
     if not keys:
         return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
     base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    base = base.withColumn("_cell", value_cell(F.col("_v")))
+    base = base.withColumn("_cell", value_cell("_v"))
     cells = base.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_v").alias("_s"),
@@ -59,7 +58,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
     cells = cells.withColumn("_skip", F.col("_upto") - F.col("_n"))
     stats = ["n", "total", "low", "high", "m2"]
     names = list(ranks)
-    wants = F.array(*[F.struct(F.lit(k).alias("_name"), ranks[k].cast("bigint").alias("rank")) for k in names])
+    each = ", ".join(f"named_struct('_name', '{k}', 'rank', bigint({ranks[k]}))" for k in names)
     # the cells that hold a wanted rank: at most one row per name and key
     targets = cells.select(
         *keys,
@@ -68,11 +67,11 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
         "_hi",
         "_skip",
         F.struct(*stats).alias("_stats"),
-        F.filter(wants, lambda w: (w.rank > F.col("_skip")) & (w.rank <= F.col("_upto"))).alias("_wants"),
+        F.expr(f"filter(array({each}), w -> w.rank > _skip AND w.rank <= _upto)").alias("_wants"),
     ).where(F.size("_wants") > 0)
     part = keys + ["_cell"]
     single = targets.where(F.col("_lo") == F.col("_hi")).select(
-        *keys, "_stats", F.transform("_wants", lambda w: F.struct(w["_name"].alias("_name"), F.col("_lo").alias("_x"))).alias("_got")
+        *keys, "_stats", F.expr("transform(_wants, w -> named_struct('_name', w._name, '_x', _lo))").alias("_got")
     )
     mixed = targets.where(~(F.col("_lo") == F.col("_hi")))
     counted = (
@@ -82,31 +81,28 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
     )
     running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
-    hit = F.filter("_wants", lambda w: (w.rank > F.col("_to") - F.col("_c")) & (w.rank <= F.col("_to")))
+    hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"
     found = counted.select(
-        *keys, "_stats", F.transform(hit, lambda w: F.struct(w["_name"].alias("_name"), F.col("_v").alias("_x"))).alias("_got")
+        *keys, "_stats", F.expr(f"transform({hit}, w -> named_struct('_name', w._name, '_x', _v))").alias("_got")
     ).where(F.size("_got") > 0)
     picked = single.unionByName(found).select(*keys, "_stats", F.inline("_got"))
     return picked.groupBy(*keys).agg(
-        *[F.first(f"_stats.{c}").alias(c) for c in stats],
-        *[F.max(F.when(F.col("_name") == k, F.col("_x"))).alias(k) for k in names],
+        *[F.expr(f"first(_stats.{c}) AS {c}") for c in stats],
+        *[F.expr(f"max(CASE WHEN _name = '{k}' THEN _x END) AS {k}") for k in names],
     )
 
 
-def exclusive_ranks(prefix: str, i: int, q: int) -> dict[str, Column]:
+def exclusive_ranks(prefix: str, i: int, q: int) -> dict[str, str]:
     """Ranks that the exclusive quantile i/q of n values interpolates between."""
     j = _exclusive_j(i, q)
-    return {f"{prefix}_a": j, f"{prefix}_b": F.least(j + 1, F.col("n"))}
+    return {f"{prefix}_a": j, f"{prefix}_b": f"least({j} + 1, n)"}
 
 
-def _exclusive_j(i: int, q: int) -> Column:
-    j = F.floor(F.lit(i) * (F.col("n") + 1) / F.lit(q))
-    return F.greatest(F.lit(1), F.least(j, F.col("n") - 1))
+def _exclusive_j(i: int, q: int) -> str:
+    return f"greatest(1, least({i} * (n + 1) div {q}, n - 1))"
 
 
 def exclusive_value(prefix: str, i: int, q: int) -> Column:
     """Exclusive-method quantile i/q from the two picked values; may exceed the maximum."""
-    j = _exclusive_j(i, q)
-    d = F.lit(i) * (F.col("n") + 1) - j * F.lit(q)
-    a, b = F.col(f"{prefix}_a"), F.col(f"{prefix}_b")
-    return F.when(F.col("n") == 1, a).otherwise((a * (F.lit(q) - d) + b * d) / F.lit(q))
+    d = f"({i} * (n + 1) - {_exclusive_j(i, q)} * {q})"
+    return F.expr(f"CASE WHEN n = 1 THEN {prefix}_a ELSE ({prefix}_a * ({q} - {d}) + {prefix}_b * {d}) / {q} END")

@@ -40,43 +40,41 @@ def shift(ts: Column, micros: Column) -> Column:
 
 def task(spark: SparkSession, folder: str) -> DataFrame:
     """One row per task with constraints, measured times and dependencies."""
-    raw = _read(spark, folder, "orders")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    p5 = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    created = F.col("o_orderdate").cast("timestamp")
-    # fixed values: five-level to seven-level priority
-    p7 = F.element_at(F.array(*[F.lit(x) for x in (100, 90, 80, 50, 20)]), p5 + 1)
-    scheduled = key * 7919 % 1000 * 1000
-    started = scheduled + key * 31 % 50 * 1000
-    completed = started + cust * 131 % 6000 * 1000
-    done = F.col("o_orderstatus") == "F"
-    deps = F.filter(F.array(key - 1, key - 2), lambda x: x >= 0)
-    return raw.select(
-        key.alias("task_id"),
-        cust.alias("queue_id"),
-        F.concat(
-            F.element_at(F.array(F.lit("perception_"), F.lit("reasoning_system1_"), F.lit("memory_")), (key % 3 + 1).cast("int")),
-            key.cast("string"),
-        ).alias("name"),
-        p5.alias("priority5"),
-        p7.alias("priority7"),
-        F.when(done, "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("running").alias("status"),
-        created.alias("created_at"),
-        F.when(key % 7 != 0, shift(created, key % 60 * DAY_US)).alias("deadline"),
-        shift(created, key % 45 * DAY_US).alias("min_start_time"),
-        (cust % 900 + 100).alias("max_duration_ms"),
-        (key % 1000).cast("double").alias("max_latency_ms"),
-        (key % 5 == 0).alias("is_hard_realtime"),
-        (key % 4 != 0).alias("is_preemptible"),
-        shift(created, scheduled).alias("scheduled_at"),
-        shift(created, started).alias("started_at"),
-        F.when(done, shift(created, completed)).alias("completed_at"),
-        (cust % 10).alias("pool"),
-        F.floor(key / 10).alias("batch_id"),
-        F.when(key % 3 == 0, deps).otherwise(F.array().cast("array<bigint>")).alias("depends_on"),
-        F.element_at(F.array(F.lit("compute"), F.lit("io"), F.lit("memory"), F.lit("gpu")), (key % 4 + 1).cast("int")).alias("task_type"),
-        F.col("o_totalprice").alias("amount"),
-        key.alias("seq"),
+    raw = _read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS s", "timestamp(o_orderdate) AS at",
+        "int(substring(o_orderpriority, 1, 1)) - 1 AS p", "o_totalprice AS amount",
+    )
+    scheduled = "k * 7919 % 1000 * 1000"
+    started = f"{scheduled} + k * 31 % 50 * 1000"
+    completed = f"{started} + c * 131 % 6000 * 1000"
+
+    def later(micros: str) -> str:
+        return f"timestamp_micros(unix_micros(at) + {micros})"
+
+    return raw.selectExpr(
+        "k AS task_id",
+        "c AS queue_id",
+        "concat(element_at(array('perception_', 'reasoning_system1_', 'memory_'), int(k % 3 + 1)), string(k)) AS name",
+        "p AS priority5",
+        # fixed values: five-level to seven-level priority
+        "element_at(array(100, 90, 80, 50, 20), p + 1) AS priority7",
+        "CASE s WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'running' END AS status",
+        "at AS created_at",
+        f"CASE WHEN k % 7 <> 0 THEN {later(f'k % 60 * {DAY_US}')} END AS deadline",
+        f"{later(f'k % 45 * {DAY_US}')} AS min_start_time",
+        "c % 900 + 100 AS max_duration_ms",
+        "double(k % 1000) AS max_latency_ms",
+        "k % 5 = 0 AS is_hard_realtime",
+        "k % 4 <> 0 AS is_preemptible",
+        f"{later(scheduled)} AS scheduled_at",
+        f"{later(started)} AS started_at",
+        f"CASE WHEN s = 'F' THEN {later(completed)} END AS completed_at",
+        "c % 10 AS pool",
+        "k div 10 AS batch_id",
+        "CASE WHEN k % 3 = 0 THEN filter(array(k - 1, k - 2), x -> x >= 0) ELSE cast(array() AS array<bigint>) END AS depends_on",
+        "element_at(array('compute', 'io', 'memory', 'gpu'), int(k % 4 + 1)) AS task_type",
+        "amount",
+        "k AS seq",
     )
 
 
