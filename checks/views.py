@@ -1,6 +1,33 @@
 """The canonical tables once more as plain SQL, for the independent check engine."""
 
 VIEWS = {
+    "leaf": """
+    SELECT d.scope, d.source, d.priority, d.loaded_seq, x.path, x.value, x.value_type FROM (
+      SELECT o_custkey AS scope, 's' || CAST(o_orderkey % 3 AS VARCHAR) AS source, o_orderkey % 5 AS priority, o_orderkey AS loaded_seq FROM orders) d,
+    LATERAL (SELECT unnest([
+      {'path': 'name', 'value': 'web-' || CAST(loaded_seq % 17 AS VARCHAR), 'value_type': 'string'},
+      {'path': CASE WHEN loaded_seq % 7 = 0 THEN 'server' ELSE 'server.host' END, 'value': CASE WHEN loaded_seq % 7 = 0 THEN 'down' ELSE 'host' || CAST(loaded_seq % 9 AS VARCHAR) END, 'value_type': 'string'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 THEN 'server.port' END, 'value': CAST(loaded_seq % 70000 AS VARCHAR), 'value_type': 'int'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 THEN 'server.ssl.enabled' END, 'value': CAST(loaded_seq % 2 = 0 AS VARCHAR), 'value_type': 'bool'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 THEN 'db.password' END, 'value': 'pw' || CAST(loaded_seq % 5 AS VARCHAR), 'value_type': 'string'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 THEN 'db.url' END, 'value': 'http://db' || CAST(loaded_seq % 4 AS VARCHAR) || '/${REGION}/${TIER:-basic}', 'value_type': 'string'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 AND loaded_seq % 6 <> 0 THEN 'db.pool_size' END, 'value': CAST(scope % 20 AS VARCHAR), 'value_type': 'int'},
+      {'path': CASE WHEN loaded_seq % 7 <> 0 THEN 'tags' END, 'value': '["' || CAST(loaded_seq % 3 AS VARCHAR) || '","x"]', 'value_type': 'list'}]) AS x) t
+    WHERE x.path IS NOT NULL""",
+    "merged": """
+    SELECT l.scope, l.path, l.value, l.value_type, l.priority, l.loaded_seq FROM (
+      SELECT *, row_number() OVER (PARTITION BY scope, path ORDER BY priority DESC, loaded_seq DESC) AS rn,
+        max(CASE WHEN path = 'server' THEN priority * 1000000000 + loaded_seq END) OVER (PARTITION BY scope) AS flat_rank,
+        max(CASE WHEN path LIKE 'server.%' THEN priority * 1000000000 + loaded_seq END) OVER (PARTITION BY scope) AS deep_rank
+      FROM leaf) l
+    WHERE rn = 1 AND NOT (path = 'server' AND coalesce(deep_rank, -1) > flat_rank)
+      AND NOT (path LIKE 'server.%' AND coalesce(flat_rank, -1) > priority * 1000000000 + loaded_seq)""",
+    "env": """
+    SELECT c_custkey AS scope, x.name, x.value FROM customer, LATERAL (SELECT unnest([
+      {'name': CASE WHEN c_custkey % 2 = 0 THEN 'REGION' END, 'value': 'r' || CAST(c_nationkey AS VARCHAR)},
+      {'name': CASE WHEN c_custkey % 3 = 0 THEN 'TIER' END, 'value': lower(c_mktsegment)},
+      {'name': 'APP_SERVER__PORT', 'value': CAST(c_custkey % 9000 AS VARCHAR)}, {'name': 'APP_SERVER__HOST', 'value': c_name},
+      {'name': 'APP_DEBUG', 'value': CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END}]) AS x) t WHERE x.name IS NOT NULL""",
     "task": """
     SELECT o_orderkey AS task_id, o_custkey AS queue_id,
       (['perception_','reasoning_system1_','memory_'])[CAST(o_orderkey % 3 + 1 AS INT)] || CAST(o_orderkey AS VARCHAR) AS name,
@@ -92,6 +119,7 @@ VIEWS = {
 
 # what each view reads from the other views
 NEEDS = {
+    "merged": ["leaf"],
     "latency": ["task"],
     "task_event": ["task"],
     "queue_event": ["task"],

@@ -44,7 +44,7 @@ LIFECYCLE = [
 SENSITIVE_WORDS = ["password", "secret", "key", "token", "credential"]
 
 # Shape of an accepted URL.
-URL_PATTERN = r"^https?://[\w\-._~:/?#[\]@!$&'()*+,;=]+$"
+URL_PATTERN = r"^https?://[\w\-._~:/?#\[\]@!$&'()*+,;=]+$"
 
 # Threshold rules: name, metric, label matcher, comparison, threshold, hold seconds, severity, component.
 ALERT_RULES = [
