@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # histories keep up to 10,000 rows per key; prune them on the map side too
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # streaming state outside the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DAY_US = 86_400_000_000
+STREAM = "stream!"
 
 TABLE_NAMES = (
     "task",
@@ -30,9 +31,18 @@ TABLE_NAMES = (
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    if folder.startswith(STREAM):
+        from opslens.streaming.jobs import read_stream
+
+        return read_stream(spark, folder.removeprefix(STREAM), f"{name}.parquet")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def as_stream(folder: str) -> str:
+    """The same folder, read as a stream by the row-wise views."""
+    return STREAM + folder
+
+
 def shift(ts: Column, micros: Column) -> Column:
     """Timestamp moved by a whole number of microseconds."""
     return F.timestamp_micros(F.unix_micros(ts) + micros.cast("bigint"))
