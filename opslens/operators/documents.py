@@ -39,23 +39,20 @@ def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = False, depth:
     keep = [c for c in docs.columns if c != doc]
     braces = F.length(doc) - F.length(F.replace(F.col(doc), F.lit("{"), F.lit("")))
     shallow = docs.where(braces <= depth)
-    level = shallow.select(*keep, F.lit("").alias("path"), strict_json(doc).alias("_v"))
-    level = level.where(F.expr("try_variant_get(_v, '$', 'map<string,variant>') IS NOT NULL"))
-    # an object gives one row per entry, anything else stays; an empty object keeps its path and a null value
-    entries = F.expr(
-        "coalesce(transform(map_entries(try_variant_get(_v, '$', 'map<string,variant>')), "
-        "e -> struct(concat_ws('.', nullif(_p, ''), e.key) AS path, e.value AS _v)), array(struct(_p AS path, _v)))"
-    )
+    inner = "try_variant_get(_v, '$', 'map<string,variant>')"
+    level = shallow.select(*keep, F.lit(None).cast("string").alias("path"), strict_json(doc).alias("_v")).where(f"{inner} IS NOT NULL")
     for _ in range(depth):
-        level = level.withColumnRenamed("path", "_p").select(*keep, "_p", F.inline_outer(entries))
-        level = level.select(*keep, F.coalesce("path", "_p").alias("path"), "_v")
+        # an object gives a row per entry; anything else, and an empty object, stays as it is
+        level = level.selectExpr(*[f"`{c}`" for c in keep], "path", "_v", f"explode_outer({inner}) AS (_key, _item)")
+        level = level.selectExpr(*[f"`{c}`" for c in keep], "concat_ws('.', path, _key) AS path", "coalesce(_item, _v) AS _v")
+        level = level.withColumn("path", F.nullif("path", F.lit("")))
     typed = level.withColumn("_k", F.schema_of_variant("_v")).selectExpr(
         *[f"`{c}`" for c in keep],
         "path",
-        "CASE WHEN _k IS NULL THEN '{}' WHEN _k <> 'VOID' THEN string(_v) END AS value",
-        "CASE WHEN _k IS NULL THEN 'dict' ELSE " + KIND_SQL.format(k="_k") + " END AS value_type",
+        "CASE WHEN _k <> 'VOID' THEN string(_v) END AS value",
+        KIND_SQL.format(k="_k") + " AS value_type",
     )
-    typed = typed.where(F.col("path") != "")
+    typed = typed.where(F.col("path").isNotNull())
     if not keep_empty:
         typed = typed.where(F.col("value_type") != "dict")
 

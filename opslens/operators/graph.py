@@ -23,22 +23,34 @@ def _trim(edges: DataFrame, rounds: int) -> DataFrame:
     return edges.select("waiter", "holder")
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def _links(edges: DataFrame) -> DataFrame:
+    """Ways a label travels: ahead along an edge, back along it, and to the node itself. One
+    frame, so that a round reads the labels once; kept partitioned by its source."""
+    ways = F.array(
+        F.struct(F.col("waiter").alias("node"), F.col("holder").alias("to"), F.lit("ahead").alias("way")),
+        F.struct(F.col("holder").alias("node"), F.col("waiter").alias("to"), F.lit("back").alias("way")),
+        F.struct(F.col("waiter").alias("node"), F.col("waiter").alias("to"), F.lit("self").alias("way")),
+        F.struct(F.col("holder").alias("node"), F.col("holder").alias("to"), F.lit("self").alias("way")),
+    )
+    return cut_lineage(edges.select(F.inline(ways)).distinct().repartition("node"))
+
+
+def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
     """One round: each node takes the smallest forward and backward label of its neighbours."""
-    known = labels.select("node", "fwd", "bwd")
-    ahead = edges.join(known, edges.waiter == known.node).select(F.col("holder").alias("node"), "fwd", F.lit(None).cast("bigint").alias("bwd"))
-    behind = edges.join(known, edges.holder == known.node).select(F.col("waiter").alias("node"), F.lit(None).cast("bigint").alias("fwd"), "bwd")
-    # the old labels take part with a marker, so one aggregate gives new value and change
-    own = known.select("node", "fwd", "bwd", F.col("fwd").alias("was_fwd"), F.col("bwd").alias("was_bwd"))
-    heard = ahead.unionByName(behind).unionByName(own, allowMissingColumns=True)
     return (
-        heard.groupBy("node")
-        .agg(F.min("fwd").alias("fwd"), F.min("bwd").alias("bwd"), F.max("was_fwd").alias("_f"), F.max("was_bwd").alias("_b"))
+        links.join(labels, "node")
+        .groupBy(F.col("to").alias("node"))
+        .agg(
+            F.expr("min(fwd) FILTER (WHERE way <> 'back')").alias("fwd"),
+            F.expr("min(bwd) FILTER (WHERE way <> 'ahead')").alias("bwd"),
+            F.expr("max(fwd) FILTER (WHERE way = 'self')").alias("_f"),
+            F.expr("max(bwd) FILTER (WHERE way = 'self')").alias("_b"),
+        )
         .select("node", "fwd", "bwd", ((F.col("fwd") != F.col("_f")) | (F.col("bwd") != F.col("_b"))).alias("changed"))
     )
 
 
-def deadlocked_tasks(edges: DataFrame, steps_per_cut: int = 3, max_passes: int = 1000) -> DataFrame:
+def deadlocked_tasks(edges: DataFrame, steps_per_cut: int = 4, max_passes: int = 1000) -> DataFrame:
     """Every task on a cycle with the smallest task id of its component.
 
     Repeated passes of two label propagations: ``fwd`` is the smallest id that reaches a node,
@@ -47,16 +59,17 @@ def deadlocked_tasks(edges: DataFrame, steps_per_cut: int = 3, max_passes: int =
     at least the node with the smallest id, so the loop always ends; lineage is cut by a
     reliable checkpoint every few rounds.
     """
-    edges = cut_lineage(_trim(edges.select(F.col("waiter").cast("bigint"), F.col("holder").cast("bigint")), 2))
+    edges = cut_lineage(edges.select(F.col("waiter").cast("bigint"), F.col("holder").cast("bigint")))
+    edges = cut_lineage(_trim(edges, 2))
     found = None
     for _ in range(max_passes):
         if edges.isEmpty():
             break
-        nodes = edges.select(F.explode(F.array("waiter", "holder")).alias("node")).distinct()
-        labels = nodes.select("node", F.col("node").alias("fwd"), F.col("node").alias("bwd"), F.lit(True).alias("changed"))
+        links = _links(edges)
+        labels = links.where("way = 'self'").select("node", F.col("node").alias("fwd"), F.col("node").alias("bwd"))
         while True:
             for _ in range(steps_per_cut):
-                labels = _spread(labels, edges)
+                labels = _spread(labels.select("node", "fwd", "bwd"), links)
             labels = cut_lineage(labels)
             if labels.where("changed").isEmpty():
                 break

@@ -37,15 +37,17 @@ def performance_records(logs: DataFrame) -> DataFrame:
 
 def operation_stats(records: DataFrame, keys: Sequence[str] = ("operation",)) -> DataFrame:
     """Runs, failures and duration summary per operation."""
-    keys = list(keys)
-    runs = records.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("success")).alias("failures")
+    summary = metric_summary(records, keys, "duration_ms", {"failures": ~F.col("success")})
+    return summary.select(
+        *keys,
+        F.col("count").alias("runs"),
+        "failures",
+        "mean",
+        "median",
+        "p95",
+        "p99",
+        (F.col("failures") / F.col("count")).alias("failure_ratio"),
     )
-    # keys such as the layer may be null: the join must keep them
-    timing = metric_summary(records, keys, "duration_ms").select(*[F.col(k).alias(f"_{k}") for k in keys], "mean", "median", "p95", "p99")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = runs.join(timing, same, "left").drop(*[f"_{k}" for k in keys])
-    return joined.withColumn("failure_ratio", F.col("failures") / F.col("runs"))
 
 
 class ContextStack(Fold):

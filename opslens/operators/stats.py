@@ -21,8 +21,11 @@ def keep_last(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str] =
     return first_n(df, keys, [F.col(c).desc() for c in order], n, rank="_rn").drop("_rn")
 
 
-def metric_summary(samples: DataFrame, keys: Sequence[str] = ("name",), value: str = "value") -> DataFrame:
-    """count, sum, min, max, mean, median, p95, p99 and sample stddev per key.
+def metric_summary(
+    samples: DataFrame, keys: Sequence[str] = ("name",), value: str = "value", counts: dict[str, Column] | None = None
+) -> DataFrame:
+    """count, sum, min, max, mean, median, p95, p99 and sample stddev per key, and the number
+    of rows that meet each condition in ``counts``.
 
     p95 and p99 follow the exclusive method and may exceed the maximum.
     """
@@ -33,7 +36,7 @@ def metric_summary(samples: DataFrame, keys: Sequence[str] = ("name",), value: s
         **exclusive_ranks("p95", 19, 20),
         **exclusive_ranks("p99", 99, 100),
     }
-    stats = order_statistics(samples, keys, F.col(value), ranks)
+    stats = order_statistics(samples, keys, F.col(value), ranks, counts)
     return stats.select(
         *keys,
         n.alias("count"),
@@ -45,6 +48,7 @@ def metric_summary(samples: DataFrame, keys: Sequence[str] = ("name",), value: s
         exclusive_value("p95", 19, 20).alias("p95"),
         exclusive_value("p99", 99, 100).alias("p99"),
         F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).otherwise(0.0).alias("stddev"),
+        *(counts or {}),
     )
 
 

@@ -11,7 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from opslens.session import cut_lineage
+
 CELLS_PER_OCTAVE = 65536
+# a looked-up cell is some 300 bytes with its statistics, so this stays near 30 MB
+BROADCAST_ROWS = 100_000
 
 
 def value_cell(column: str) -> Column:
@@ -27,13 +31,22 @@ def value_cell(column: str) -> Column:
     )
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, str]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, str], counts: dict[str, Column] | None = None
+) -> DataFrame:
     """One row per key: ``n, total, low, high, m2`` (sum of squared deviations) and the value
-    at every wanted 1-based rank. ``ranks`` maps output names to SQL over ``n``."""
-    keys = list(keys)
+    at every wanted 1-based rank. ``ranks`` maps output names to SQL over ``n``; ``counts`` adds
+    numbers of rows that meet a condition.
+
+    The first pass runs at once: its result, the few cells per key that hold a wanted rank, is
+    checkpointed. If each of them has a single value, that is all. Otherwise the values of these
+    cells are looked up with a join that is broadcast only if their counted number is small.
+    """
+    keys, counts = list(keys), counts or {}
     if not keys:
-        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
-    base = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, counts).drop("_all")
+    marks = [F.when(c, 1).otherwise(0).alias(f"_is_{name}") for name, c in counts.items()]
+    base = df.select(*keys, value.cast("double").alias("_v"), *marks).where(F.col("_v").isNotNull())
     base = base.withColumn("_cell", value_cell("_v"))
     cells = base.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -41,6 +54,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.var_pop("_v").alias("_var"),
+        *[F.sum(f"_is_{name}").alias(f"_is_{name}") for name in counts],
     )
     whole = W.partitionBy(*keys)
     upto = whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -51,12 +65,13 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
             "low": F.min("_lo").over(whole),
             "high": F.max("_hi").over(whole),
             "_upto": F.sum("_n").over(upto),
+            **{name: F.sum(f"_is_{name}").over(whole) for name in counts},
         }
     )
     gap = F.col("_s") / F.col("_n") - F.col("total") / F.col("n")
     cells = cells.withColumn("m2", F.sum((F.col("_var") + gap * gap) * F.col("_n")).over(whole))
     cells = cells.withColumn("_skip", F.col("_upto") - F.col("_n"))
-    stats = ["n", "total", "low", "high", "m2"]
+    stats = ["n", "total", "low", "high", "m2", *counts]
     names = list(ranks)
     each = ", ".join(f"named_struct('_name', '{k}', 'rank', bigint({ranks[k]}))" for k in names)
     # the cells that hold a wanted rank: at most one row per name and key
@@ -69,26 +84,38 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
         F.struct(*stats).alias("_stats"),
         F.expr(f"filter(array({each}), w -> w.rank > _skip AND w.rank <= _upto)").alias("_wants"),
     ).where(F.size("_wants") > 0)
+    targets = cut_lineage(targets)
     part = keys + ["_cell"]
-    single = targets.where(F.col("_lo") == F.col("_hi")).select(
+    picked = targets.where(F.col("_lo") == F.col("_hi")).select(
         *keys, "_stats", F.expr("transform(_wants, w -> named_struct('_name', w._name, '_x', _lo))").alias("_got")
     )
     mixed = targets.where(~(F.col("_lo") == F.col("_hi")))
-    counted = (
-        base.join(mixed.drop("_lo", "_hi"), part)
-        .groupBy(*part, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_stats", "_skip", "_wants")])
-    )
-    running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
-    hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"
-    found = counted.select(
-        *keys, "_stats", F.expr(f"transform({hit}, w -> named_struct('_name', w._name, '_x', _v))").alias("_got")
-    ).where(F.size("_got") > 0)
-    picked = single.unionByName(found).select(*keys, "_stats", F.inline("_got"))
-    return picked.groupBy(*keys).agg(
-        *[F.expr(f"first(_stats.{c}) AS {c}") for c in stats],
-        *[F.expr(f"max(CASE WHEN _name = '{k}' THEN _x END) AS {k}") for k in names],
+    # one row more than the limit is enough to know
+    number = mixed.limit(BROADCAST_ROWS + 1).count()
+    if number:
+        wanted = mixed.drop("_lo", "_hi")
+        wanted = F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted
+        counted = (
+            base.select(*part, "_v")
+            .join(wanted.select(*part), part)
+            .groupBy(*part, "_v")
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .join(wanted, part)
+        )
+        running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
+        hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"
+        found = counted.select(
+            *keys, "_stats", F.expr(f"transform({hit}, w -> named_struct('_name', w._name, '_x', _v))").alias("_got")
+        ).where(F.size("_got") > 0)
+        picked = picked.unionByName(found)
+    return (
+        picked.select(*keys, "_stats", F.inline("_got"))
+        .groupBy(*keys)
+        .agg(
+            *[F.expr(f"first(_stats.{c}) AS {c}") for c in stats],
+            *[F.expr(f"max(CASE WHEN _name = '{k}' THEN _x END) AS {k}") for k in names],
+        )
     )
 
 
