@@ -149,7 +149,7 @@ def match_alert_rules(samples: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.where(selected).withColumns({"breach": breach, "series": format_labels("labels")})
 
 
-def breach_runs(matched: DataFrame, width: str = "1 day", keys: Sequence[str] = ("rule", "series")) -> DataFrame:
+def breach_runs(matched: DataFrame, width: str = "1 hour", keys: Sequence[str] = ("rule", "series")) -> DataFrame:
     """Adds ``since`` (start of the unbroken run of breaches) and ``firing``."""
     chunk = time_chunk("ts", width)
     order = ["ts", "seq"]
@@ -161,12 +161,12 @@ def breach_runs(matched: DataFrame, width: str = "1 day", keys: Sequence[str] =
     return marked.withColumn("since", since).withColumn("firing", F.coalesce(held, F.lit(False))).drop("_prev", "_start", "_since")
 
 
-def alert_for(samples: DataFrame, rules: DataFrame, width: str = "1 day") -> DataFrame:
+def alert_for(samples: DataFrame, rules: DataFrame, width: str = "1 hour") -> DataFrame:
     """Samples at which a rule has held for its ``for`` time."""
     return breach_runs(match_alert_rules(samples, rules), width).where("firing")
 
 
-def alert_episodes(samples: DataFrame, rules: DataFrame, width: str = "1 day") -> DataFrame:
+def alert_episodes(samples: DataFrame, rules: DataFrame, width: str = "1 hour") -> DataFrame:
     """Pending, firing and resolved time of every run of breaches."""
     keys = ["rule", "series"]
     runs = breach_runs(match_alert_rules(samples, rules), width)

@@ -19,6 +19,7 @@ from opslens.functions.fixed import SENSITIVE_WORDS, URL_PATTERN
 from opslens.functions.jsontree import leaves_of, mask_tree, nest
 from opslens.functions.strictjson import strict_json
 from opslens.plans.ordered import number_chunk, previous
+from opslens.session import cut_lineage
 
 LEAF = ["path", "value", "value_type"]
 KIND_SQL = (
@@ -37,7 +38,9 @@ def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = False, depth:
     deep, goes through a small Arrow-batched helper. Text that is not a JSON object gives no rows.
     """
     keep = [c for c in docs.columns if c != doc]
-    braces = F.length(doc) - F.length(F.replace(F.col(doc), F.lit("{"), F.lit("")))
+    # outside of strings no brace follows a dollar sign: references to variables do not count
+    plain = F.replace(F.col(doc), F.lit("$" + "{"), F.lit(""))
+    braces = F.length(plain) - F.length(F.replace(plain, F.lit("{"), F.lit("")))
     shallow = docs.where(braces <= depth)
     inner = "try_variant_get(_v, '$', 'map<string,variant>')"
     level = shallow.select(*keep, F.lit(None).cast("string").alias("path"), strict_json(doc).alias("_v")).where(f"{inner} IS NOT NULL")
@@ -147,11 +150,12 @@ def merge_by_priority(leaves: DataFrame, keys: Sequence[str] = ("scope",)) -> Da
     """
     keys = list(keys)
     # one row per path (and one more for an empty object at it); every later step reads this
-    # same aggregate, so its exchange is shared
+    # small result, so it is kept: parsing the documents once per step would cost more
     rank = F.struct("priority", "loaded_seq")
     nodes = leaves.groupBy(*keys, "path", (F.col("value_type") == "dict").alias("_empty")).agg(
         F.max_by(F.struct("value", "value_type", rank.alias("rank")), rank).alias("_n")
     )
+    nodes = cut_lineage(nodes)
     empty = F.col("_n.value_type") == "dict"
     winners = nodes.where(~empty).select(*keys, "path", "_n")
     # latest object seen at or around each path: leaves below it, or an empty object at it

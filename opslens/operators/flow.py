@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslens.plans.folds import Fold, chunked_fold
+from opslens.plans.folds import Fold, chunked_fold, folded_keys
 from opslens.plans.ordered import first_row, running_sum, time_chunk
 
 # ---------------------------------------------------------------- aggregates
@@ -119,13 +119,13 @@ def level_sizes(tasks: DataFrame, keys: Sequence[str], num_levels: int = 4) -> D
 # ---------------------------------------------------------------- over time
 
 
-def queue_depth(events: DataFrame, keys: Sequence[str] = ("queue_id",), width: str = "30 days") -> DataFrame:
+def queue_depth(events: DataFrame, keys: Sequence[str] = ("queue_id",), width: str = "1 hour") -> DataFrame:
     """Queue size after every event."""
     step = F.when(F.col("event") == "put", 1).when(F.col("event").isin("get", "expire", "remove"), -1).otherwise(0)
     return running_sum(events, keys, ["ts", "seq"], step.cast("bigint"), time_chunk("ts", width), "depth")
 
 
-def active_over_time(results: DataFrame, total_workers: int, keys: Sequence[str] = (), width: str = "1 day") -> DataFrame:
+def active_over_time(results: DataFrame, total_workers: int, keys: Sequence[str] = (), width: str = "1 hour") -> DataFrame:
     """Active attempts after every start or end, with utilisation percent.
 
     Starts and ends at the same instant are summed before anything is ordered.
@@ -232,44 +232,49 @@ class BoundedQueue(Fold):
         return depth, (accepted, depth)
 
 
-def admit(events: DataFrame, max_size: int, keys: Sequence[str] = ("queue_id",), width: str = "30 days") -> DataFrame:
+def admit(events: DataFrame, max_size: int, keys: Sequence[str] = ("queue_id",), width: str = "1 hour") -> DataFrame:
     """Replay of a bounded queue: a put on a full queue is rejected and adds no depth."""
     narrow = events.select(*keys, "ts", "seq", "event")
     return chunked_fold(narrow, keys, ["ts", "seq"], time_chunk("ts", width), BoundedQueue(max_size))
 
 
+class ClampedMoves(Fold):
+    """Composition of clamped steps: level -> ``min(max(level + a, lo), hi)``."""
+
+    columns = ("move",)
+
+    def __init__(self, top: int):
+        self.top = top
+
+    def empty(self):
+        return 0, 0, self.top
+
+    def absorb(self, summary, row):
+        a, lo, hi = summary
+        return a + row[0], min(max(lo + row[0], 0), self.top), min(max(hi + row[0], 0), self.top)
+
+    def dump(self, summary):
+        return " ".join(map(str, summary))
+
+    def first_state(self):
+        return self.dump(self.empty())
+
+    def advance(self, state, summary):
+        a, lo, hi = map(int, state.split())
+        b, low, high = map(int, summary.split())
+        return self.dump((a + b, min(max(lo + b, low), high), min(max(hi + b, low), high)))
+
+
 def apply_level_moves(
-    start: DataFrame, moves: DataFrame, num_levels: int = 4, key: str = "task_id", width: str = "30 days"
+    start: DataFrame, moves: DataFrame, num_levels: int = 4, key: str = "task_id", width: str = "1 hour"
 ) -> DataFrame:
     """Final feedback level after a sequence of demotions (+1) and promotions (-1).
 
-    ``start`` has ``(key, level)``, ``moves`` has ``(key, ts, seq, move)``. Every step is
-    clamped, so chunks of moves are folded to ``(a, lo, hi)`` first and then applied in order.
+    ``start`` has ``(key, level)``, ``moves`` has ``(key, ts, seq, move)``. Every step is clamped
+    to the levels there are.
     """
-    top = num_levels - 1
-    whole = "struct<a:bigint,lo:bigint,hi:bigint>"
-    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("lo"), F.lit(top).alias("hi")).cast(whole)
-
-    def clamp(x: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(top), x))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            (acc.a + x.move).alias("a"), clamp(acc.lo + x.move).alias("lo"), clamp(acc.hi + x.move).alias("hi")
-        ).cast(whole)
-
-    in_order = F.sort_array(F.collect_list(F.struct("ts", "seq", "move")))
-    per_chunk = (
-        moves.withColumn("_chunk", time_chunk("ts", width))
-        .groupBy(key, "_chunk")
-        .agg(in_order.alias("_steps"))
-        .select(key, "_chunk", F.aggregate("_steps", zero, step).alias("_map"))
-    )
-    per_key = per_chunk.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
-    joined = start.select(key, F.col("level").cast("bigint").alias("level")).join(per_key, key, "left")
-    final = F.aggregate(
-        F.coalesce("_maps", F.array().cast(f"array<struct<_chunk:bigint,_map:{whole}>>")),
-        F.col("level"),
-        lambda level, m: F.greatest(m._map.lo, F.least(m._map.hi, level + m._map.a)),
-    )
-    return joined.select(key, "level", final.alias("final_level"))
+    folded = folded_keys(moves.select(key, "ts", "seq", "move"), [key], ["ts", "seq"], time_chunk("ts", width), ClampedMoves(num_levels - 1))
+    joined = start.select(key, F.col("level").cast("bigint").alias("level")).join(folded, key, "left")
+    steps = F.transform(F.split("state", " "), lambda x: x.cast("bigint"))
+    moved = F.greatest(steps[1], F.least(steps[2], F.col("level") + steps[0]))
+    return joined.select(key, "level", F.when(F.col("state").isNull(), F.col("level")).otherwise(moved).alias("final_level"))

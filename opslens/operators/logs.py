@@ -100,7 +100,7 @@ class ContextStack(Fold):
         return stack, (top, len(stack))
 
 
-def enrich_with_context(rows: DataFrame, keys: Sequence[str] = ("thread_id",), width: str = "1 day") -> DataFrame:
+def enrich_with_context(rows: DataFrame, keys: Sequence[str] = ("thread_id",), width: str = "1 hour") -> DataFrame:
     """Log rows with the merged context that was active on their thread.
 
     ``rows`` holds ``enter``, ``exit`` and ``log`` rows (``kind``) with ``ts, seq`` and the JSON

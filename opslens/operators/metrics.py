@@ -48,13 +48,13 @@ def histogram_buckets(samples: DataFrame, keys: Sequence[str], bounds: Sequence[
     return counts.select(*keys, F.inline(rows))
 
 
-def counter_series(samples: DataFrame, keys: Sequence[str], width: str = "1 day") -> DataFrame:
+def counter_series(samples: DataFrame, keys: Sequence[str], width: str = "1 hour") -> DataFrame:
     """Running total of a counter at every increment."""
     good = samples.where(F.col("value") >= 0)
     return running_sum(good, keys, ["ts", "seq"], F.col("value"), time_chunk("ts", width), "total")
 
 
-def counter_delta(samples: DataFrame, keys: Sequence[str], width: str = "1 day") -> DataFrame:
+def counter_delta(samples: DataFrame, keys: Sequence[str], width: str = "1 hour") -> DataFrame:
     """Increase since the sample before; after a reset the value itself, null on the first."""
     stepped = previous(samples, keys, ["ts", "seq"], ["value"], time_chunk("ts", width), "_prev")
     grown = F.col("value") - F.col("_prev.value")
@@ -62,7 +62,7 @@ def counter_delta(samples: DataFrame, keys: Sequence[str], width: str = "1 day")
     return stepped.withColumn("delta", delta).drop("_prev")
 
 
-def counter_rate(samples: DataFrame, keys: Sequence[str], window: str = "5 minutes", width: str = "1 day") -> DataFrame:
+def counter_rate(samples: DataFrame, keys: Sequence[str], window: str = "5 minutes", width: str = "1 hour") -> DataFrame:
     """Increase per second and window of time."""
     seconds = width_us(window) / 1_000_000
     deltas = counter_delta(samples, keys, width)
@@ -74,7 +74,7 @@ def counter_rate(samples: DataFrame, keys: Sequence[str], window: str = "5 minut
 
 
 def latest_before(
-    probes: DataFrame, samples: DataFrame, keys: Sequence[str], columns: Sequence[str], width: str = "1 day", max_age_us: int | None = None
+    probes: DataFrame, samples: DataFrame, keys: Sequence[str], columns: Sequence[str], width: str = "1 hour", max_age_us: int | None = None
 ) -> DataFrame:
     """For every probe the latest sample of its key at or before it (as-of join).
 

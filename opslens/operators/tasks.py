@@ -116,7 +116,7 @@ def priority_order(tasks: DataFrame, keys: Sequence[str], width: int = 1_000_000
     return position(tasks, keys, [F.col(priority).desc(), F.col("seq")], chunk, "rank")
 
 
-def edf_order(tasks: DataFrame, keys: Sequence[str], as_of: Column, width: str = "1 day") -> DataFrame:
+def edf_order(tasks: DataFrame, keys: Sequence[str], as_of: Column, width: str = "1 hour") -> DataFrame:
     """``rank`` by earliest deadline (none last), with the late flag."""
     none = F.col("deadline").isNull()
     chunk = [none.cast("int"), F.coalesce(time_chunk("deadline", width), F.lit(0)), F.when(none, number_chunk("seq", 1_000_000)).otherwise(0)]
@@ -124,7 +124,7 @@ def edf_order(tasks: DataFrame, keys: Sequence[str], as_of: Column, width: str =
     return ranked.withColumn("deadline_missed", missed_deadline(as_of))
 
 
-def task_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 day", priority: str = "priority7") -> DataFrame:
+def task_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 hour", priority: str = "priority7") -> DataFrame:
     """``rank`` by priority, then deadline (tasks with one first), then creation."""
     none = F.col("deadline").isNull()
     at = F.coalesce(F.col("deadline"), F.col("created_at"))
@@ -135,7 +135,7 @@ def task_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 day", prio
     return position(tasks, keys, order, chunk, "rank")
 
 
-def dispatch_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 day") -> DataFrame:
+def dispatch_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 hour") -> DataFrame:
     """``rank`` of distributed tasks: five-level priority ascending, then creation."""
     chunk = [F.col("priority5"), time_chunk("created_at", width)]
     return position(tasks, keys, [F.col("priority5"), F.col("created_at"), F.col("seq")], chunk, "rank")
@@ -246,7 +246,7 @@ def batch_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- attempts
 
 
-def retry_chain(attempts: DataFrame, tasks: DataFrame, max_retries: int = 3, width: str = "1 day") -> DataFrame:
+def retry_chain(attempts: DataFrame, tasks: DataFrame, max_retries: int = 3, width: str = "1 hour") -> DataFrame:
     """Attempt number, lowered priority and outcome of every attempt up to the retry limit.
 
     An attempt belongs to the chain while all earlier ones failed and retries are left.
@@ -273,7 +273,7 @@ def retry_chain(attempts: DataFrame, tasks: DataFrame, max_retries: int = 3, wid
     )
 
 
-def lifecycle_check(events: DataFrame, moves: DataFrame, width: str = "1 day") -> DataFrame:
+def lifecycle_check(events: DataFrame, moves: DataFrame, width: str = "1 hour") -> DataFrame:
     """Status moves that the transition table does not allow."""
     stepped = previous(events, ["task_id"], ["ts", "seq"], ["event"], time_chunk("ts", width), "_prev")
     moved = stepped.where(F.col("_prev").isNotNull()).withColumns({"from_status": F.col("_prev.event"), "to_status": F.col("event")})

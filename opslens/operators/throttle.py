@@ -71,7 +71,7 @@ class Throttle(Fold):
 
 
 def throttle(
-    runs: DataFrame, keys: Sequence[str] = ("check",), interval: str = "30 seconds", forced: str | None = None, width: str = "1 day"
+    runs: DataFrame, keys: Sequence[str] = ("check",), interval: str = "30 seconds", forced: str | None = None, width: str = "1 hour"
 ) -> DataFrame:
     """Adds ``kept`` to every run of a check."""
     force = F.col(forced) if forced else F.lit(False)

@@ -19,6 +19,9 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+
+from opslens.plans.ordered import fits_one_task
 
 
 class Fold:
@@ -56,64 +59,99 @@ class Fold:
         raise NotImplementedError
 
 
-def _spark_fields(df: DataFrame, names: Sequence[str]):
-    return [df.schema[n] for n in names]
+def _values(batch: pa.RecordBatch, names: Sequence[str]) -> Iterable[tuple]:
+    """Rows of the named columns; empty tuples if there are none."""
+    if not names:
+        return (() for _ in range(batch.num_rows))
+    return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
 
 
-def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fold: Fold) -> DataFrame:
-    """The rows of ``df`` with the outputs of ``fold`` added, folded per key in ``order``."""
-    from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    keys, order = list(keys), list(order)
-    base = df.withColumn("_chunk", chunk.cast("bigint"))
-    part = keys + ["_chunk"]
-    text_schema = StructType([*_spark_fields(base, part), StructField("_text", StringType())])
-    text_arrow = to_arrow_schema(text_schema)
 
-    def emit_texts(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * len(text_arrow)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, text_arrow)], schema=text_arrow)
+def _with_text(df: DataFrame, names: Sequence[str]) -> StructType:
+    return StructType([*[df.schema[n] for n in names], StructField("_text", StringType())])
+
 
-    def rows_of(batch: pa.RecordBatch, names: Sequence[str]) -> Iterable[tuple]:
-        return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]) if names else ()
+def _summaries(base: DataFrame, part: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """Summary text of each (key, chunk)."""
+    schema = _with_text(base, part)
+    arrow = to_arrow_schema(schema)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, summary = None, None
         for batch in batches:
             done = []
-            for key, row in zip(rows_of(batch, part), rows_of(batch, fold.columns)):
+            for key, row in zip(_values(batch, part), _values(batch, fold.columns)):
                 if key != group:
                     if group is not None:
                         done.append((*group, fold.dump(summary)))
                     group, summary = key, fold.empty()
                 summary = fold.absorb(summary, row)
             if done:
-                yield emit_texts(done)
+                yield _batch(done, arrow)
         if group is not None:
-            yield emit_texts([(*group, fold.dump(summary))])
+            yield _batch([(*group, fold.dump(summary))], arrow)
+
+    narrow = base.select(*dict.fromkeys([*part, *order, *fold.columns]))
+    return narrow.repartition(*part).sortWithinPartitions(*part, *order).mapInArrow(summarise, schema)
+
+
+def _chained(summaries: DataFrame, keys: list[str], fold: Fold, after: bool) -> DataFrame:
+    """State text before each chunk, or with ``after`` the state after the last one per key."""
+    names = keys if after else keys + ["_chunk"]
+    schema = _with_text(summaries, names)
+    arrow = to_arrow_schema(schema)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, state = None, None
         for batch in batches:
             done = []
-            for *key, number, text in rows_of(batch, part + ["_text"]):
+            for *key, number, text in _values(batch, [*keys, "_chunk", "_text"]):
                 if key != group:
+                    if after and group is not None:
+                        done.append((*group, state))
                     group, state = key, fold.first_state()
-                done.append((*key, number, state))
+                if not after:
+                    done.append((*key, number, state))
                 state = fold.advance(state, text)
-            yield emit_texts(done)
+            yield _batch(done, arrow)
+        if after and group is not None:
+            yield _batch([(*group, state)], arrow)
+
+    by_key = summaries.repartition(*keys) if keys else summaries.repartition(1)
+    return by_key.sortWithinPartitions(*keys, "_chunk").mapInArrow(chain, schema)
+
 
+def folded_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fold: Fold) -> DataFrame:
+    """Final state text (``state``) of every key."""
+    keys, order = list(keys), list(order)
+    base = df.withColumn("_chunk", chunk.cast("bigint"))
+    states = _chained(_summaries(base, keys + ["_chunk"], order, fold), keys, fold, after=True)
+    return states.withColumnRenamed("_text", "state")
+
+
+def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fold: Fold) -> DataFrame:
+    """The rows of ``df`` with the outputs of ``fold`` added, folded per key in ``order``."""
+    keys, order = list(keys), list(order)
+    # where everything fits one task, each key is one chunk that starts from the first state
+    single = fits_one_task(df)
+    base = df.withColumn("_chunk", F.lit(0).cast("bigint") if single else chunk.cast("bigint"))
+    part = keys + ["_chunk"]
     added = _parse_datatype_string(fold.outputs)
     out_schema = StructType([*df.schema.fields, *added.fields])
-    added_arrow = to_arrow_schema(added)
-    out_arrow = to_arrow_schema(out_schema)
+    added_arrow, out_arrow = to_arrow_schema(added), to_arrow_schema(out_schema)
     kept = df.columns
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        group, state = None, None
         for batch in batches:
             mask, values = [], []
-            for mark, text, row in zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_mark", "_text")], rows_of(batch, fold.columns)):
+            for key, (mark, text), row in zip(_values(batch, part), _values(batch, ["_mark", "_text"]), _values(batch, fold.columns)):
+                if key != group:
+                    group, state = key, fold.load(fold.first_state())
                 if mark == 0:
                     state = fold.load(text)
                 else:
@@ -126,16 +164,8 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
             arrays += [pa.array(list(c), f.type) for c, f in zip(columns, added_arrow)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out_arrow)
 
-    summaries = (
-        base.select(*dict.fromkeys([*part, *order, *fold.columns]))
-        .repartition(*part)
-        .sortWithinPartitions(*part, *order)
-        .mapInArrow(summarise, text_schema)
-    )
-    by_key = summaries.repartition(*keys) if keys else summaries.repartition(1)
-    states = by_key.sortWithinPartitions(*part).mapInArrow(chain, text_schema)
-    marked = base.withColumns({"_mark": F.lit(1), "_text": F.lit(None).cast("string")}).unionByName(
-        states.withColumn("_mark", F.lit(0)), allowMissingColumns=True
-    )
+    marked = base.withColumns({"_mark": F.lit(1), "_text": F.lit(None).cast("string")})
+    if not single:
+        states = _chained(_summaries(base, part, order, fold), keys, fold, after=False)
+        marked = marked.unionByName(states.withColumn("_mark", F.lit(0)), allowMissingColumns=True)
     return marked.repartition(*part).sortWithinPartitions(*part, "_mark", *order).mapInArrow(replay, out_schema)
-

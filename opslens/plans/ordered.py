@@ -5,6 +5,9 @@ here split the order of each key into chunks, aggregate each chunk (with map-sid
 carry the aggregates forward over the small chunk table and finish inside each chunk. A key
 that holds a third of all rows is then spread over as many tasks as it has chunks.
 
+Where Spark's own size estimate of the input says that all of it fits one task, whatever the
+keys, the same result comes from a plain window: see ``fits_one_task``.
+
 ``chunk`` is one column or a list of columns, ascending, that coarsen ``order``: if a row
 sorts before another one, its chunk must not be larger. Keys must not be null.
 """
@@ -15,6 +18,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# estimated input size up to which a single task may get all rows of a key
+SINGLE_TASK_BYTES = 128 * 1024 * 1024
+
 UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
 
@@ -24,7 +30,7 @@ def width_us(width: str) -> int:
     return int(amount) * UNIT_US[unit.rstrip("s")]
 
 
-def time_chunk(ts: Column | str, width: str = "1 day") -> Column:
+def time_chunk(ts: Column | str, width: str = "1 hour") -> Column:
     """Whole number of widths since the epoch."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(col) / F.lit(width_us(width)))
@@ -35,6 +41,16 @@ def number_chunk(value: Column | str, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate of the whole frame is within one task's share.
+
+    The estimate comes from file sizes and needs no job. It errs on the large side for joins
+    and is unlimited for unknown sources, which only leads to chunks.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SINGLE_TASK_BYTES
+
+
 def _chunked(df: DataFrame, chunk) -> tuple[DataFrame, list[str]]:
     chunks = list(chunk) if isinstance(chunk, (list, tuple)) else [chunk]
     names = [f"_chunk{i}" for i in range(len(chunks))]
@@ -48,6 +64,9 @@ def _before(keys: Sequence[str], names: Sequence[str]):
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, chunk, out: str) -> DataFrame:
     """Sum of ``value`` over all rows up to and including this one, per key."""
     keys = list(keys)
+    if fits_one_task(df):
+        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
     base, names = _chunked(df.withColumn("_v", value), chunk)
     part = keys + names
     carry = (
@@ -63,6 +82,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
 def position(df: DataFrame, keys: Sequence[str], order: Sequence, chunk, out: str) -> DataFrame:
     """1-based rank of the row in its key, like ``row_number``."""
     keys = list(keys)
+    if fits_one_task(df):
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     base, names = _chunked(df, chunk)
     part = keys + names
     carry = (
@@ -89,6 +110,10 @@ def last_before(
     ``order`` is a list of column names, ascending, unique within the key.
     """
     keys = list(keys)
+    last = 0 if inclusive else -1
+    if fits_one_task(df):
+        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
     base, names = _chunked(df.withColumn("_v", value), chunk)
     part = keys + names
     at = F.when(F.col("_v").isNotNull(), F.struct(*order))
@@ -98,7 +123,7 @@ def last_before(
         .withColumn("_carry", F.last("_t", ignorenulls=True).over(_before(keys, names)))
         .drop("_t")
     )
-    frame = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    frame = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
     local = F.last("_v", ignorenulls=True).over(frame)
     return base.join(carry, part).withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_v", "_carry", *names)
 
@@ -115,13 +140,15 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: s
     each, and only those reach the task that finishes the key.
     """
     keys = list(keys)
+    final = W.partitionBy(*keys).orderBy(*order)
+    if fits_one_task(df):
+        return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= n)
     grouped = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
     partial = (
         grouped.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)))
         .where(F.col("_rn") <= n)
         .drop("_rn", "_salt")
     )
-    final = W.partitionBy(*keys).orderBy(*order)
     return partial.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= n)
 
 
