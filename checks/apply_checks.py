@@ -113,16 +113,30 @@ def _(spark, d):
 @check(
     "metrics_snapshot",
     "metric health_class alert_event",
-    """WITH m AS (SELECT user_id AS member, count(DISTINCT name) AS metrics FROM metric GROUP BY 1),
-    h AS (SELECT host AS member, count(DISTINCT "check") AS checks FROM health_class GROUP BY 1),
-    a AS (SELECT e.user_id AS member, count(*) AS alerts FROM alert_event x JOIN events e ON e.event_id = x.alert_id WHERE x.op = 'create' AND x.alert_id % 3 <> 0 GROUP BY 1)
-    SELECT member, coalesce(metrics, 0) AS metrics, coalesce(checks, 0) AS checks, coalesce(alerts, 0) AS alerts FROM m LEFT JOIN h USING (member) LEFT JOIN a USING (member)""",
+    """SELECT user_id AS member, 'metrics' AS section, name AS what, CAST(count(*) AS VARCHAR) AS shown FROM metric GROUP BY 1, 3
+    UNION ALL SELECT host, 'health', "check", arg_max(status, (ts_us, seq)) FROM health_class GROUP BY 1, 3
+    UNION ALL SELECT e.user_id, 'alerts', CAST(x.alert_id AS VARCHAR), x.level FROM alert_event x JOIN events e ON e.event_id = x.alert_id WHERE x.op = 'create' AND x.alert_id % 3 <> 0""",
 )
 def _(spark, d):
-    doc = F.try_parse_json("snapshot")
+    def item(path):
+        return F.get_json_object("item", path)
+
+    return snapshot.fleet_snapshot(spark, d, as_of_events()).select(
+        "member",
+        "section",
+        F.coalesce(item("$.name"), item("$.check"), item("$.alert_id")).alias("what"),
+        F.coalesce(item("$.count"), item("$.status"), item("$.level")).alias("shown"),
+    )
+
 
-    def size(path):
-        return F.coalesce(F.size(F.try_variant_get(doc, path, "array<variant>")), F.lit(0)).cast("bigint")
+TABLE_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("task", "task_event", "queue_event", "result", "metric", "gauge_op", "health", "alert_event", "pool", "pool_tick", "memory_op"))
 
-    out = snapshot.fleet_snapshot(spark, d, as_of_events())
-    return out.select("member", size("$.metrics").alias("metrics"), size("$.health").alias("checks"), size("$.alerts").alias("alerts"))
+
+@check("load_tables", "task task_event queue_event result metric gauge_op health alert_event pool pool_tick memory_op", TABLE_SQL)
+def _(spark, d):
+    views = tables.load_tables(spark, d)
+    out = None
+    for name in ("task", "task_event", "queue_event", "result", "metric", "gauge_op", "health", "alert_event", "pool", "pool_tick", "memory_op"):
+        part = views[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -21,6 +21,13 @@ def _(spark, d):
     return leaves(spark, d)
 
 
+@check("explode_leaves", "leaf", "SELECT loaded_seq, path, value, value_type FROM leaf")
+def _(spark, d):
+    ops.register_explode_leaves(spark)
+    tables.config_doc(spark, d).createOrReplaceTempView("config_doc")
+    return spark.sql("SELECT c.loaded_seq, l.* FROM config_doc c, LATERAL explode_leaves(c.doc) l")
+
+
 @check("merge_by_priority", "merged", "SELECT * FROM merged")
 def _(spark, d):
     return merged(spark, d)

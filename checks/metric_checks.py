@@ -140,3 +140,19 @@ def _(spark, d):
     buckets = ops.histogram_buckets(views, ["name"], BOUNDS).withColumn("labels", no_labels)
     totals = views.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.sum(F.lit(2.0)).alias("sum")).withColumn("labels", no_labels)
     return ops.exposition_lines(kinds, current, buckets, totals)
+
+
+@check(
+    "metrics_overview",
+    "metric",
+    """WITH k AS (SELECT *, CASE WHEN name IN ('error', 'signup') THEN 'counter' WHEN name = 'view' THEN 'gauge' ELSE 'histogram' END AS type FROM metric),
+    s AS (SELECT name, max(seq) AS set_seq FROM k WHERE type = 'gauge' AND seq % 100 = 0 GROUP BY 1)
+    SELECT k.name, type, count(*) AS count, round(avg(value) + 1e-9, 6) AS mean, max(value) AS max,
+      CASE type WHEN 'counter' THEN round(sum(value), 4) WHEN 'gauge' THEN round(sum(value) FILTER (WHERE k.seq >= s.set_seq), 4) END AS current
+    FROM k LEFT JOIN s ON k.name = s.name GROUP BY k.name, type""",
+)
+def _(spark, d):
+    kind = F.when(F.col("name").isin("error", "signup"), "counter").when(F.col("name") == "view", "gauge").otherwise("histogram")
+    op = F.when((F.col("name") == "view") & (F.col("seq") % 100 == 0), "set").otherwise("increment")
+    out = ops.metrics_overview(tables.metric(spark, d).withColumns({"type": kind, "op": op}))
+    return out.select("name", "type", "count", r("mean"), "max", F.round("current", 4).alias("current"))

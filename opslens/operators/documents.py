@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslens.functions.fixed import SENSITIVE_WORDS, URL_PATTERN
 from opslens.functions.jsontree import leaves_of, mask_tree, nest
@@ -131,6 +131,22 @@ def set_path(leaves: DataFrame, changes: DataFrame) -> DataFrame:
     return leaves.unionByName(changes)
 
 
+def register_explode_leaves(spark: SparkSession, name: str = "explode_leaves") -> None:
+    """Table function for SQL: ``SELECT t.*, l.* FROM t, LATERAL explode_leaves(t.doc) l``."""
+
+    @F.udtf(returnType="path string, value string, value_type string")
+    class ExplodeLeaves:
+        def eval(self, doc: str):
+            try:
+                node = json.loads(doc)
+            except (TypeError, ValueError):
+                return
+            if isinstance(node, dict):
+                yield from (leaf for leaf in leaves_of(node) if leaf[0])
+
+    spark.udtf.register(name, ExplodeLeaves)
+
+
 # ---------------------------------------------------------------- merge and defaults
 
 
@@ -398,6 +414,13 @@ def validate_fields(
     return found
 
 
+def require_valid(errors: DataFrame, shown: int = 20) -> None:
+    """Raise if there is any error row; the message names a few of them."""
+    some = errors.select("message").limit(shown).collect()
+    if some:
+        raise ValueError("Configuration validation failed:\n" + "\n".join(f"  - {row.message}" for row in some))
+
+
 def _item_errors(leaves: DataFrame, rule: FieldRule, keys: Sequence[str]) -> DataFrame:
     """Errors of the items of a list field."""
     lists = leaves.where((F.col("path") == rule.path) & (F.col("value_type") == "list"))

@@ -25,14 +25,15 @@ def _trim(edges: DataFrame, rounds: int) -> DataFrame:
 
 def _links(edges: DataFrame) -> DataFrame:
     """Ways a label travels: ahead along an edge, back along it, and to the node itself. One
-    frame, so that a round reads the labels once; kept partitioned by its source."""
+    frame, so that a round reads the labels once. Not partitioned by node: a task that a third
+    of all others wait for would fill one partition that no later join could split."""
     ways = F.array(
         F.struct(F.col("waiter").alias("node"), F.col("holder").alias("to"), F.lit("ahead").alias("way")),
         F.struct(F.col("holder").alias("node"), F.col("waiter").alias("to"), F.lit("back").alias("way")),
         F.struct(F.col("waiter").alias("node"), F.col("waiter").alias("to"), F.lit("self").alias("way")),
         F.struct(F.col("holder").alias("node"), F.col("holder").alias("to"), F.lit("self").alias("way")),
     )
-    return cut_lineage(edges.select(F.inline(ways)).distinct().repartition("node"))
+    return cut_lineage(edges.select(F.inline(ways)).distinct())
 
 
 def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:

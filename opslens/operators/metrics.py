@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.functions.fixed import HISTOGRAM_BOUNDS
 from opslens.functions.labels import format_labels, merge_labels, number_text
+from opslens.operators.stats import metric_summary
 from opslens.plans.ordered import last_before, previous, running_sum, time_chunk, width_us
 
 
@@ -97,6 +98,18 @@ def latest_before(
     return out.select(*keys, "ts", "seq", *names, "_found.sample_ts", *[f"_found.{c}" for c in columns])
 
 
+def metrics_overview(samples: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """Summary of every metric with its type, and the current value of counters and gauges.
+
+    ``samples`` has ``keys, type, ts, seq, op, value``; ``op`` is ``set`` or ``increment``.
+    """
+    keys = list(keys)
+    kinds = samples.groupBy(*keys).agg(F.min("type").alias("type"))
+    counters = counter_value(samples.where(F.col("type") == "counter"), keys).select(*keys, "current")
+    gauges = gauge_value(samples.where(F.col("type") == "gauge"), keys).select(*keys, "current")
+    return metric_summary(samples, keys).join(kinds, keys).join(counters.unionByName(gauges), keys, "left")
+
+
 def exposition_lines(
     metrics: DataFrame, current: DataFrame | None = None, buckets: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One document per fleet member: metric summaries, health, active alerts."""
+"""State of every fleet member: metric summaries, health, active alerts."""
 
 from __future__ import annotations
 
@@ -10,16 +10,22 @@ from opslens.sources import tables
 
 
 def metrics_snapshot(summary: DataFrame, checks: DataFrame, alerts: DataFrame, as_of: Column, key: str = "member") -> DataFrame:
-    """JSON ``snapshot`` per member. The parts are already one row per metric, check and open
-    alert, so a list is as long as what the member has registered or open."""
+    """Snapshot rows ``(member, taken_at, section, item)`` with one JSON item per metric, check
+    and open alert. Written partitioned or sorted by member they form one document each; no
+    member's open alerts are gathered in one row, however many there are."""
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(*[c for c in df.columns if c != key])
-        return df.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias(name))
+    def section(df: DataFrame, name: str) -> DataFrame:
+        row = F.to_json(F.struct(*[c for c in df.columns if c != key]))
+        return df.select(key, as_of.alias("taken_at"), F.lit(name).alias("section"), row.alias("item"))
 
-    joined = listed(summary, "metrics").join(listed(checks, "health"), key, "full_outer").join(listed(alerts, "alerts"), key, "full_outer")
-    doc = F.struct(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "metrics", "health", "alerts")
-    return joined.select(key, F.to_json(doc).alias("snapshot"))
+    return section(summary, "metrics").unionByName(section(checks, "health")).unionByName(section(alerts, "alerts"))
+
+
+def write_snapshot(snapshot: DataFrame, path: str, key: str = "member") -> None:
+    """Snapshot items in member and section order, one JSON object per line."""
+    line = F.to_json(F.struct(key, "taken_at", "section", "item"))
+    ordered = snapshot.orderBy(key, "section", "item")
+    ordered.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def fleet_snapshot(spark: SparkSession, folder: str, as_of: Column) -> DataFrame:

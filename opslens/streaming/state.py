@@ -17,9 +17,14 @@ from opslens.operators.alerts import match_alert_rules
 from opslens.plans.ordered import width_us
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable") if frames else pd.DataFrame()
+def _rows(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> list[tuple]:
+    """The named columns of a key's rows as tuples, ordered by the first two. Plain lists: most
+    keys have a few rows per batch, for which frames cost more than the work."""
+    rows: list[tuple] = []
+    for frame in batches:
+        rows.extend(zip(*[frame[c].tolist() for c in columns]))
+    rows.sort(key=lambda r: r[:2])
+    return rows
 
 
 def task_state_stream(events: DataFrame, limit_us: int = 300_000_000, late: str = "1 minute") -> DataFrame:
@@ -37,7 +42,7 @@ def task_state_stream(events: DataFrame, limit_us: int = 300_000_000, late: str
             return
         status, since = state.get if state.exists else (None, 0)
         out = []
-        for at, event in _rows(batches, ["at_us", "seq"])[["at_us", "event"]].itertuples(index=False):
+        for at, _seq, event in _rows(batches, ["at_us", "seq", "event"]):
             if status is not None:
                 kind = "move" if (status, event) in allowed else "illegal"
                 if status == "running" and at - since > limit_us:
@@ -52,7 +57,7 @@ def task_state_stream(events: DataFrame, limit_us: int = 300_000_000, late: str
             else:
                 out.append((key[0], "stuck", status, status, since + limit_us))
         if out:
-            yield pd.DataFrame(out, columns=["task_id", "kind", "from_status", "to_status", "at_us"])
+            yield pd.DataFrame(dict(zip(["task_id", "kind", "from_status", "to_status", "at_us"], zip(*out))))
 
     rows = events.withWatermark("ts", late).select("task_id", "ts", F.unix_micros("ts").alias("at_us"), "seq", "event")
     return rows.groupBy("task_id").applyInPandasWithState(
@@ -69,12 +74,12 @@ def throttle_stream(runs: DataFrame, key: str = "check", interval: str = "30 sec
         last = state.get[0] if state.exists else None
         rows = _rows(batches, ["at_us", "seq"])
         kept = []
-        for at in rows["at_us"]:
+        for at, _seq in rows:
             take = last is None or at - last >= gap
             last = int(at) if take else last
             kept.append(take)
         state.update((last,))
-        yield pd.DataFrame({key: group[0], "seq": rows["seq"].to_numpy(), "at_us": rows["at_us"].to_numpy(), "kept": kept})
+        yield pd.DataFrame({key: group[0], "seq": [r[1] for r in rows], "at_us": [r[0] for r in rows], "kept": kept})
 
     narrow = runs.select(F.col(key), "seq", F.unix_micros("ts").alias("at_us"))
     return narrow.groupBy(key).applyInPandasWithState(update, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
@@ -87,8 +92,7 @@ def alert_state_stream(samples: DataFrame, rules: DataFrame) -> DataFrame:
     def update(group, batches, state: GroupState):
         since, fired = state.get if state.exists else (None, False)
         out = []
-        rows = _rows(batches, ["at_us", "seq"])
-        for at, breach, hold in rows[["at_us", "breach", "hold_us"]].itertuples(index=False):
+        for at, _seq, breach, hold in _rows(batches, ["at_us", "seq", "breach", "hold_us"]):
             if breach:
                 if since is None:
                     since, fired = int(at), False
@@ -101,7 +105,7 @@ def alert_state_stream(samples: DataFrame, rules: DataFrame) -> DataFrame:
                 since, fired = None, False
         state.update((since, fired))
         if out:
-            yield pd.DataFrame(out, columns=["rule", "series", "change", "since_us", "at_us"])
+            yield pd.DataFrame(dict(zip(["rule", "series", "change", "since_us", "at_us"], zip(*out))))
 
     matched = match_alert_rules(samples, rules).select(
         "rule", "series", F.unix_micros("ts").alias("at_us"), "seq", "breach", (F.col("hold_seconds") * 1_000_000).alias("hold_us")
