@@ -12,6 +12,5 @@ def strict_json(text: Column | str) -> Column:
     of an array: anything left over breaks the array or makes it longer.
     """
     col = F.col(text) if isinstance(text, str) else text
-    wrapped = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
-    one = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
-    return F.when(one, F.try_variant_get(wrapped, "$[0]", "variant"))
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))

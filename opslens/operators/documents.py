@@ -42,22 +42,20 @@ def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = False, depth:
     plain = F.replace(F.col(doc), F.lit("$" + "{"), F.lit(""))
     braces = F.length(plain) - F.length(F.replace(plain, F.lit("{"), F.lit("")))
     shallow = docs.where(braces <= depth)
+    # text that is no object never gets a key, so its path stays empty and it drops out below
     inner = "try_variant_get(_v, '$', 'map<string,variant>')"
-    level = shallow.select(*keep, F.lit(None).cast("string").alias("path"), strict_json(doc).alias("_v")).where(f"{inner} IS NOT NULL")
+    kept = [f"`{c}`" for c in keep]
+    level = shallow.select(*keep, F.lit(None).cast("string").alias("path"), strict_json(doc).alias("_v"))
     for _ in range(depth):
         # an object gives a row per entry; anything else, and an empty object, stays as it is
-        level = level.selectExpr(*[f"`{c}`" for c in keep], "path", "_v", f"explode_outer({inner}) AS (_key, _item)")
-        level = level.selectExpr(*[f"`{c}`" for c in keep], "concat_ws('.', path, _key) AS path", "coalesce(_item, _v) AS _v")
-        level = level.withColumn("path", F.nullif("path", F.lit("")))
+        level = level.selectExpr(*kept, "path", "_v", f"explode_outer({inner}) AS (_key, _item)")
+        level = level.selectExpr(*kept, "concat_ws('.', path, _key) AS path", "coalesce(_item, _v) AS _v")
+    level = level.where("path <> ''")
+    if not keep_empty:
+        level = level.where(f"{inner} IS NULL")
     typed = level.withColumn("_k", F.schema_of_variant("_v")).selectExpr(
-        *[f"`{c}`" for c in keep],
-        "path",
-        "CASE WHEN _k <> 'VOID' THEN string(_v) END AS value",
-        KIND_SQL.format(k="_k") + " AS value_type",
+        *kept, "path", "CASE WHEN _k <> 'VOID' THEN string(_v) END AS value", KIND_SQL.format(k="_k") + " AS value_type"
     )
-    typed = typed.where(F.col("path").isNotNull())
-    if not keep_empty:
-        typed = typed.where(F.col("value_type") != "dict")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-LOG_SCHEMA = (
-    "timestamp string, level string, logger string, message string, module string, function string, line bigint, "
-    "thread_id bigint, thread_name string, exception struct<type:string,message:string,traceback:array<string>>, "
-    "context map<string,string>, _corrupt_record string"
-)
+EXCEPTION_SCHEMA = "struct<type:string,message:string,traceback:array<string>>"
 KNOWN_FIELDS = [
     "timestamp",
     "level",
@@ -30,11 +26,20 @@ def parse_structured_logs(lines: DataFrame) -> DataFrame:
     Works on batch and streaming frames. A line that is not JSON keeps its text in
     ``_corrupt_record``.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    known = F.array(*[F.lit(k) for k in KNOWN_FIELDS])
-    extra = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _v: ~F.array_contains(known, k))
-    parsed = lines.select(F.from_json("value", LOG_SCHEMA, options).alias("_r"), extra.alias("extra"))
-    return parsed.select("_r.*", "extra").withColumn("ts", F.try_to_timestamp("timestamp"))
+    # the line is parsed once; nested values are parsed only where they are present
+    fields = lines.select("value", F.from_json("value", "map<string,string>").alias("_m"))
+    known = ", ".join(f"'{k}'" for k in KNOWN_FIELDS)
+    return fields.selectExpr(
+        *[f"_m['{k}'] AS {k}" for k in KNOWN_FIELDS[:6]],
+        "try_cast(_m['line'] AS bigint) AS line",
+        "try_cast(_m['thread_id'] AS bigint) AS thread_id",
+        "_m['thread_name'] AS thread_name",
+        f"from_json(_m['exception'], '{EXCEPTION_SCHEMA}') AS exception",
+        "from_json(_m['context'], 'map<string,string>') AS context",
+        "CASE WHEN _m IS NULL THEN value END AS _corrupt_record",
+        f"map_filter(_m, (k, v) -> k NOT IN ({known})) AS extra",
+        "try_to_timestamp(_m['timestamp']) AS ts",
+    )
 
 
 def read_structured_logs(spark: SparkSession, path: str) -> DataFrame:
