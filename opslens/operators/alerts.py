@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from opslens.functions.fixed import ALERT_RULES, HEALTH_LIMITS, HEALTH_RANK, RULE_SCHEMA, lookup
 from opslens.functions.labels import format_labels
-from opslens.plans.ordered import last_before, previous, time_chunk
+from opslens.plans.ordered import fits_one_task, previous, time_chunk
 
 
 # ---------------------------------------------------------------- health
@@ -150,15 +150,44 @@ def match_alert_rules(samples: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def breach_runs(matched: DataFrame, width: str = "1 hour", keys: Sequence[str] = ("rule", "series")) -> DataFrame:
-    """Adds ``since`` (start of the unbroken run of breaches) and ``firing``."""
-    chunk = time_chunk("ts", width)
-    order = ["ts", "seq"]
-    stepped = previous(matched, keys, order, ["breach"], chunk, "_prev")
-    starts = F.when(F.col("breach") & ~F.coalesce("_prev.breach", F.lit(False)), F.col("ts"))
-    marked = last_before(stepped.withColumn("_start", starts), keys, order, F.col("_start"), chunk, "_since", inclusive=True)
-    since = F.when(F.col("breach"), F.col("_since"))
+    """Adds ``since`` (start of the unbroken run of breaches) and ``firing``.
+
+    Runs are found inside time chunks. What a chunk needs from before is whether the run at its
+    start goes on and since when: that follows from one row per earlier chunk.
+    """
+    keys = list(keys)
+    breach, order = F.col("breach"), ["ts", "seq"]
+    single = fits_one_task(matched)
+    part = keys if single else [*keys, "_chunk"]
+    base = matched if single else matched.withColumn("_chunk", time_chunk("ts", width))
+    upto = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # the breach right after a row that is none starts a run
+    start = F.when(breach & ~F.lag("breach").over(W.partitionBy(*part).orderBy(*order)), F.col("ts"))
+    local = base.withColumn("_start", start).withColumns(
+        {
+            "_run": F.last("_start", ignorenulls=True).over(upto),
+            "_head": F.min(breach).over(upto),
+            "_first": F.min("ts").over(upto),
+        }
+    )
+    if single:
+        carried = local.withColumn("_carry", F.lit(None).cast("timestamp"))
+    else:
+        at = F.struct(*order)
+        chunks = local.groupBy(*part).agg(
+            F.min("breach").alias("_all"), F.max_by("breach", at).alias("_last"), F.max_by("_run", at).alias("_tail"), F.min("ts").alias("_from")
+        )
+        by_time = W.partitionBy(*keys).orderBy("_chunk")
+        before = by_time.rowsBetween(W.unboundedPreceding, -1)
+        # where the run after a chunk with a pause starts: at its own tail, or with the next chunk
+        chunks = chunks.withColumn("_after", F.when(~F.col("_all"), F.coalesce(F.when(F.col("_last"), F.col("_tail")), F.lead("_from").over(by_time))))
+        origin = F.coalesce(F.last("_after", ignorenulls=True).over(before), F.first("_from").over(before))
+        carry = chunks.select(*part, F.when(F.lag("_last").over(by_time), origin).alias("_carry"))
+        carried = local.join(carry, part)
+    since = F.when(breach, F.when(F.col("_head"), F.coalesce("_carry", "_first")).otherwise(F.col("_run")))
     held = F.unix_micros("ts") - F.unix_micros("since") >= F.col("hold_seconds") * 1_000_000
-    return marked.withColumn("since", since).withColumn("firing", F.coalesce(held, F.lit(False))).drop("_prev", "_start", "_since")
+    out = carried.withColumn("since", since).withColumn("firing", F.coalesce(held, F.lit(False)))
+    return out.drop("_chunk", "_start", "_run", "_head", "_first", "_carry")
 
 
 def alert_for(samples: DataFrame, rules: DataFrame, width: str = "1 hour") -> DataFrame:

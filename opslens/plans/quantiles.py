@@ -94,14 +94,13 @@ def order_statistics(
     number = mixed.limit(BROADCAST_ROWS + 1).count()
     if number:
         wanted = mixed.drop("_lo", "_hi")
-        wanted = F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted
-        counted = (
-            base.select(*part, "_v")
-            .join(wanted.select(*part), part)
-            .groupBy(*part, "_v")
-            .agg(F.count(F.lit(1)).alias("_c"))
-            .join(wanted, part)
-        )
+        if number <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+            inside = base.select(*part, "_v").join(wanted.select(*part), part)
+        else:
+            # equal values are counted before the shuffle, so a hot value is one row per task
+            inside = base
+        counted = inside.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c")).join(wanted, part)
         running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
         counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
         hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Window as W, functions as F
 
+from opslens.operators.alerts import breach_runs
 from opslens.operators.flow import admit, apply_level_moves
 from opslens.operators.logs import enrich_with_context
 from opslens.operators.memory import evict_replay
@@ -147,3 +148,14 @@ def test_eviction(rows):
         elif r.key in hits:
             hits[r.key] += 1
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("limit", [-4, 2, 8])
+def test_breach_runs(rows, limit):
+    samples = rows.select(F.lit("r").alias("rule"), F.col("k").alias("series"), "ts", "seq", (F.col("v") > limit).alias("breach"), F.lit(7200).cast("bigint").alias("hold_seconds"))
+    got = {r.seq: (r.since, r.firing) for r in breach_runs(samples, "3 hours").collect()}
+    for log in in_order(samples.withColumn("k", F.col("series"))).values():
+        since = None
+        for r in log:
+            since = (since or r.ts) if r.breach else None
+            assert got[r.seq] == (since, since is not None and r.ts - since >= timedelta(hours=2))
