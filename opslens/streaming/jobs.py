@@ -22,18 +22,36 @@ def read_stream(spark: SparkSession, folder: str, file: str, max_files: int = 10
     return source.parquet(folder)
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is there, into Parquet below the shared folder, and read it back."""
+def state_partitions(spark: SparkSession, *paths: str, bytes_each: int = 64 * 1024 * 1024, least: int = 8) -> int:
+    """Partitions for streaming state by the size of the stored input. A stream keeps the number
+    it starts with, and adaptive execution does not change it."""
+    total = 0
+    for path in paths:
+        total += int(str(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-total // bytes_each))
+
+
+def run_available(stream: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
+    """Run a stream over what is there, into Parquet below the shared folder, and read it back.
+
+    ``partitions`` sets the number of state partitions of this query only.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/rows")
         .option("checkpointLocation", f"{path}/state")
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        query = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
