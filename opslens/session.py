@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +40,7 @@ def local_session(name: str = "opslens", cores: int = 8, shuffle_partitions: int
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,11 +48,18 @@ def local_session(name: str = "opslens", cores: int = 8, shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it; own one only where unset."""
+    """Folder every executor can reach: spark.checkpoint.dir, or one in the warehouse where that is unset.
+
+    A warehouse on a local disk is only accepted with a local master; elsewhere executors could not
+    read each other's files.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="opslens-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{warehouse.rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
