@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["quality_rules", "substring_dedup", "ngram_join"]
+MODULES = ["quality_rules", "substring_dedup", "ngram_join", "decontaminate"]
 
 
 def _loaded():

@@ -21,6 +21,9 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+# for plain terms: ASCII letters and digits, and everything beyond ASCII
+_NO_TERM = np.ones(256, bool)
+_NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,12 +110,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of a text column; ``lower`` maps A-Z only."""
+def split_words(column: pa.Array, lower: bool = False, terms: bool = False) -> Words:
+    """Words of a text column; ``lower`` maps A-Z only, ``terms`` also splits at punctuation."""
     data, offsets = buffers(column)
     if lower:
         data = _LOWER[data]
-    blank = _SPACE[data]
+    blank = (_NO_TERM if terms else _SPACE)[data]
     word = ~blank
     begins, ends = word.copy(), word.copy()
     begins[1:] &= blank[:-1]
