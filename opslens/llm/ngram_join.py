@@ -8,12 +8,13 @@ everywhere, so any table gives right results; a good one gives short candidate l
 2. Two sets with the wanted overlap share one of their rarest shingles (for a Jaccard of 4/5, one of
    the last ``n // 5 + 1`` in the order). Spark groups classes by those shingles; only shingles that
    two classes hold go on.
-3. First each class of a group is compared with one pivot of the group. Links give components; then
-   only pairs of different components that still share a rare shingle are compared. So no link
-   between components is lost, and groups of near copies are not expanded into all their pairs.
-4. Comparisons run per probe against a prefix tree of its partners' ordered sets: partners with the
-   same beginning share that part's overlap, and a subtree ends where the overlap so far plus the
-   remaining length cannot reach the bound.
+3. Every class has a home, the pivot of its largest group, and the classes of a home are dealt to blocks
+   of about ``BLOCK``. Two blocks meet in one task if a shingle stands in both. So a class travels once
+   per block it may have links in, not once per candidate, and no pair is ever a row.
+4. Inside a task the candidates of a probe are walked through a prefix tree of the block's ordered
+   sets: sets with the same beginning share that part's overlap, and a subtree ends where the overlap
+   so far plus the remaining length cannot reach the bound. Candidates that earlier links already
+   connect with the probe are passed over, so groups of near copies cost little more than their size.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; fewer
 words than a shingle give one shingle of all words; repeated texts are one class; ids must be unique;
@@ -37,7 +38,7 @@ SHINGLE = 5
 SHARE = (4, 5)  # Jaccard bound as a fraction
 ORDER_SIZE = 65_536  # shingles in the broadcast order: 16 bytes each
 SALTS = 64  # a frequent shingle's group is dealt to so many tasks
-BLOCK = 256  # partners in one prefix tree
+BLOCK = 256  # sets in a block, on average
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -173,66 +174,117 @@ class PrefixTree:
 
     def __init__(self, ordered: list[np.ndarray]):
         self.by = sorted(range(len(ordered)), key=lambda i: ordered[i].astype(">u8").tobytes())
+        self.place = np.empty(len(ordered), np.int64)
+        self.place[self.by] = np.arange(len(ordered))
         self.paths = [ordered[i] for i in self.by]
         self.shared = [0]
         for one, two in zip(self.paths, self.paths[1:]):
             n = min(len(one), len(two))
             differ = one[:n] != two[:n]
             self.shared.append(int(differ.argmax()) if differ.any() else n)
+        self.shared_array = np.array(self.shared)
 
-    def overlaps(self, probe: np.ndarray, need: list[int]) -> list[int]:
-        """Common elements of ``probe`` (sorted by value) with each set, or -1 where ``need`` is out of reach."""
-        out = [-1] * len(self.paths)
+    def reaching(self, probe: np.ndarray, wanted: np.ndarray, need: np.ndarray) -> Iterator[int]:
+        """Those of the sets ``wanted`` that have at least ``need`` elements of ``probe``, which is sorted by value."""
         done = np.zeros(1, np.int64)  # overlap at each depth of the current path
-        for path, shared, i in zip(self.paths, self.shared, self.by):
-            depth = min(shared, len(done) - 1)
-            done = done[: depth + 1]
-            if done[-1] + min(len(path) - depth, len(probe) - done[-1]) < need[i]:
+        last = -1
+        order = np.argsort(self.place[wanted])
+        for i, least in zip(wanted[order].tolist(), need[order].tolist()):
+            at = int(self.place[i])
+            path = self.paths[at]
+            depth = min(int(self.shared_array[last + 1 : at + 1].min()) if last >= 0 else 0, len(done) - 1)
+            last, done = at, done[: depth + 1]
+            if done[-1] + min(len(path) - depth, len(probe) - done[-1]) < least:
                 continue  # a longer common beginning of the next set ends here as well
             rest = path[depth:]
-            at = np.minimum(np.searchsorted(probe, rest), len(probe) - 1)
-            done = np.concatenate([done, done[-1] + np.cumsum(probe[at] == rest)])
-            if done[-1] >= need[i]:
-                out[i] = int(done[-1])
-        return out
+            found = np.minimum(np.searchsorted(probe, rest), len(probe) - 1)
+            done = np.concatenate([done, done[-1] + np.cumsum(probe[found] == rest)])
+            if done[-1] >= least:
+                yield i
 
 
-def _linked(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows with both texts whose sets are linked."""
-    num, den = share
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text_b", 1 << 19):
-            a = part.column("a").to_numpy()
-            b_sets, b_at = shingle_sets(part.column("text_b"), k)
-            key = np.lexsort((b_sets, -order(b_sets), np.repeat(np.arange(len(a)), np.diff(b_at))))
-            ordered = b_sets[key]
-            head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            found = np.zeros(len(a), bool)
-            for block in np.split(head, range(64, len(head), 64)):
-                a_sets, a_at = shingle_sets(part.column("text_a").take(pa.array(block)), k)
-                for j, lo in enumerate(block.tolist()):
-                    hi = int(head[np.searchsorted(head, lo, side="right")]) if lo < head[-1] else len(a)
-                    probe = a_sets[a_at[j] : a_at[j + 1]]
-                    if not len(probe):
-                        continue
-                    for at in range(lo, hi, BLOCK):
-                        rows = range(at, min(at + BLOCK, hi))
-                        sets = [ordered[b_at[i] : b_at[i + 1]] for i in rows]
-                        # overlap of sets of sizes x and y at the bound: num * (x + y) / (num + den)
-                        need = [-(-num * (len(probe) + len(s)) // (num + den)) for s in sets]
-                        got = PrefixTree(sets).overlaps(probe, need)
-                        found[rows.start : rows.stop] = [g >= n and n > 0 for g, n in zip(got, need)]
-            yield part.select(["a", "b"]).filter(pa.array(found))
-
-
-def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, order: Order, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) of documents among pairs (x, y) of set ids."""
+        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        packed = [pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
+
+
+def _unpack(packed: list[bytes], sizes: list[int]) -> pa.Array:
+    return pa.array([pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True).decode() if n else "" for p, n in zip(packed, sizes)], pa.large_string())
+
+
+def _block_links(ids: list, sides: np.ndarray, texts: pa.Array, k: int, order: Order, share: tuple[int, int]) -> Iterator[tuple]:
+    """Links between the two sides of a block pair (side 2 stands on both); links within what is connected are left out."""
     num, den = share
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    named = pairs.join(classes.toDF("x", "na", "a"), "x").join(classes.toDF("y", "nb", "b"), "y")
-    wanted = named.filter((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b")
-    both = wanted.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _linked(it, k, order, share), f"a {kind}, b {kind}")
+    hashes, offsets = _sets_in_parts(texts, k)
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = order(hashes)
+    by = np.lexsort((hashes, -rank, owner))
+    ordered = [hashes[by[a:b]] for a, b in zip(offsets[:-1], offsets[1:])]
+    # candidates share one of the rarest shingles
+    rare = n - -(-n * num // den) + 1
+    tail = [o[len(o) - r :] for o, r in zip(ordered, rare.tolist())]
+    keys, key = np.unique(np.concatenate(tail), return_inverse=True)
+    holder = np.repeat(np.arange(len(n)), rare)
+    inverse = np.argsort(key, kind="stable")
+    start = np.append(0, np.cumsum(np.bincount(key, minlength=len(keys))))
+    mine = np.append(0, np.cumsum(rare))
+    tree = PrefixTree(ordered)
+    root = np.arange(len(n))
+    for p in np.flatnonzero(sides != 1).tolist():
+        own = key[mine[p] : mine[p + 1]]
+        partners = np.unique(np.concatenate([holder[inverse[start[t] : start[t + 1]]] for t in own.tolist()]))
+        partners = partners[(sides[partners] == 1) | ((sides[partners] == 2) & (partners > p))]
+        partners = partners[(n[partners] * den >= n[p] * num) & (n[p] * den >= n[partners] * num) & (root[partners] != root[p])]
+        probe = np.sort(ordered[p])
+        need = -(-num * (len(probe) + n[partners]) // (num + den))
+        while len(partners):
+            # one partner of every component first; after a link the rest of that component needs no look
+            _, first = np.unique(root[partners], return_index=True)
+            for i in list(tree.reaching(probe, partners[first], need[first])):
+                yield ids[p], ids[i]
+                root[root == root[i]] = root[p]
+            left = np.ones(len(partners), bool)
+            left[first] = False
+            left &= root[partners] != root[p]
+            partners, need = partners[left], need[left]
+            if len(first) * 4 > len(partners):
+                for i in tree.reaching(probe, partners, need):
+                    if root[i] != root[p]:
+                        yield ids[p], ids[i]
+                        root[root == root[i]] = root[p]
+                break
+
+
+def _sets_in_parts(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a long column in pieces of bounded size."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [shingle_sets(part.column("text"), k) for part in chunks(batch)]
+    return np.concatenate([p[0] for p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
+
+
+def _links(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links of every block pair, from rows sorted by block pair; a block pair is at most two blocks."""
+    pair, rows = None, []
+
+    def linked() -> pa.RecordBatch:
+        ids = [r[0] for r in rows]
+        got = list(_block_links(ids, np.array([r[1] for r in rows]), _unpack([r[3] for r in rows], [r[2] for r in rows]), k, order, share))
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], kind) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        kind = batch.schema.field("doc_id").type
+        columns = [batch.column(c).to_pylist() for c in ("x", "y", "doc_id", "side", "size", "packed")]
+        for x, y, *row in zip(*columns):
+            if (x, y) != pair:
+                if len(rows) > 1:
+                    yield linked()
+                pair, rows = (x, y), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield linked()
 
 
 def _saved(df: DataFrame, label: str) -> DataFrame:
@@ -241,37 +293,36 @@ def _saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable over links of Jaccard >= share."""
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     order = frequency_order(texts, k)
     keys = _saved(texts.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, n long, set_id long, set2 long"), "sets")
-    full = keys.filter("n > 0").groupBy("n", "set_id", "set2").agg(F.min("doc_id").alias("rep"))
-    full = _saved(full, "classes")
-    classes = full.select("set_id", "n", "rep")
+    full = _saved(keys.filter("n > 0").groupBy("n", "set_id", "set2").agg(F.min("doc_id").alias("rep")), "classes")
 
     posted = texts.mapInArrow(lambda it: _rarest(it, k, order, share), "shingle long, salt byte, frequent boolean, set_id long")
     sorted_rows = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "set_id")
     groups = _saved(sorted_rows.mapInArrow(_shared, "shingle long, set_id long"), "groups")
 
-    pivots = groups.groupBy("shingle").agg(F.min("set_id").alias("y"))
-    first = _saved(groups.join(pivots, "shingle").filter("set_id <> y").select(F.col("set_id").alias("x"), "y").distinct(), "pairs")
-    links = _saved(_compare(first, classes, texts, k, order, share), "links")
-
-    # what is left: pairs of different components that share a rare shingle
-    roots = components(links).toDF("rep", "root")
-    placed = groups.join(classes, "set_id").join(roots, "rep", "left").select("shingle", "set_id", "n", F.coalesce("root", "rep").alias("root"))
-    placed = _saved(placed, "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
-    rest = placed.join(mixed, "shingle", "left_semi")
-    one, two = rest.toDF("shingle", "x", "nx", "rx"), rest.toDF("shingle", "y", "ny", "ry")
-    num, den = share
-    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    more = one.join(two, "shingle").filter((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & fits).select("x", "y").distinct()
-    seen = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = _saved(more.join(seen, ["x", "y"], "left_anti"), "more")
-    links = _saved(links.unionByName(_compare(more, classes, texts, k, order, share)), "links")
+    pivots = groups.groupBy("shingle").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
+    home = groups.join(pivots, "shingle").groupBy("set_id").agg(F.max(F.struct("members", "pivot"))["pivot"].alias("home"))
+    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    part = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    placed = _saved(home.join(sizes, "home").select("set_id", F.xxhash64("home", part).alias("block")), "blocks")
+
+    # blocks meet where a shingle stands in both
+    stands = groups.join(placed, "set_id").select("shingle", "block").distinct()
+    meet = stands.toDF("shingle", "x").join(stands.toDF("shingle", "y"), "shingle").filter("x <= y").select("x", "y").distinct()
+    meet = _saved(meet, "meetings")
+    members = placed.join(full.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("block", "doc_id")
+    packed = texts.mapInArrow(_pack_texts, f"doc_id {kind}, size long, packed binary")
+    carried = _saved(members.join(packed, "doc_id"), "members")
+    left = meet.join(carried.withColumnRenamed("block", "x"), "x").withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise(0))
+    right = meet.filter("x < y").join(carried.withColumnRenamed("block", "y"), "y").withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("x", "y", "doc_id", "side", "size", "packed")
+    both = both.repartition("x", "y").sortWithinPartitions("x", "y", "doc_id")
+    links = _saved(both.mapInArrow(lambda it: _links(it, k, order, share), f"a {kind}, b {kind}"), "links")
 
     members = smallest_member(components(links)).toDF("rep", "component_id")
     named = keys.join(full, ["n", "set_id", "set2"], "left").join(members, "rep", "left")

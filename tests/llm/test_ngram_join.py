@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from opslens.llm import components as c
 from opslens.llm import ngram_join as q
@@ -31,13 +32,13 @@ def by_hand(rows, k=5):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def run(spark, rows):
+def run(spark, rows, block=q.BLOCK):
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, n int, rep int, set_id int").repartition(3)
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in q.near_duplicates(docs).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in q.near_duplicates(docs, block=block).collect()}
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(q, "BLOCK", 7)
+@pytest.mark.parametrize("block", [7, 1000])
+def test_against_brute_force(spark, block):
     rng = random.Random(1)
     vocab = [f"W{i}" for i in range(300)] + ["Ä", "ä"]
     rows = [(0, None), (1, ""), (2, " \n"), (3, "a b"), (4, "A\tb"), (5, "b a"), (6, "x " * 900), (7, "x " * 5), (8, "x x x x")]
@@ -54,7 +55,7 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(i + j, line + " " + " ".join(rng.choice(vocab) for _ in range(j % 12))) for j in range(60)]
     rng.shuffle(rows)
     expected = by_hand(rows)
-    assert run(spark, rows) == expected
+    assert run(spark, rows, block) == expected
     assert len({v[1] for v in expected.values()}) < len(rows) - 40
 
 
@@ -67,10 +68,11 @@ def test_tree_bounds():
     rng = np.random.default_rng(3)
     order = [np.sort(rng.choice(200, rng.integers(1, 60), replace=False)).astype(np.uint64) for _ in range(80)]
     probe = np.sort(rng.choice(200, 60, replace=False)).astype(np.uint64)
+    true = np.array([len(np.intersect1d(s, probe)) for s in order])
+    tree = q.PrefixTree(order)
     for least in (0, 5, 15):
-        got = q.PrefixTree(order).overlaps(probe, [least] * 80)
-        true = [len(np.intersect1d(s, probe)) for s in order]
-        assert got == [t if t >= least else -1 for t in true]
+        for wanted in (np.arange(80), rng.choice(80, 30, replace=False)):
+            assert sorted(tree.reaching(probe, wanted, np.full(len(wanted), least))) == sorted(wanted[true[wanted] >= least].tolist())
 
 
 def test_components(spark):
