@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["quality_rules", "substring_dedup", "ngram_join", "decontaminate", "toxicity", "packing"]
+MODULES = ["substring_dedup", "packing", "ngram_join", "language_id", "decontaminate", "quality_rules", "toxicity"]
 
 
 def _loaded():

@@ -24,8 +24,8 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 # for plain terms: ASCII letters and digits, and everything beyond ASCII
 _NO_TERM = np.ones(256, bool)
 _NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def split_words(column: pa.Array, lower: bool = False, terms: bool = False) -> W
     """Words of a text column; ``lower`` maps A-Z only, ``terms`` also splits at punctuation."""
     data, offsets = buffers(column)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     blank = (_NO_TERM if terms else _SPACE)[data]
     word = ~blank
     begins, ends = word.copy(), word.copy()
