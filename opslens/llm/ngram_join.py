@@ -8,9 +8,11 @@ everywhere, so any table gives right results; a good one gives short candidate l
 2. Two sets with the wanted overlap share one of their rarest shingles (for a Jaccard of 4/5, one of
    the last ``n // 5 + 1`` in the order). Spark groups classes by those shingles; only shingles that
    two classes hold go on.
-3. Every class has a home, the pivot of its largest group, and the classes of a home are dealt to blocks
-   of about ``BLOCK``. Two blocks meet in one task if a shingle stands in both. So a class travels once
-   per block it may have links in, not once per candidate, and no pair is ever a row.
+3. Groups of at most ``SMALL`` classes give candidate pairs with the number of rare shingles they share;
+   a pair that misses more of them than a linked pair can miss is dropped. Larger groups tie their
+   classes to one pivot. What hangs together by either is a cluster, dealt to blocks of about ``BLOCK``
+   classes; two blocks of a cluster meet in one task if a candidate pair or a large group stands in
+   both. So near copies travel once per block, and no large group is expanded into pairs.
 4. Inside a task the candidates of a probe are walked through a prefix tree of the block's ordered
    sets: sets with the same beginning share that part's overlap, and a subtree ends where the overlap
    so far plus the remaining length cannot reach the bound. Candidates that earlier links already
@@ -39,6 +41,7 @@ SHARE = (4, 5)  # Jaccard bound as a fraction
 ORDER_SIZE = 65_536  # shingles in the broadcast order: 16 bytes each
 SALTS = 64  # a frequent shingle's group is dealt to so many tasks
 BLOCK = 256  # sets in a block, on average
+SMALL = 32  # groups up to this size are listed as pairs
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +116,40 @@ def frequency_order(docs: DataFrame, k: int = SHINGLE, size: int = ORDER_SIZE) -
     return Order(top["shingle"].to_numpy(np.int64).view(U64), np.arange(len(top), 0, -1))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _rarest_first(hashes: np.ndarray, offsets: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, rank and place in the order, from the rarest on, of each hash."""
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = order(hashes)
+    place = np.zeros(len(hashes), np.int64)
+    common, rare = np.flatnonzero(rank > 0), np.flatnonzero(rank == 0)
+    n_rare = np.bincount(owner[rare], minlength=len(n))
+    place[rare] = np.arange(len(rare)) - (np.cumsum(n_rare) - n_rare)[owner[rare]]
+    common = common[np.lexsort((rank[common], owner[common]))]
+    n_common = n - n_rare
+    place[common] = np.arange(len(common)) - (np.cumsum(n_common) - n_common)[owner[common]] + n_rare[owner[common]]
+    return owner, rank, place
+
+
+def _n_rarest(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """How many of its rarest shingles a set of ``n`` has to look at."""
+    return n - -(-n * share[0] // share[1]) + 1
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Set hashes, and the last looked-at shingle's place in the order as (rank, hash)."""
     for batch in batches:
         for part in chunks(batch):
             hashes, offsets = shingle_sets(part.column("text"), k)
+            n = np.diff(offsets)
+            owner, rank, place = _rarest_first(hashes, offsets, order)
+            last = np.flatnonzero(place == (_n_rarest(n, share) - 1)[owner])
+            last_rank, last_hash = np.zeros(len(n), np.int64), np.zeros(len(n), U64)
+            last_rank[owner[last]], last_hash[owner[last]] = rank[last], hashes[last]
             one, two = _set_keys(hashes, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), signed(one), signed(two)], ["doc_id", "n", "set_id", "set2"])
+            # flipping the sign bit keeps the order of unsigned values
+            columns = [part.column("doc_id"), pa.array(n), signed(one), signed(two), pa.array(last_rank), signed(last_hash ^ U64(1 << 63))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "set2", "last_rank", "last_hash"])
 
 
 def _rarest(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +157,8 @@ def _rarest(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tupl
     for batch in batches:
         for part in chunks(batch):
             hashes, offsets = shingle_sets(part.column("text"), k)
-            n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            rank = order(hashes)
-            place = np.zeros(len(hashes), np.int64)
-            common = np.flatnonzero(rank > 0)
-            rare = np.flatnonzero(rank == 0)
-            n_rare = np.bincount(owner[rare], minlength=len(n))
-            place[rare] = np.arange(len(rare)) - (np.cumsum(n_rare) - n_rare)[owner[rare]]
-            common = common[np.lexsort((rank[common], owner[common]))]
-            n_common = n - n_rare
-            place[common] = np.arange(len(common)) - (np.cumsum(n_common) - n_common)[owner[common]] + n_rare[owner[common]]
-            need = -(-n * share[0] // share[1])
-            keep = np.flatnonzero(place < (n - need + 1)[owner])
+            owner, rank, place = _rarest_first(hashes, offsets, order)
+            keep = np.flatnonzero(place < _n_rarest(np.diff(offsets), share)[owner])
             sets = _set_keys(hashes, offsets)[0]
             # a frequent shingle's members are dealt out by set, all others stay together
             salt = np.where(rank[keep] > 0, (sets[owner[keep]] >> U64(32)).astype(np.int64) % SALTS, 0)
@@ -224,7 +244,7 @@ def _block_links(ids: list, sides: np.ndarray, texts: pa.Array, k: int, order: O
     by = np.lexsort((hashes, -rank, owner))
     ordered = [hashes[by[a:b]] for a, b in zip(offsets[:-1], offsets[1:])]
     # candidates share one of the rarest shingles
-    rare = n - -(-n * num // den) + 1
+    rare = _n_rarest(n, share)
     tail = [o[len(o) - r :] for o, r in zip(ordered, rare.tolist())]
     keys, key = np.unique(np.concatenate(tail), return_inverse=True)
     holder = np.repeat(np.arange(len(n)), rare)
@@ -298,22 +318,39 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] =
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     order = frequency_order(texts, k)
-    keys = _saved(texts.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, n long, set_id long, set2 long"), "sets")
-    full = _saved(keys.filter("n > 0").groupBy("n", "set_id", "set2").agg(F.min("doc_id").alias("rep")), "classes")
+    schema = f"doc_id {kind}, n long, set_id long, set2 long, last_rank long, last_hash long"
+    keys = _saved(texts.mapInArrow(lambda it: _keys(it, k, order, share), schema), "sets")
+    same = ["n", "set_id", "set2", "last_rank", "last_hash"]
+    full = _saved(keys.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
 
     posted = texts.mapInArrow(lambda it: _rarest(it, k, order, share), "shingle long, salt byte, frequent boolean, set_id long")
     sorted_rows = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "set_id")
     groups = _saved(sorted_rows.mapInArrow(_shared, "shingle long, set_id long"), "groups")
 
-    pivots = groups.groupBy("shingle").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
-    home = groups.join(pivots, "shingle").groupBy("set_id").agg(F.max(F.struct("members", "pivot"))["pivot"].alias("home"))
-    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sized = groups.groupBy("shingle").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
+    few = groups.join(sized.filter(F.col("members") <= SMALL).select("shingle"), "shingle")
+    many = _saved(groups.join(sized.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle"), "large")
+    pairs = few.toDF("shingle", "x").join(few.toDF("shingle", "y"), "shingle").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
+    info = full.select("set_id", "n", F.struct("last_rank", "last_hash").alias("last"))
+    told = pairs.join(info.toDF("x", "nx", "lx"), "x").join(info.toDF("y", "ny", "ly"), "y")
+    num, den = share
+    # both have looked at all their shingles up to the earlier of the two ends
+    n_first = F.when(F.col("lx") <= F.col("ly"), F.col("nx")).otherwise(F.col("ny"))
+    looked = n_first - F.ceil(n_first * num / den) + 1
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den))
+    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    close = _saved(told.filter(fits & (looked - F.col("common") <= n_first - overlap)).select("x", "y"), "close")
+
+    ties = close.unionByName(many.filter("set_id <> pivot").select(F.col("set_id").alias("x"), F.col("pivot").alias("y")))
+    clusters = components(ties, "x", "y").toDF("set_id", "root")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
     part = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    placed = _saved(home.join(sizes, "home").select("set_id", F.xxhash64("home", part).alias("block")), "blocks")
+    placed = _saved(clusters.join(sizes, "root").select("set_id", F.xxhash64("root", part).alias("block")), "blocks")
 
-    # blocks meet where a shingle stands in both
-    stands = groups.join(placed, "set_id").select("shingle", "block").distinct()
-    meet = stands.toDF("shingle", "x").join(stands.toDF("shingle", "y"), "shingle").filter("x <= y").select("x", "y").distinct()
+    by_pair = close.join(placed.toDF("x", "bx"), "x").join(placed.toDF("y", "by"), "y").select("bx", "by")
+    stands = many.join(placed, "set_id").select("shingle", "block").distinct()
+    by_group = stands.toDF("shingle", "bx").join(stands.toDF("shingle", "by"), "shingle").select("bx", "by")
+    meet = by_pair.unionByName(by_group).select(F.least("bx", "by").alias("x"), F.greatest("bx", "by").alias("y")).distinct()
     meet = _saved(meet, "meetings")
     members = placed.join(full.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("block", "doc_id")
     packed = texts.mapInArrow(_pack_texts, f"doc_id {kind}, size long, packed binary")
@@ -325,7 +362,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] =
     links = _saved(both.mapInArrow(lambda it: _links(it, k, order, share), f"a {kind}, b {kind}"), "links")
 
     members = smallest_member(components(links)).toDF("rep", "component_id")
-    named = keys.join(full, ["n", "set_id", "set2"], "left").join(members, "rep", "left")
+    named = keys.join(full, same, "left").join(members, "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 
 
