@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["pii", "quality_crf", "substring_dedup", "packing", "ngram_join", "language_id", "decontaminate", "quality_rules", "toxicity"]
+MODULES = ["quality_crf", "substring_dedup", "packing", "ngram_join", "language_id", "secret_scan", "decontaminate", "quality_rules", "toxicity", "pii"]
 
 
 def _loaded():
