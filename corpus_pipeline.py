@@ -1,12 +1,55 @@
-"""Corpus preparation: stages that each take the documents the stage before them kept."""
+"""Corpus preparation: stages that each take the documents the stage before them kept.
+
+Order: toxic documents go, one document of each near-duplicate group stays, documents with benchmark
+items go, personal data is redacted, and what is left is packed into sequences. All stages but the
+last return the columns of ``documents``. Each stage's rows are written to the shared folder and read
+again, so a lost executor never costs more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opslens.llm import decontaminate, ngram_join, packing, pii, toxicity
+from opslens.llm.sampling import id_remainder
 from opslens.session import scratch_path
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; learned as in the query, on ids the hold-out leaves."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, toxicity.train(docs, labels, id_remainder(4) != 2))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every component; documents without words all stay."""
+    found = ngram_join.near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is verified."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+# learned scores, shared passages and tokens are beyond SQL; tests/llm/test_pipeline.py checks each stage by brute force
 ORACLE_SQL = None
 
 
