@@ -58,6 +58,19 @@ def test_cache_limit(spark, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(t) for t in texts]
 
 
+def test_plain_words_as_the_tokenizer_codes_them():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(33, 384)] + ["'re", "'S", "'ll", "THE", "ß", "é", "e\u0301", "İ", "Σ", "１", "\u200b", "日", "ǅ"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(200)) for _ in range(60)]
+    ids, first = q.WordEncoder(q.tokenizer_path())(pa.array(texts))
+    for text, a, b in zip(texts, first, first[1:]):
+        assert ids[a:b].tolist() == ids_of(text)
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert q.pack(docs.limit(0)).count() == 0
