@@ -38,7 +38,7 @@ from opslens.session import scratch_path
 U64 = np.uint64
 SHINGLE = 5
 SHARE = (4, 5)  # Jaccard bound as a fraction
-ORDER_SIZE = 65_536  # shingles in the broadcast order: 16 bytes each
+ORDER_SIZE = 131_072  # shingles in the broadcast order: 16 bytes each
 SALTS = 64  # a frequent shingle's group is dealt to so many tasks
 BLOCK = 256  # sets in a block, on average
 SMALL = 32  # groups up to this size are listed as pairs
@@ -88,7 +88,7 @@ class Order:
         return np.where(self.shingles[at] == hashes, self.rank[at], 0)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], k: int, least: int = 3) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], k: int, least: int = 2) -> Iterator[pa.RecordBatch]:
     """Shingles that several documents of one batch hold, with the number of those."""
     held: list[np.ndarray] = []
 
