@@ -28,11 +28,6 @@ def _(spark, d):
     return memory.eviction_candidates(tables.memory_op(spark, d), 2).select("memory_id", "key", "hits", "rank")
 
 
-@check("evict_replay")
-def _(spark, d):
-    return memory.evict_replay(tables.memory_op(spark, d), 5)
-
-
 @check(
     "apply_by_type",
     "task",

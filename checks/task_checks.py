@@ -227,7 +227,7 @@ def _(spark, d):
     """WITH victim AS (SELECT * FROM (SELECT pool, task_id AS victim_id, priority7 AS victim_priority, deadline_us AS victim_deadline,
       row_number() OVER (PARTITION BY pool ORDER BY priority7, seq) AS rn FROM task WHERE status = 'running' AND is_preemptible) WHERE rn = 1)
     SELECT t.pool, t.task_id, t.priority7, v.victim_id, v.victim_priority FROM task t JOIN victim v ON t.pool = v.pool
-    WHERE t.status = 'pending' AND (t.priority7 >= 80 OR t.is_hard_realtime) AND t.priority7 > v.victim_priority
+    WHERE t.status = 'pending' AND t.priority7 >= 80 AND t.is_hard_realtime AND t.priority7 > v.victim_priority
     AND (t.priority7 = 100 OR coalesce(t.deadline_us - {as_of_tasks} < (v.victim_deadline - {as_of_tasks}) * 0.8::DOUBLE, true))""",
 )
 def _(spark, d):
@@ -288,7 +288,7 @@ def _(spark, d):
     "task_event",
     """WITH moved AS (SELECT task_id, seq, lag(event) OVER (PARTITION BY task_id ORDER BY ts_us, seq) AS from_status, event AS to_status FROM task_event)
     SELECT task_id, seq, from_status, to_status FROM moved WHERE from_status IS NOT NULL AND (from_status, to_status) NOT IN
-      (('pending','ready'), ('pending','cancelled'), ('pending','deadline_missed'), ('ready','running'), ('ready','blocked'), ('running','completed'), ('running','failed'))""",
+      (('pending','ready'), ('pending','blocked'), ('blocked','pending'), ('pending','cancelled'), ('pending','deadline_missed'), ('ready','running'), ('ready','blocked'), ('running','completed'), ('running','failed'))""",
 )
 def _(spark, d):
     moves = ops.transition_table(spark, fixed.LIFECYCLE)

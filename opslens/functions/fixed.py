@@ -32,6 +32,8 @@ LATENCY_HISTORY = 1_000
 # Allowed status moves of a task.
 LIFECYCLE = [
     ("pending", "ready"),
+    ("pending", "blocked"),
+    ("blocked", "pending"),
     ("pending", "cancelled"),
     ("pending", "deadline_missed"),
     ("ready", "running"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from opslens.functions.fixed import ALERT_RULES, HEALTH_LIMITS, HEALTH_RANK, RULE_SCHEMA, lookup
 from opslens.functions.labels import format_labels
-from opslens.plans.ordered import fits_one_task, previous, time_chunk
+from opslens.plans.ordered import previous, time_chunk
 
 
 # ---------------------------------------------------------------- health
@@ -130,7 +132,8 @@ def expire_alerts(state: DataFrame, as_of: Column, ttl_us: int = 86_400_000_000)
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALERT_RULES, RULE_SCHEMA)
+    """The shipped rules: a constant list, so its size is known and it may be broadcast."""
+    return F.broadcast(spark.createDataFrame(ALERT_RULES, RULE_SCHEMA))
 
 
 def match_alert_rules(samples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -157,9 +160,8 @@ def breach_runs(matched: DataFrame, width: str = "1 hour", keys: Sequence[str] =
     """
     keys = list(keys)
     breach, order = F.col("breach"), ["ts", "seq"]
-    single = fits_one_task(matched)
-    part = keys if single else [*keys, "_chunk"]
-    base = matched if single else matched.withColumn("_chunk", time_chunk("ts", width))
+    part = [*keys, "_chunk"]
+    base = matched.withColumn("_chunk", time_chunk("ts", width))
     upto = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     # the breach right after a row that is none starts a run
     start = F.when(breach & ~F.lag("breach").over(W.partitionBy(*part).orderBy(*order)), F.col("ts"))
@@ -170,20 +172,18 @@ def breach_runs(matched: DataFrame, width: str = "1 hour", keys: Sequence[str] =
             "_first": F.min("ts").over(upto),
         }
     )
-    if single:
-        carried = local.withColumn("_carry", F.lit(None).cast("timestamp"))
-    else:
-        at = F.struct(*order)
-        chunks = local.groupBy(*part).agg(
-            F.min("breach").alias("_all"), F.max_by("breach", at).alias("_last"), F.max_by("_run", at).alias("_tail"), F.min("ts").alias("_from")
-        )
-        by_time = W.partitionBy(*keys).orderBy("_chunk")
-        before = by_time.rowsBetween(W.unboundedPreceding, -1)
-        # where the run after a chunk with a pause starts: at its own tail, or with the next chunk
-        chunks = chunks.withColumn("_after", F.when(~F.col("_all"), F.coalesce(F.when(F.col("_last"), F.col("_tail")), F.lead("_from").over(by_time))))
-        origin = F.coalesce(F.last("_after", ignorenulls=True).over(before), F.first("_from").over(before))
-        carry = chunks.select(*part, F.when(F.lag("_last").over(by_time), origin).alias("_carry"))
-        carried = local.join(carry, part)
+    at = F.struct(*order)
+    chunks = local.groupBy(*part).agg(
+        F.min("breach").alias("_all"), F.max_by("breach", at).alias("_last"), F.max_by("_run", at).alias("_tail"), F.min("ts").alias("_from")
+    )
+    by_time = W.partitionBy(*keys).orderBy("_chunk")
+    before = by_time.rowsBetween(W.unboundedPreceding, -1)
+    # where the run after a chunk with a pause starts: at its own tail, or with the next chunk
+    chunks = chunks.withColumn("_after", F.when(~F.col("_all"), F.coalesce(F.when(F.col("_last"), F.col("_tail")), F.lead("_from").over(by_time))))
+    origin = F.coalesce(F.last("_after", ignorenulls=True).over(before), F.first("_from").over(before))
+    carry = chunks.select(*[F.col(c).alias(f"{c}_of") for c in part], F.when(F.lag("_last").over(by_time), origin).alias("_carry"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in part])
+    carried = local.join(carry, same).drop(*[f"{c}_of" for c in part])
     since = F.when(breach, F.when(F.col("_head"), F.coalesce("_carry", "_first")).otherwise(F.col("_run")))
     held = F.unix_micros("ts") - F.unix_micros("since") >= F.col("hold_seconds") * 1_000_000
     out = carried.withColumn("since", since).withColumn("firing", F.coalesce(held, F.lit(False)))

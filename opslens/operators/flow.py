@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.plans.folds import Fold, chunked_fold, folded_keys
-from opslens.plans.ordered import first_row, running_sum, time_chunk
+from opslens.plans.ordered import first_row, last_row, running_sum, time_chunk
 
 # ---------------------------------------------------------------- aggregates
 
@@ -168,9 +168,12 @@ def dedupe_enqueue(events: DataFrame, key: str = "task_id", order: Sequence[str]
     return first_row(events, [key], F.struct(*order))
 
 
-def still_queued(enqueued: DataFrame, removed: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
-    """Enqueued rows not removed since; ``cleared`` has ``queue_id, clear_seq`` per cleared queue."""
-    live = enqueued.join(removed.select("task_id"), "task_id", "left_anti")
+def still_queued(events: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
+    """Last row of every (queue, task) whose last event is a put; a retry puts the same task again.
+
+    ``cleared`` has ``queue_id, clear_seq`` per cleared queue: what was put before that is gone too.
+    """
+    live = last_row(events, ["queue_id", "task_id"], F.struct("ts", "seq")).where(F.col("event") == "put")
     if cleared is None:
         return live
     last = cleared.groupBy("queue_id").agg(F.max("clear_seq").alias("clear_seq"))

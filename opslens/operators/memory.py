@@ -1,13 +1,10 @@
-"""Keyed stores: hits since the last store, eviction."""
+"""Keyed stores: hits since the last store, eviction candidates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opslens.plans.ordered import first_n, number_chunk, running_sum
+from opslens.plans.ordered import first_n
 
 
 def memory_access_counts(ops: DataFrame) -> DataFrame:
@@ -36,49 +33,3 @@ def eviction_candidates(ops: DataFrame, k: int) -> DataFrame:
     last = ops.where(F.col("op") == "store").groupBy("memory_id", "key").agg(F.max("seq").alias("stored_seq"))
     counted = memory_access_counts(ops).where("stored").join(last, ["memory_id", "key"])
     return first_n(counted, ["memory_id"], ["hits", "stored_seq"], k, rank="rank")
-
-
-def evict_replay(ops: DataFrame, capacity: int, width: int = 1_000_000, keys: Sequence[str] = ("memory_id",)) -> DataFrame:
-    """Stores that evict: at capacity the least accessed key leaves before the store, the one
-    stored first on ties; that holds for a store of a known key too.
-
-    Reads between two stores only matter as a count per key, so they are counted before the
-    shuffle that brings a memory together. What remains is replayed in order as a stream of
-    Arrow batches; the state of a memory is at most ``capacity`` keys.
-    """
-    (memory,) = keys
-    narrow = ops.select(memory, "seq", "op", "key")
-    stored = (F.col("op") == "store").cast("bigint")
-    epochs = running_sum(narrow, [memory], ["seq"], stored, number_chunk("seq", width), "_epoch")
-    reads = epochs.where(F.col("op") == "retrieve").groupBy(memory, "_epoch", "key").agg(F.count(F.lit(1)).alias("_hits"))
-    writes = epochs.where(F.col("op") == "store").select(memory, "_epoch", "key", F.lit(0).cast("bigint").alias("_hits"), "seq")
-    # a store opens its epoch (it has a seq), the reads of the epoch follow it
-    steps = writes.unionByName(reads.withColumn("seq", F.lit(None).cast("bigint")))
-    kind = ops.schema[memory].dataType.simpleString()
-    schema = f"`{memory}` {kind}, seq bigint, key bigint, evicted_key bigint, evicted_hits bigint"
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, hits = None, {}
-        for batch in batches:
-            out = []
-            names = batch.schema.names
-            cols = [batch.column(names.index(c)).to_pylist() for c in (memory, "seq", "key", "_hits")]
-            for owner, seq, key, count in zip(*cols):
-                if owner != current:
-                    current, hits = owner, {}
-                if seq is None:
-                    if key in hits:
-                        hits[key] += count
-                    continue
-                if len(hits) >= capacity and hits:
-                    victim = min(hits, key=hits.get)
-                    out.append((owner, seq, key, victim, hits.pop(victim)))
-                hits[key] = 0
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(columns[0]), batch.schema.field(memory).type)] + [pa.array(list(c), pa.int64()) for c in columns[1:]],
-                names=[memory, "seq", "key", "evicted_key", "evicted_hits"],
-            )
-
-    ordered = steps.repartition(memory).sortWithinPartitions(memory, "_epoch", F.col("seq").asc_nulls_last(), "key")
-    return ordered.mapInArrow(replay, schema)

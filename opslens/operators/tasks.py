@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opslens.functions.fixed import FEEDBACK_LEVEL, TIME_SLICES_MS, lookup
 from opslens.plans.ordered import first_n, first_row, last_row, number_chunk, position, previous, time_chunk
 
+# allowed moves are two words each; more than this many would be no constant list
+BROADCAST_MOVES = 10_000
+
 # ---------------------------------------------------------------- predicates
 
 
@@ -180,9 +183,12 @@ def dependencies_satisfied(tasks: DataFrame) -> DataFrame:
     )
 
 
-def preemption_candidates(tasks: DataFrame, keys: Sequence[str], as_of: Column) -> DataFrame:
+def preemption_candidates(tasks: DataFrame, keys: Sequence[str], as_of: Column, rank: str = "priority7") -> DataFrame:
     """Pending tasks that may take the place of a running one in the same pool.
 
+    Only hard real-time tasks of high priority ask for it. ``rank`` names the priority that counts
+    between two tasks, for instance one raised by what waits for the task.
+
     The victim is the lowest-priority preemptible running task of the pool, so the join has
     one row per pool on its right side.
     """
@@ -190,20 +196,20 @@ def preemption_candidates(tasks: DataFrame, keys: Sequence[str], as_of: Column)
         tasks.where((F.col("status") == "running") & F.col("is_preemptible")).select(
             *keys,
             F.col("task_id").alias("victim_id"),
-            F.col("priority7").alias("victim_priority"),
+            F.col(rank).alias("victim_priority"),
             F.col("deadline").alias("victim_deadline"),
             F.col("seq").alias("victim_seq"),
         ),
         keys,
         F.struct("victim_priority", "victim_seq"),
     )
-    new = tasks.where((F.col("status") == "pending") & ((F.col("priority7") >= 80) | F.col("is_hard_realtime")))
+    new = tasks.where((F.col("status") == "pending") & (F.col("priority7") >= 80) & F.col("is_hard_realtime"))
     ours = F.unix_micros("deadline") - F.unix_micros(as_of)
     theirs = F.unix_micros("victim_deadline") - F.unix_micros(as_of)
     worth_it = (F.col("priority7") == 100) | F.coalesce(ours < theirs * 0.8, F.lit(True))
     return (
         new.join(victims, list(keys))
-        .where((F.col("priority7") > F.col("victim_priority")) & worth_it)
+        .where((F.col(rank) > F.col("victim_priority")) & worth_it)
         .select(*keys, "task_id", "priority7", "victim_id", "victim_priority")
     )
 
@@ -281,5 +287,7 @@ def lifecycle_check(events: DataFrame, moves: DataFrame, width: str = "1 hour")
 
 
 def transition_table(spark, moves) -> DataFrame:
-    """Small table of allowed moves."""
-    return spark.createDataFrame(list(moves), "from_status string, to_status string")
+    """Table of allowed moves; up to ``BROADCAST_MOVES`` of them are broadcast."""
+    moves = list(moves)
+    table = spark.createDataFrame(moves, "from_status string, to_status string")
+    return F.broadcast(table) if len(moves) <= BROADCAST_MOVES else table

@@ -5,11 +5,11 @@ here split the order of each key into chunks, aggregate each chunk (with map-sid
 carry the aggregates forward over the small chunk table and finish inside each chunk. A key
 that holds a third of all rows is then spread over as many tasks as it has chunks.
 
-Where Spark's own size estimate of the input says that all of it fits one task, whatever the
-keys, the same result comes from a plain window: see ``fits_one_task``.
+There is one plan for inputs of any size. What a chunk gets from before stands as one extra row at
+its head, so nothing is joined: null keys and null chunks are groups like any other, as in a window.
 
-``chunk`` is one column or a list of columns, ascending, that coarsen ``order``: if a row
-sorts before another one, its chunk must not be larger. Keys must not be null.
+``chunk`` is one column or a list of columns, ascending with nulls first, that coarsen ``order``: if a row
+sorts before another one, its chunk must not be larger.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# estimated input size up to which a single task may get all rows of a key
-SINGLE_TASK_BYTES = 128 * 1024 * 1024
-
 UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
 
@@ -41,16 +38,6 @@ def number_chunk(value: Column | str, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate of the whole frame is within one task's share.
-
-    The estimate comes from file sizes and needs no job. It errs on the large side for joins
-    and is unlimited for unknown sources, which only leads to chunks.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= SINGLE_TASK_BYTES
-
-
 def _chunked(df: DataFrame, chunk) -> tuple[DataFrame, list[str]]:
     chunks = list(chunk) if isinstance(chunk, (list, tuple)) else [chunk]
     names = [f"_chunk{i}" for i in range(len(chunks))]
@@ -61,39 +48,38 @@ def _before(keys: Sequence[str], names: Sequence[str]):
     return W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _headed(base: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows with ``_mark`` 1, and each chunk's carry row with ``_mark`` 0."""
+    return base.withColumn("_mark", F.lit(1)).unionByName(carry.withColumn("_mark", F.lit(0)), allowMissingColumns=True)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, chunk, out: str) -> DataFrame:
     """Sum of ``value`` over all rows up to and including this one, per key."""
     keys = list(keys)
-    if fits_one_task(df):
-        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
     base, names = _chunked(df.withColumn("_v", value), chunk)
     part = keys + names
     carry = (
         base.groupBy(*part)
         .agg(F.sum("_v").alias("_t"))
-        .withColumn("_carry", F.coalesce(F.sum("_t").over(_before(keys, names)), F.lit(0)))
-        .drop("_t")
+        .select(*part, F.coalesce(F.sum("_t").over(_before(keys, names)), F.lit(0)).alias("_v"))
     )
-    local = F.sum("_v").over(W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return base.join(carry, part).withColumn(out, F.col("_carry") + F.coalesce(local, F.lit(0))).drop("_v", "_carry", *names)
+    total = F.sum("_v").over(W.partitionBy(*part).orderBy("_mark", *order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return _headed(base, carry).withColumn(out, total).where("_mark = 1").drop("_v", "_mark", *names)
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence, chunk, out: str) -> DataFrame:
     """1-based rank of the row in its key, like ``row_number``."""
     keys = list(keys)
-    if fits_one_task(df):
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     base, names = _chunked(df, chunk)
     part = keys + names
     carry = (
         base.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("_t"))
-        .withColumn("_carry", F.coalesce(F.sum("_t").over(_before(keys, names)), F.lit(0)))
-        .drop("_t")
+        .select(*part, F.coalesce(F.sum("_t").over(_before(keys, names)), F.lit(0)).alias("_n"))
     )
-    local = F.row_number().over(W.partitionBy(*part).orderBy(*order))
-    return base.join(carry, part).withColumn(out, (F.col("_carry") + local).cast("bigint")).drop("_carry", *names)
+    headed = _headed(base.withColumn("_n", F.lit(1).cast("bigint")), carry)
+    count = F.sum("_n").over(W.partitionBy(*part).orderBy("_mark", *order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return headed.withColumn(out, count.cast("bigint")).where("_mark = 1").drop("_n", "_mark", *names)
 
 
 def last_before(
@@ -111,21 +97,17 @@ def last_before(
     """
     keys = list(keys)
     last = 0 if inclusive else -1
-    if fits_one_task(df):
-        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
     base, names = _chunked(df.withColumn("_v", value), chunk)
     part = keys + names
     at = F.when(F.col("_v").isNotNull(), F.struct(*order))
     carry = (
         base.groupBy(*part)
         .agg(F.max_by("_v", at).alias("_t"))
-        .withColumn("_carry", F.last("_t", ignorenulls=True).over(_before(keys, names)))
-        .drop("_t")
+        .select(*part, F.last("_t", ignorenulls=True).over(_before(keys, names)).alias("_v"))
     )
-    frame = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
-    local = F.last("_v", ignorenulls=True).over(frame)
-    return base.join(carry, part).withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_v", "_carry", *names)
+    frame = W.partitionBy(*part).orderBy("_mark", *order).rowsBetween(W.unboundedPreceding, last)
+    latest = F.last("_v", ignorenulls=True).over(frame)
+    return _headed(base, carry).withColumn(out, latest).where("_mark = 1").drop("_v", "_mark", *names)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk, out: str) -> DataFrame:
@@ -141,8 +123,6 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: s
     """
     keys = list(keys)
     final = W.partitionBy(*keys).orderBy(*order)
-    if fits_one_task(df):
-        return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= n)
     grouped = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
     partial = (
         grouped.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)))

@@ -42,10 +42,11 @@ def test_preemption_rule(spark):
         [
             ("p", 1, "running", 50, True, False, "2024-01-01 00:01:40", 1),
             ("p", 2, "running", 20, False, False, None, 2),
-            ("p", 3, "pending", 80, True, False, "2024-01-01 00:01:30", 3),
-            ("p", 4, "pending", 80, True, False, "2024-01-01 00:01:10", 4),
-            ("p", 5, "pending", 100, True, False, "2024-01-01 01:00:00", 5),
+            ("p", 3, "pending", 80, True, True, "2024-01-01 00:01:30", 3),
+            ("p", 4, "pending", 80, True, True, "2024-01-01 00:01:10", 4),
+            ("p", 5, "pending", 100, True, True, "2024-01-01 01:00:00", 5),
             ("p", 6, "pending", 50, True, True, "2024-01-01 00:00:01", 6),
+            ("p", 7, "pending", 100, True, False, "2024-01-01 00:00:01", 7),
         ],
         "pool string, task_id bigint, status string, priority7 int, is_preemptible boolean, is_hard_realtime boolean, deadline string, seq bigint",
     )
@@ -53,6 +54,14 @@ def test_preemption_rule(spark):
     assert sorted((r.task_id, r.victim_id) for r in got.collect()) == [(4, 1), (5, 1)]
 
 
+def test_still_queued_after_retries(spark):
+    rows = [("q", 1, i, e) for i, e in enumerate(("put", "get", "put"))] + [("q", 2, 3, "put"), ("q", 2, 4, "get"), ("q", 3, 5, "put"), ("r", 3, 6, "get"), ("q", 4, 0, "put")]
+    log = spark.createDataFrame(rows, "queue_id string, task_id bigint, seq bigint, event string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert sorted((r.queue_id, r.task_id, r.seq) for r in flow.still_queued(log).collect()) == [("q", 1, 2), ("q", 3, 5), ("q", 4, 0)]
+    cleared = spark.createDataFrame([("q", 2)], "queue_id string, clear_seq bigint")
+    assert [r.task_id for r in flow.still_queued(log, cleared).collect()] == [3]
+
+
 def test_success_half(spark):
     events = spark.createDataFrame([(50, "pending"), (50, "pending"), (50, "completed"), (50, "failed")], "priority7 int, event string")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")

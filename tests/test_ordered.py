@@ -9,18 +9,10 @@ from pyspark.sql import Window as W, functions as F
 from opslens.operators.alerts import breach_runs
 from opslens.operators.flow import admit, apply_level_moves
 from opslens.operators.logs import enrich_with_context
-from opslens.operators.memory import evict_replay
 from opslens.operators.throttle import throttle
 from opslens.plans import ordered
 
 
-@pytest.fixture(params=["chunks", "one task"], autouse=True)
-def path(request, monkeypatch):
-    """Both ways: the tests are small, so chunks have to be asked for."""
-    monkeypatch.setattr(ordered, "SINGLE_TASK_BYTES", 0 if request.param == "chunks" else 1 << 70)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(3)
@@ -70,9 +62,7 @@ def test_first_n(rows):
     same(ordered.first_n(rows, ["k"], ["ts", "seq"], 7), rows.withColumn("rn", F.row_number().over(w)).where("rn <= 7"))
 
 
-def test_hot_key_is_split(rows, path):
-    if path != "chunks":
-        return
+def test_hot_key_is_split(rows):
     plan = ordered.running_sum(rows, ["k"], ["ts", "seq"], F.col("v"), ordered.time_chunk("ts"), "s")._jdf.queryExecution().toString()
     assert "windowspecdefinition(k#" in plan and "_chunk0" in plan
 
@@ -134,22 +124,6 @@ def test_context(rows):
                 assert got[r.seq] == (len(stack), stack[-1] if stack else None)
 
 
-def test_eviction(rows):
-    ops = rows.select("k", F.struct("ts", "seq").alias("o"), "seq", F.when(F.col("v") > 3, "store").otherwise("retrieve").alias("op"), (F.col("seq") % 23).alias("key"))
-    got = {r.seq: (r.evicted_key, r.evicted_hits) for r in evict_replay(ops, 5, width=200, keys=["k"]).collect()}
-    want, state = {}, {}
-    for r in sorted(ops.collect(), key=lambda r: r.seq):
-        hits = state.setdefault(r.k, {})
-        if r.op == "store":
-            if len(hits) >= 5:
-                victim = min(hits, key=hits.get)
-                want[r.seq] = (victim, hits.pop(victim))
-            hits[r.key] = 0
-        elif r.key in hits:
-            hits[r.key] += 1
-    assert got == want and len(want) > 100
-
-
 @pytest.mark.parametrize("limit", [-4, 2, 8])
 def test_breach_runs(rows, limit):
     samples = rows.select(F.lit("r").alias("rule"), F.col("k").alias("series"), "ts", "seq", (F.col("v") > limit).alias("breach"), F.lit(7200).cast("bigint").alias("hold_seconds"))
@@ -159,3 +133,18 @@ def test_breach_runs(rows, limit):
         for r in log:
             since = (since or r.ts) if r.breach else None
             assert got[r.seq] == (since, since is not None and r.ts - since >= timedelta(hours=2))
+
+
+def test_null_keys_and_times(spark):
+    data = [(k, None if i % 5 == 0 else datetime(2024, 1, 1) + timedelta(minutes=37 * i), i, i % 4) for i in range(60) for k in (None, "a")]
+    rows = spark.createDataFrame(data, "k string, ts timestamp, seq bigint, v bigint")
+    w = W.partitionBy("k").orderBy("ts", "seq")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    chunk = ordered.time_chunk("ts")
+    same(ordered.running_sum(rows, ["k"], ["ts", "seq"], F.col("v"), chunk, "s"), rows.withColumn("s", F.sum("v").over(upto)))
+    same(ordered.position(rows, ["k"], ["ts", "seq"], chunk, "n"), rows.withColumn("n", F.row_number().over(w)))
+    odd = F.when(F.col("v") > 1, F.col("seq"))
+    same(ordered.last_before(rows, ["k"], ["ts", "seq"], odd, chunk, "l"), rows.withColumn("l", F.last(odd, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))))
+    same(ordered.first_n(rows, ["k"], ["ts", "seq"], 3), rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3"))
+    samples = rows.select(F.lit("r").alias("rule"), F.col("k").alias("series"), "ts", "seq", (F.col("v") > 1).alias("breach"), F.lit(60).cast("bigint").alias("hold_seconds"))
+    assert breach_runs(samples, "3 hours").count() == len(data)
