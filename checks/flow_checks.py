@@ -118,6 +118,20 @@ def _(spark, d):
     return flow.queue_depth(tables.queue_event(spark, d)).select("queue_id", "seq", "event", "depth")
 
 
+@check(
+    "queue_depth_null_keys",
+    "queue_event",
+    """WITH q AS (SELECT CASE WHEN task_id % 11 <> 0 THEN queue_id END AS queue_id, CASE WHEN task_id % 13 <> 0 THEN ts_us END AS ts_us, seq, event FROM queue_event)
+    SELECT queue_id, seq, event, CAST(sum(CASE event WHEN 'put' THEN 1 ELSE -1 END) OVER (PARTITION BY queue_id ORDER BY ts_us NULLS FIRST, seq
+    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM q""",
+)
+def _(spark, d):
+    log = tables.queue_event(spark, d).withColumns(
+        {"queue_id": F.when(F.col("task_id") % 11 != 0, F.col("queue_id")), "ts": F.when(F.col("task_id") % 13 != 0, F.col("ts"))}
+    )
+    return flow.queue_depth(log).select("queue_id", "seq", "event", "depth")
+
+
 @check(
     "active_over_time",
     "result",

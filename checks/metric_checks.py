@@ -77,6 +77,22 @@ def _(spark, d):
     return out.select("user_id", "seq", us("sample_ts", "sample_us"), "value")
 
 
+@check(
+    "latest_before_null_keys",
+    "metric",
+    """WITH m AS (SELECT CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id, ts_us, seq, value, name FROM metric),
+    p AS (SELECT coalesce(user_id, -1) AS k, user_id, ts_us, seq FROM m WHERE name = 'error'),
+    s AS (SELECT coalesce(user_id, -1) AS k, ts_us, max_by(value, seq) AS value FROM m WHERE name = 'view' GROUP BY ALL)
+    SELECT p.user_id, p.seq, s.ts_us AS sample_us, s.value FROM p ASOF LEFT JOIN s ON p.k = s.k AND p.ts_us >= s.ts_us""",
+)
+def _(spark, d):
+    m = tables.metric(spark, d).withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    probes = m.where(F.col("name") == "error").select("user_id", "ts", "seq")
+    samples = m.where(F.col("name") == "view").select("user_id", "ts", "seq", "value")
+    out = ops.latest_before(probes, samples, ["user_id"], ["value"])
+    return out.select("user_id", "seq", us("sample_ts", "sample_us"), "value")
+
+
 @check(
     "latest_before_fresh",
     "metric",

@@ -151,6 +151,20 @@ def _(spark, d):
     return ops.edf_order(queued, ["pool"], as_of_tasks()).select("pool", "task_id", "rank", "deadline_missed")
 
 
+@check(
+    "edf_order_null_time",
+    "task",
+    """WITH t AS (SELECT CASE WHEN task_id % 9 <> 0 THEN pool END AS pool, task_id, seq, CASE WHEN task_id % 4 <> 0 THEN deadline_us END AS deadline_us FROM task WHERE status = 'pending')
+    SELECT pool, task_id, row_number() OVER (PARTITION BY pool ORDER BY deadline_us ASC NULLS LAST, seq) AS rank,
+    coalesce(deadline_us < {as_of_tasks}, false) AS deadline_missed FROM t""",
+)
+def _(spark, d):
+    queued = tables.task(spark, d).where(F.col("status") == "pending").withColumns(
+        {"pool": F.when(F.col("task_id") % 9 != 0, F.col("pool")), "deadline": F.when(F.col("task_id") % 4 != 0, F.col("deadline"))}
+    )
+    return ops.edf_order(queued, ["pool"], as_of_tasks()).select("pool", "task_id", "rank", "deadline_missed")
+
+
 @check(
     "task_order",
     "task",

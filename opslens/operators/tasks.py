@@ -115,7 +115,8 @@ def route_latency_metric(name: str = "name") -> DataFrame | Column:
 
 def priority_order(tasks: DataFrame, keys: Sequence[str], width: int = 1_000_000, priority: str = "priority7") -> DataFrame:
     """``rank`` in the priority queue: priority descending, then arrival."""
-    chunk = [-F.col(priority), number_chunk("seq", width)]
+    # chunks rise with nulls first, descending priorities end with nulls
+    chunk = [F.col(priority).isNull().cast("int"), -F.col(priority), number_chunk("seq", width)]
     return position(tasks, keys, [F.col(priority).desc(), F.col("seq")], chunk, "rank")
 
 
@@ -131,7 +132,7 @@ def task_order(tasks: DataFrame, keys: Sequence[str], width: str = "1 hour", pri
     """``rank`` by priority, then deadline (tasks with one first), then creation."""
     none = F.col("deadline").isNull()
     at = F.coalesce(F.col("deadline"), F.col("created_at"))
-    chunk = [-F.col(priority), none.cast("int"), time_chunk(at, width)]
+    chunk = [F.col(priority).isNull().cast("int"), -F.col(priority), none.cast("int"), time_chunk(at, width)]
     # two tasks with the same deadline are equal in the comparison: arrival decides
     tie = F.when(none, F.col("created_at"))
     order = [F.col(priority).desc(), F.col("deadline").asc_nulls_last(), tie, F.col("seq")]
