@@ -19,6 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from opslens.session import scratch_path
+
 CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,200}[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 SECRET_CUE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer)"
@@ -38,7 +40,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     ``before`` and ``after`` are up to 60 characters beside it. ``row`` tells repeated documents apart.
     """
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    # most texts have no digit, which is cheap to see
+    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]") & F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", "row", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("text", CANDIDATE, -1).alias("gap"))
     each = rows.select(
         "doc_id",
@@ -110,7 +113,10 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.
 
     ``labels`` holds labelled findings; at most ``SAMPLE`` of them, in hash order, are learned from.
     """
-    found = with_features(candidates(docs), dictionary(docs))
+    # texts are read once; labels, training and scoring read the candidates' features
+    path = scratch_path(docs.sparkSession, "candidates")
+    with_features(candidates(docs), dictionary(docs)).write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     labels = cue_labels(found) if labels is None else labels
     once = labels.filter("label IS NOT NULL").groupBy("doc_id", "start").agg(F.max("label").cast("double").alias("label"))
     known = found.join(once, ["doc_id", "start"]).orderBy(F.xxhash64("finding", "doc_id", "start")).limit(SAMPLE)
