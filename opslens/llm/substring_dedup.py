@@ -31,6 +31,7 @@ from opslens.session import scratch_path
 
 WINDOW = 50
 ANCHOR = 12
+SALTS = 16
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -123,7 +124,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     whole = found.filter("source < doc_id").select("doc_id", "lo", "n", "source")
     # an anchor with different paths in different documents: the graph branches there
     branching = compact.groupBy("anchor").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("anchor")
-    apart = found.filter("source = doc_id").join(branching, "anchor", "left_semi").select("doc_id", "lo", "n")
+    # a passage that many texts share makes hot anchors: their paths are dealt out by salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own = found.filter("source = doc_id").withColumn("salt", F.pmod(F.col("path"), F.lit(SALTS)).cast("int"))
+    apart = own.join(branching.select("anchor", salts), ["anchor", "salt"], "left_semi").select("doc_id", "lo", "n")
     listed = apart.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("paths"))
     edges_path = scratch_path(spark, "edges")
     (
