@@ -210,3 +210,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+
+_SPACE = r"[\x20\x09-\x0D]+"
+ORACLES = {
+    "op2_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS words FROM documents),
+n AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM n),
+least AS (SELECT h, min(doc_id) AS source FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN least USING (h), (SELECT unnest(range(50)) AS k) WHERE source < doc_id),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+}
