@@ -8,6 +8,8 @@ the only ones whose values are looked at again, counted by distinct value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -31,6 +33,13 @@ def value_cell(column: str) -> Column:
     )
 
 
+def _meet(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns in which null equals null."""
+    named = right.withColumnsRenamed({c: f"{c}_of" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in on])
+    return left.join(named, same).drop(*[f"{c}_of" for c in on])
+
+
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, str], counts: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -96,11 +105,11 @@ def order_statistics(
         wanted = mixed.drop("_lo", "_hi")
         if number <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-            inside = base.select(*part, "_v").join(wanted.select(*part), part)
+            inside = _meet(base.select(*part, "_v"), wanted.select(*part), part)
         else:
             # equal values are counted before the shuffle, so a hot value is one row per task
             inside = base
-        counted = inside.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c")).join(wanted, part)
+        counted = _meet(inside.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c")), wanted, part)
         running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
         counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
         hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"

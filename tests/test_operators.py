@@ -152,6 +152,11 @@ def test_components(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (9, 9), (10, 9)]
 
 
+def test_text_ids(spark):
+    df = spark.createDataFrame([("a-1", "b-2"), ("b-2", "a-1"), ("c", "a-1")], "waiter string, holder string")
+    assert sorted((r.task_id, r.component) for r in graph.deadlocked_tasks(df).collect()) == [("a-1", "a-1"), ("b-2", "a-1")]
+
+
 def test_no_deadlock(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)], "waiter bigint, holder bigint")
     assert graph.deadlocked_tasks(df).count() == 0

@@ -92,3 +92,11 @@ def test_history_keeps_the_latest(spark):
     df = spark.range(5000).select(F.lit("a").alias("name"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
     kept = stats.keep_last(df, ["name"], 10)
     assert sorted(r.seq for r in kept.collect()) == list(range(4990, 5000))
+
+
+def test_null_key_with_dense_values(spark):
+    rows = [(None if i % 2 else "a", 1 + i * 1e-9) for i in range(400)]
+    out = {r.k: r for r in stats.metric_summary(spark.createDataFrame(rows, "k string, value double"), ["k"]).collect()}
+    for key in (None, "a"):
+        own = [v for k, v in rows if k == key]
+        assert out[key]["count"] == len(own) and abs(out[key]["median"] - statistics.median(own)) < 1e-15
