@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a multiplier and of its inverse modulo 2**64."""
-    base = ODD[which]
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, U64)
-        p[:1] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+# powers of each multiplier and of its inverse modulo 2**64, as many as a text needed so far
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(which, 1 << max(10, int(size - 1).bit_length()))
+    """At least ``size`` powers of a multiplier and of its inverse."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) < size:
+        out = []
+        for base in (ODD[which], pow(ODD[which], -1, 1 << 64)):
+            p = np.full(max(size, CHUNK_BYTES + 1), base, U64)
+            p[:1] = 1
+            out.append(np.cumprod(p, dtype=U64))
+        have = out[0], out[1]
+        if size <= CHUNK_BYTES + 1:
+            _POWERS[which] = have
+    return have
 
 
 class Spans:
