@@ -60,7 +60,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def dictionary(docs: DataFrame, n_docs: int = DICTIONARY_DOCS, size: int = DICTIONARY) -> list[str]:
     """The most frequent words of at least three letters in a bounded sample of the documents."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).distinct()
+    # at most n_docs ids are broadcast; the texts stay where they are
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("word"))
     return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect()]
 
