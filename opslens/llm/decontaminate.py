@@ -2,10 +2,11 @@
 
 The items, a small table of checked size, go into a BM25 index that block-max WAND searches; more items
 than ``ITEMS_PER_INDEX`` are indexed in several blocks (document frequencies are then per block).
-A passage is ``PASSAGE`` terms, half overlapping the next. Scores are relative to the score of the
-item queried with itself, so one threshold fits items of any length; all items above it are
-retrieved, none is cut off. Retrieved items are then verified against the words around the passage:
-the word n-grams of the question and of the answer have to recur.
+A passage is ``PASSAGE`` terms, half overlapping the next. Items are indexed in even pieces of at most half
+a passage, so some passage holds any piece of a copy whole, however long the item is. Scores are
+relative to the score of the piece queried with itself; an item is retrieved by any piece above the
+threshold, none is cut off. Retrieved items are then verified whole against the words around the
+passage: the word n-grams of the question and of the answer have to recur.
 
 A benchmark row is (item_id, text); the last sentence counts as the answer, the rest as the
 question, and a text of one sentence is all question. With ``question`` and ``answer`` columns those
@@ -39,7 +40,7 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 class Items:
-    """One block of benchmark items: terms, questions, answers and their index."""
+    """One block of benchmark items: terms, questions, answers and the index of their pieces."""
 
     def __init__(self, rows: list[tuple[int, str, str]]):
         self.ids = [r[0] for r in rows]
@@ -49,7 +50,9 @@ class Items:
         parts = np.split(hashes, words.first[1:-1]) if both else []
         self.questions, self.answers = parts[0::2], parts[1::2]
         self.terms = [np.concatenate(p) for p in zip(self.questions, self.answers)]
-        self.index = BlockMaxIndex(self.terms)
+        cut = [np.array_split(t, max(-(-len(t) // (PASSAGE // 2)), 1)) for t in self.terms]
+        self.owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])  # item of each piece
+        self.index = BlockMaxIndex([piece for c in cut for piece in c])
 
     def verified(self, item: int, around: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams found in ``around``."""
@@ -115,7 +118,11 @@ def find(column: pa.Array, items: Items, threshold: float = THRESHOLD, overlap:
     key = np.unique(passage * n_terms + np.concatenate([term[known], term[known][inside]]))
     passage, terms = key // n_terms, key % n_terms
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for p, item, score in items.index.search_many(passage, terms, threshold):
+    hits: dict[tuple[int, int], float] = {}
+    for p, piece, score in items.index.search_many(passage, terms, threshold):
+        hit = p, int(items.owner[piece])
+        hits[hit] = max(score, hits.get(hit, 0.0))
+    for (p, item), score in hits.items():
         text = int(np.searchsorted(base, p, side="right")) - 1
         first = int(words.first[text]) + (p - int(base[text])) * half
         reach = len(items.terms[item])
@@ -139,7 +146,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], items: Items, threshold: float, ov
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and item that is verified in it, with the best passage's score and place."""
+    """One row per document and item that is verified in it, with the score and place of the best passage and piece."""
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_term long"

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from opslens.llm import decontaminate as q
 from opslens.llm.bm25 import B, K1, BlockMaxIndex
@@ -69,6 +70,18 @@ def test_planted_items(spark):
     assert q.contaminated_pairs(table, own).count() == 0
 
 
+def test_long_items():
+    rng = random.Random(11)
+    lengths = [60, 64, 65, 100, 128, 129, 150, 250, 300, 400, 600, 1000]
+    bench = [(i, " ".join(sentence(rng, 10) for _ in range(n // 10)) + " " + sentence(rng, 3 + n % 10), "") for i, n in enumerate(lengths)]
+    items = q.Items(bench)
+    for shift in (0, 1, 37, 63, 64, 100):
+        texts = [" ".join(word(rng) for _ in range(shift)) + " " + text + " " + sentence(rng, 90) for _, text, _ in bench]
+        texts += [" ".join(text.split()[: len(text.split()) // 3]) for _, text, _ in bench]
+        got = {(r[0], r[1]) for r in q.find(pa.array(texts), items)}
+        assert got == {(i, i) for i in range(len(bench))}
+
+
 def test_item_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i}") for i in range(25)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha3 beta3 gamma3 delta3 eps3 y"), (2, "alpha24 beta24 gamma24 delta24 eps24")], "doc_id long, text string")
