@@ -9,8 +9,11 @@ threshold, none is cut off. Retrieved items are then verified whole against the
 passage: the word n-grams of the question and of the answer have to recur.
 
 A benchmark row is (item_id, text); the last sentence counts as the answer, the rest as the
-question, and a text of one sentence is all question. With ``question`` and ``answer`` columns those
-are used.
+question, and a text of one sentence is all question. As that cut is only a guess, such an item is
+also verified if the n-grams of its whole text recur. With ``question`` and ``answer`` columns those
+are used, and both have to recur; an answer of at most ``NGRAM`` terms is a single n-gram, found or
+not, so there the n-grams of the whole item suffice as well, and answers too short to keep half their
+n-grams when one term changes are verified by shorter ones.
 
 Defined results: null or empty texts and items match nothing; repeated items match each; repeated
 documents each give their own rows; extra columns are ignored; with an empty item table no document
@@ -42,7 +45,8 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 class Items:
     """One block of benchmark items: terms, questions, answers and the index of their pieces."""
 
-    def __init__(self, rows: list[tuple[int, str, str]]):
+    def __init__(self, rows: list[tuple[int, str, str]], own: bool = False):
+        self.own = own  # the table tells questions and answers apart
         self.ids = [r[0] for r in rows]
         both = [t for _, question, answer in rows for t in (question, answer)]
         words = split_words(pa.array(both, pa.string()), lower=True, terms=True)
@@ -54,16 +58,21 @@ class Items:
         self.owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])  # item of each piece
         self.index = BlockMaxIndex([piece for c in cut for piece in c])
 
-    def verified(self, item: int, around: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and of the answer's n-grams found in ``around``."""
-        return _share(self.questions[item], around), _share(self.answers[item], around)
+    def verified(self, item: int, around: np.ndarray, overlap: float) -> tuple[float, float] | None:
+        """Shares of the question's and of the answer's n-grams found in ``around``; None if they do not verify the item."""
+        question, answer = self.questions[item], self.answers[item]
+        # of L - n + 1 n-grams a changed term takes n at most
+        n = max(min(NGRAM, (len(answer) + 1) // 3), 1) if self.own else NGRAM
+        shares = _share(question, around), _share(answer, around, n)
+        whole = not self.own or len(answer) <= NGRAM
+        return shares if min(shares) >= overlap or (whole and _share(self.terms[item], around) >= overlap) else None
 
 
-def _share(part: np.ndarray, around: np.ndarray) -> float:
+def _share(part: np.ndarray, around: np.ndarray, n: int = NGRAM) -> float:
     """Share of the distinct n-grams of ``part`` that ``around`` has; 1 for nothing."""
     if not len(part):
         return 1.0
-    n = min(NGRAM, len(part))
+    n = min(n, len(part))
     return float(np.isin(np.unique(_grams(part, n)), _grams(around, n)).mean())
 
 
@@ -86,12 +95,12 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     for row in rows.orderBy("item_id").toLocalIterator():
         question, answer = (row[1] or "", row[2] or "") if own else split_item(row[1] or "")
         if block and (len(block) >= ITEMS_PER_INDEX or chars + len(question) + len(answer) > MAX_ITEM_CHARS):
-            yield Items(block)
+            yield Items(block, own)
             block, chars = [], 0
         block.append((row[0], question, answer))
         chars += len(question) + len(answer)
     if block:
-        yield Items(block)
+        yield Items(block, own)
 
 
 def find(column: pa.Array, items: Items, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Iterator[tuple[int, int, float, float, float, int]]:
@@ -127,8 +136,8 @@ def find(column: pa.Array, items: Items, threshold: float = THRESHOLD, overlap:
         first = int(words.first[text]) + (p - int(base[text])) * half
         reach = len(items.terms[item])
         around = hashes[max(first - reach, words.first[text]) : min(first + PASSAGE + reach, words.first[text + 1])]
-        shares = items.verified(item, around)
-        if min(shares) >= overlap and score > best.get((text, item), (-1.0,))[0]:
+        shares = items.verified(item, around, overlap)
+        if shares and score > best.get((text, item), (-1.0,))[0]:
             best[text, item] = (score, *shares, first - int(words.first[text]))
     for (text, item), found in sorted(best.items()):
         yield text, item, *found

@@ -82,6 +82,25 @@ def test_long_items():
         assert got == {(i, i) for i in range(len(bench))}
 
 
+def test_short_answers():
+    rng = random.Random(12)
+    question = [" ".join(sentence(rng, 15) for _ in range(2)) for _ in range(6)]
+    answer = ["Q.", "Two three.", "One two three four five.", "One two three four five six seven.", "", "No such answer in any text."]
+    changed = ["R.", "Two four.", "One two nine four five.", "One two three nine five six seven.", "", "Quite another one stands here instead."]
+    rows = list(zip(range(6), question, answer))
+    without = pa.array([f"{sentence(rng, 20)} {a} {sentence(rng, 20)}" for a in question])
+    other = pa.array([f"{sentence(rng, 20)} {a} {b} {sentence(rng, 20)}" for a, b in zip(question, changed)])
+    apart = pa.array([f"{sentence(rng, 20)} {a} and the answer is {b} {sentence(rng, 20)}" for a, b in zip(question, answer)])
+    for texts in (without, other, apart):
+        assert {(r[0], r[1]) for r in q.find(texts, q.Items(rows))} == {(i, i) for i in range(6)}
+    # columns of their own: a long answer has to recur, be it with one term changed
+    assert {(r[0], r[1]) for r in q.find(without, q.Items(rows, own=True))} == {(i, i) for i in (0, 1, 2, 4)}
+    assert {(r[0], r[1]) for r in q.find(other, q.Items(rows, own=True))} == {(i, i) for i in range(5)}
+    assert {(r[0], r[1]) for r in q.find(apart, q.Items(rows, own=True))} == {(i, i) for i in range(6)}
+    half = pa.array([" ".join(a.split()[:8]) + " " + sentence(rng, 40) for a in question])
+    assert not list(q.find(half, q.Items(rows))) and not list(q.find(half, q.Items(rows, own=True)))
+
+
 def test_item_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i}") for i in range(25)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha3 beta3 gamma3 delta3 eps3 y"), (2, "alpha24 beta24 gamma24 delta24 eps24")], "doc_id long, text string")
