@@ -2,9 +2,11 @@
 
 A candidate is a run of 16 or more characters of ``[A-Za-z0-9_+/=.-]`` with a digit. The forest sees its
 length, character classes and transitions between them, how much of it dictionary words cover, path
-traits, and the words beside it. It learns from labelled findings (doc_id, start, label); where a
-corpus has none, ``cue_labels`` names as secret what is assigned to a credential word, and as other
-what stands in plain text. Built-in functions and Spark's own forest only.
+traits, and the words beside it. In ``NAME=value`` the value is the finding and the name stands before
+it. The forest learns from labelled findings (doc_id, start, label); where a corpus has none,
+``cue_labels`` names as secret what is assigned to a credential word or follows an authorization
+scheme, and as other what tells by its form or by another cue; the rest teaches nothing. Built-in
+functions and Spark's own forest only.
 
 Defined results: null, empty and candidate-free texts give no row; repeated rows give their own rows
 each; extra columns are ignored; without labels of both kinds nothing can be told apart, and every
@@ -22,16 +24,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from opslens.session import scratch_path
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,200}[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
+# up to the last = that a value of 8 characters follows; padding stays with the value
+NAME = r"^(.*=)(?=[^=].{7})"
 WORD_SPACE = r"[\x20\x09-\x0D]+"
-SECRET_CUE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer)"
+SECRET_CUE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|auth(?!or(?!i[sz]))|bearer)"
 OTHER_CUE = r"(?i)(commit|sha|md5|digest|checksum|uuid|version|revision|build|isbn|card|account|order|invoice)"
+IDENTIFIER = r"^[A-Za-z_][A-Za-z_.\-]*$"
+ASSIGNS = r"^[\"'`]?[\x20\x09]*[=:]"
+PLAIN = r"^[A-Za-z]?[a-z]+\.?$"  # a word as prose has it
+# forms that tell: numbers, words, paths and hosts with an extension
+OTHER_FORM = r"^([0-9./\-]+|[A-Za-z]?[a-z]+\.?|[A-Za-z0-9_\-]*+([./][A-Za-z0-9_\-]*+)*\.[A-Za-z]{2,5})$"
 SAMPLE = 20_000  # labelled findings to learn from
 DICTIONARY = 2_000  # words
 DICTIONARY_DOCS = 2_000  # documents the dictionary is taken from
 TREES, DEPTH = 30, 6
 FEATURES = [
     "n_chars", "n_digits", "n_upper", "n_lower", "n_marks", "n_turns", "n_distinct", "is_hex", "covered",
-    "n_slashes", "n_dots", "has_extension", "cue_before", "other_before", "assigned", "quoted", "word_before", "word_after",
+    "n_slashes", "n_dots", "has_extension", "cue_before", "other_before", "assigned", "quoted", "word_before", "word_after", "is_name",
 ]
 
 
@@ -43,17 +52,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     # most texts have no digit, which is cheap to see
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]") & F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", "row", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("text", CANDIDATE, -1).alias("gap"))
+    # what stands beside a candidate may be candidates as well
     each = rows.select(
         "doc_id",
         "row",
         F.posexplode(
             F.expr(
-                "transform(hit, (h, i) -> struct(h AS finding, length(gap[i]) AS skipped, right(gap[i], 60) AS before, left(gap[i + 1], 60) AS after))"
+                f"""transform(hit, (h, i) -> struct(
+                    regexp_replace(h, r'{NAME}', '') AS finding,
+                    length(gap[i]) AS skipped,
+                    length(h) AS n_hit,
+                    right(concat_ws('', right(get(gap, i - 2), 60), right(get(hit, i - 2), 60), right(get(gap, i - 1), 60), right(get(hit, i - 1), 60), gap[i], regexp_extract(h, r'{NAME}', 1)), 60) AS before,
+                    left(concat_ws('', gap[i + 1], left(get(hit, i + 1), 60)), 60) AS after))"""
             )
         ).alias("at", "c"),
     ).select("doc_id", "row", "at", "c.*")
     # only candidate rows are shuffled; a partition is one document
-    total = "sum(skipped + length(finding)) OVER (PARTITION BY row ORDER BY at)"
+    total = "sum(skipped + n_hit) OVER (PARTITION BY row ORDER BY at)"
     out = each.withColumn("end", F.expr(total).cast("long")).withColumn("start", F.col("end") - F.length("finding"))
     return out.select("doc_id", "row", "start", "end", "finding", "before", "after")
 
@@ -77,7 +92,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     runs = F.regexp_extract_all(F.lower("finding"), F.lit(r"[a-z]{3,}"), F.lit(0))
     covered = F.aggregate(F.filter(runs, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w)) / F.length("finding")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    near = F.regexp_extract("before", r"([^\x20\x09-\x0D]*[\x20\x09-\x0D]*[^\x20\x09-\x0D]*)$", 1)
+    # the last three words: a credential word, a sign of assignment and a quote
+    near = F.regexp_extract("before", r"((?:[^\x20\x09-\x0D]*[\x20\x09-\x0D]*){2}[^\x20\x09-\x0D]*)$", 1)
     return found.select(
         "*",
         F.length("finding").cast("double").alias("n_chars"),
@@ -98,15 +114,26 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         flag(F.col("before").rlike(r"[\"'`]$")).alias("quoted"),
         flag(F.col("before").rlike(r"\p{L}[\x20\x09-\x0D]*$")).alias("word_before"),
         flag(F.col("after").rlike(r"^[\x20\x09-\x0D]*\p{L}")).alias("word_after"),
+        flag(F.col("finding").rlike(IDENTIFIER) & F.col("after").rlike(ASSIGNS)).alias("is_name"),
     )
 
 
 def cue_labels(found: DataFrame) -> DataFrame:
-    """(doc_id, start, label) for findings whose surroundings tell: assigned to a credential word, or in running text."""
+    """(doc_id, start, label) for findings whose surroundings and form tell; uncertain ones are left out.
+
+    Secret is what is assigned to a credential word or follows an authorization scheme. Other is what
+    stands in running text and is a number, a word, a path or a host; what follows another cue or
+    an at-sign; and the name in an assignment. A word after ``token: `` may be either.
+    """
     line = F.regexp_extract("before", r"([^\x0A]*)$", 1)
-    secret = line.rlike(SECRET_CUE + r"[\x20\w\"']{0,20}[=:][\x20]*[\"'`]?$")
-    other = line.rlike(OTHER_CUE) | F.col("before").rlike(r"\p{L}[\x20]+$") | (F.trim("before") == "") | F.col("before").rlike("@$")
-    label = F.when(secret, 1).when(other, 0)
+    plain, cue = F.col("finding").rlike(PLAIN), line.rlike(SECRET_CUE)
+    assigned = line.rlike(SECRET_CUE + r"[\x20\w\"']{0,20}[=:>]{1,2}[\x20\x09]*[\"'`]?$")
+    value = ~plain | line.rlike(r"[\"'`=]$|=[\x20\x09]+$")
+    scheme = line.rlike(r"(?i)\bauthorization[\"']?[\x20]*[=:][\x20]*[\"'`]?\w+[\x20]+$") | (line.rlike(r"(?i)\b(bearer|basic)[\x20]+[\"'`]?$") & ~plain)
+    name = F.col("finding").rlike(IDENTIFIER) & F.col("after").rlike(ASSIGNS)
+    running = ~line.rlike(r"(?i)\bbasic[\x20]+$") & F.col("before").rlike(r"\p{L}[.,;!?]?[\x20]+$") & F.col("finding").rlike(OTHER_FORM)
+    other = F.col("before").rlike("@$") | name | (~cue & (line.rlike(OTHER_CUE) | running))
+    label = F.when((assigned & value & ~name) | scheme, 1).when(other & ~assigned, 0)
     return found.select("doc_id", "start", label.alias("label")).filter("label IS NOT NULL")
 
 

@@ -39,6 +39,39 @@ def test_candidates_and_forest(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def forms():
+    """Texts with secrets in the forms that configurations, shells and headers have, and what the finding is."""
+    rng = random.Random(9)
+    made = lambda n, chars="ABCDEFGHKLMNPQRSTabcdefghkmnpqrstuv23456789": "".join(rng.choice(chars) for _ in range(n - 1)) + "7"
+    rows = []
+    for i in range(400):
+        secret = made(rng.choice([24, 40]))
+        text = [f"export AWS_SECRET_ACCESS_KEY={secret}", f"api_key={secret}", f"Authorization: Bearer {secret}", f"run it with --password={secret}== now", f"Authorization: Basic {secret}", f"MY_TOKEN = '{secret}'", f'"client_secret": "{secret}"'][i % 7]
+        filler = " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(20))
+        other = rng.choice([made(16, "0123456789"), f"lorem/ipsum{i}/dolor_2/file.txt", f"mail{i}.example-host.com", f"commit {made(40, '0123456789abcdef')}"])
+        rows.append((i, f"{text}\n{filler} {other} {filler}", secret))
+    return rows
+
+
+def test_names_and_schemes(spark):
+    rows = forms()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    texts, own = {r[0]: r[1] for r in rows}, {(r[0], r[1].index(r[2])) for r in rows}
+    found = q.with_features(q.candidates(docs), []).cache()
+    labels = {(r.doc_id, r.start): r.label for r in q.cue_labels(found).collect()}
+    assert {labels.get(at) for at in own} == {1} and {v for at, v in labels.items() if at not in own} == {0}
+    out = q.scan(docs).collect()
+    assert all(texts[r.doc_id][r.start : r.end] == r.finding for r in out)
+    assert {(r.doc_id, r.start) for r in out if r.is_secret} == own
+
+
+def test_uncertain_is_not_taught(spark):
+    texts = ["9f8b7c6d5e4f3a2b1c0d", "use 9f8b7c6d5e4f3a2b1c0d here", "the basic internationalization", "token: internationalization9", "author: maximilian-friedrich9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r.doc_id: r.label for r in q.cue_labels(q.with_features(q.candidates(docs), [])).collect()}
+    assert labels == {3: 1}
+
+
 def test_given_labels(spark):
     docs = spark.createDataFrame([(i, f"x{'1' if i % 2 else 'a'}{'0123456789abcdef'[: 16 + i % 3]}9 end") for i in range(40)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, start long, label int")
