@@ -1,6 +1,7 @@
 """Secrets in texts: wide candidates, and a random forest that takes the false positives out.
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9_+/=.-]`` with a digit. The forest sees its
+A candidate is a run of 16 or more characters of ``[A-Za-z0-9_+/=.-]``, or of 8 or more after a sign of
+assignment or a credential word; digits are not asked for. The forest sees its
 length, character classes and transitions between them, how much of it dictionary words cover, path
 traits, and the words beside it. In ``NAME=value`` the value is the finding and the name stands before
 it. The forest learns from labelled findings (doc_id, start, label); where a corpus has none,
@@ -23,7 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslens.session import scratch_path
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,200}[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
+# a credential word and what may stand between it and its value
+CREDENTIAL = r"(?i:token|secret|passw|passphrase|pwd|api.?key|access.?key|private|credential|auth|bearer|basic)\w{0,20}[\"'`]?[\x20\x09=:>]{1,4}[\"'`]?"
+RUN = r"[A-Za-z0-9_+/=.\-]"
+CANDIDATE = (
+    rf"(?<!{RUN})(?=[_+/=.\-]*+[A-Za-z0-9])(?:{RUN}{{16,}}+"
+    rf"|(?={RUN}{{8}})(?:(?<=[=:][\x20\x09]{{0,8}}[\"'`]?)|(?<={CREDENTIAL})|(?=[A-Za-z0-9_+/.\-]{{0,7}}=[^=](?<={RUN}){RUN}{{7}})){RUN}{{8,}}+)"
+)
 # up to the last = that a value of 8 characters follows; padding stays with the value
 NAME = r"^(.*=)(?=[^=].{7})"
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -49,8 +56,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     ``before`` and ``after`` are up to 60 characters beside it. ``row`` tells repeated documents apart.
     """
-    # most texts have no digit, which is cheap to see
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]") & F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", "row", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("text", CANDIDATE, -1).alias("gap"))
     # what stands beside a candidate may be candidates as well
     each = rows.select(
@@ -92,8 +98,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     runs = F.regexp_extract_all(F.lower("finding"), F.lit(r"[a-z]{3,}"), F.lit(0))
     covered = F.aggregate(F.filter(runs, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w)) / F.length("finding")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    # the last three words: a credential word, a sign of assignment and a quote
-    near = F.regexp_extract("before", r"((?:[^\x20\x09-\x0D]*[\x20\x09-\x0D]*){2}[^\x20\x09-\x0D]*)$", 1)
+    # the line's last three words: a credential word, a sign of assignment and a quote
+    near = F.regexp_extract("before", r"((?:[^\x20\x09-\x0D]*[\x20\x09]*){2}[^\x20\x09-\x0D]*)$", 1)
     return found.select(
         "*",
         F.length("finding").cast("double").alias("n_chars"),
@@ -131,7 +137,7 @@ def cue_labels(found: DataFrame) -> DataFrame:
     value = ~plain | line.rlike(r"[\"'`=]$|=[\x20\x09]+$")
     scheme = line.rlike(r"(?i)\bauthorization[\"']?[\x20]*[=:][\x20]*[\"'`]?\w+[\x20]+$") | (line.rlike(r"(?i)\b(bearer|basic)[\x20]+[\"'`]?$") & ~plain)
     name = F.col("finding").rlike(IDENTIFIER) & F.col("after").rlike(ASSIGNS)
-    running = ~line.rlike(r"(?i)\bbasic[\x20]+$") & F.col("before").rlike(r"\p{L}[.,;!?]?[\x20]+$") & F.col("finding").rlike(OTHER_FORM)
+    running = ~line.rlike(r"(?i)\bbasic[\x20]+$") & F.col("before").rlike(r"\p{L}[.,;:!?]?[\x20]+$") & F.col("finding").rlike(OTHER_FORM)
     other = F.col("before").rlike("@$") | name | (~cue & (line.rlike(OTHER_CUE) | running))
     label = F.when((assigned & value & ~name) | scheme, 1).when(other & ~assigned, 0)
     return found.select("doc_id", "start", label.alias("label")).filter("label IS NOT NULL")

@@ -65,6 +65,35 @@ def test_names_and_schemes(spark):
     assert {(r.doc_id, r.start) for r in out if r.is_secret} == own
 
 
+def weak():
+    """Secrets that are short, have no digit, or have it late."""
+    rng = random.Random(10)
+    made = lambda n, chars="ABCDEFGHKLMNPQRSTabcdefghkmnpqrstuv": "".join(rng.choice(chars) for _ in range(n))
+    rows = []
+    for i in range(300):
+        secret = [made(7, "abcdefghkm") + "7xyz", made(19, "abcdefghkmnprst"), made(16), made(8, "abcdefgh2345"), made(230) + "7"][i % 5]
+        text = [f'password: "{secret}"', f'password = "{secret}"', f"token = '{secret}'", f"pwd={secret}", f"secret: {secret}"][i % 5]
+        filler = " ".join(rng.choice(["lorem", "ipsum", "dolor", "consectetuer", "note: incididunt", "internationalisation"]) for _ in range(20))
+        rows.append((i, f"{filler}\n{text}\n{filler} {rng.randrange(10**15, 10**16)} {filler}", secret))
+    return rows
+
+
+def test_weak_secrets(spark):
+    rows = weak()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    out = q.scan(docs).collect()
+    own = {(r[0], r[1].index(r[2]), r[2]) for r in rows}
+    assert own <= {(r.doc_id, r.start, r.finding) for r in out}
+    assert {(r.doc_id, r.start, r.finding) for r in out if r.is_secret} == own
+
+
+def test_gate(spark):
+    texts = ['password: "hunter2xyz"', 'password = "correcthorsebattery"', "pwd=hunter2x", "Bearer abcdefgh", "x" * 300 + "1", "QwErTyUiOpAsDfGh", "password hunter2xyz", "------------------------", "short words, nothing here", "a1b2c3d4 alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.finding for r in q.candidates(docs).collect()}
+    assert found == dict(enumerate(["hunter2xyz", "correcthorsebattery", "hunter2x", "abcdefgh", "x" * 300 + "1", "QwErTyUiOpAsDfGh", "hunter2xyz"]))
+
+
 def test_uncertain_is_not_taught(spark):
     texts = ["9f8b7c6d5e4f3a2b1c0d", "use 9f8b7c6d5e4f3a2b1c0d here", "the basic internationalization", "token: internationalization9", "author: maximilian-friedrich9"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
