@@ -43,7 +43,6 @@ PLAIN = r"^[A-Za-z]?[a-z]+\.?$"  # a word as prose has it
 OTHER_FORM = r"^([0-9./\-]+|[A-Za-z]?[a-z]+\.?|[A-Za-z0-9_\-]*+([./][A-Za-z0-9_\-]*+)*\.[A-Za-z]{2,5})$"
 SAMPLE = 20_000  # labelled findings to learn from
 DICTIONARY = 2_000  # words
-DICTIONARY_DOCS = 2_000  # documents the dictionary is taken from
 TREES, DEPTH = 30, 6
 FEATURES = [
     "n_chars", "n_digits", "n_upper", "n_lower", "n_marks", "n_turns", "n_distinct", "is_hex", "covered",
@@ -79,12 +78,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "row", "start", "end", "finding", "before", "after")
 
 
-def dictionary(docs: DataFrame, n_docs: int = DICTIONARY_DOCS, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of at least three letters in a bounded sample of the documents."""
-    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).distinct()
-    # at most n_docs ids are broadcast; the texts stay where they are
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("word"))
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of at least three letters over all documents; counts are summed before the shuffle."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("word"))
     return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
@@ -137,7 +133,7 @@ def cue_labels(found: DataFrame) -> DataFrame:
     value = ~plain | line.rlike(r"[\"'`=]$|=[\x20\x09]+$")
     scheme = line.rlike(r"(?i)\bauthorization[\"']?[\x20]*[=:][\x20]*[\"'`]?\w+[\x20]+$") | (line.rlike(r"(?i)\b(bearer|basic)[\x20]+[\"'`]?$") & ~plain)
     name = F.col("finding").rlike(IDENTIFIER) & F.col("after").rlike(ASSIGNS)
-    running = ~line.rlike(r"(?i)\bbasic[\x20]+$") & F.col("before").rlike(r"\p{L}[.,;:!?]?[\x20]+$") & F.col("finding").rlike(OTHER_FORM)
+    running = ~line.rlike(r"(?i)\bbasic[\x20]+$") & F.col("before").rlike(r"(^|\x0A|\p{L}[.,;:!?]?[\x20])[\x20]*$") & F.col("finding").rlike(OTHER_FORM)
     other = F.col("before").rlike("@$") | name | (~cue & (line.rlike(OTHER_CUE) | running))
     label = F.when((assigned & value & ~name) | scheme, 1).when(other & ~assigned, 0)
     return found.select("doc_id", "start", label.alias("label")).filter("label IS NOT NULL")

@@ -84,7 +84,8 @@ def test_weak_secrets(spark):
     out = q.scan(docs).collect()
     own = {(r[0], r[1].index(r[2]), r[2]) for r in rows}
     assert own <= {(r.doc_id, r.start, r.finding) for r in out}
-    assert {(r.doc_id, r.start, r.finding) for r in out if r.is_secret} == own
+    found = {(r.doc_id, r.start, r.finding) for r in out if r.is_secret}
+    assert own <= found and len(found - own) < 0.01 * (len(out) - len(own))
 
 
 def test_gate(spark):
@@ -111,5 +112,11 @@ def test_given_labels(spark):
     assert all(r.is_secret == bool(r.doc_id % 2) for r in q.scan(docs, own).collect())
 
 
+def test_dictionary_covers_all_documents(spark):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(2500)]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+    assert q.dictionary(docs, size=3000) == sorted(names)
+
+
 def test_empty_table(spark):
     assert q.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
