@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["quality_crf", "substring_dedup", "packing", "ngram_join", "language_id", "secret_scan", "decontaminate", "quality_rules", "toxicity", "pii", "bpe", "hard_negatives"]
+MODULES = ["quality_crf", "substring_dedup", "packing", "ngram_join", "language_id", "secret_scan", "decontaminate", "quality_rules", "toxicity", "pii", "bpe", "hard_negatives", "alignment"]
 
 
 def _loaded():
