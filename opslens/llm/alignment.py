@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opslens.llm.bpe import VOCABULARY, compiled, encode_texts, text_buffers
 from opslens.llm.bpe_automaton import spread
 from opslens.llm.packing import tokenizer_path
-from opslens.llm.textnum import Spans, chunks
+from opslens.llm.textnum import Spans, buffers, chunks
 from opslens.session import scratch_path
 
 PIECES = "piece_bpe_32k.model"
-CHUNK = 1 << 22
+PART = 1_000_000  # bytes of text at once
+BATCH = 4_000_000  # bytes of text whose links share a list of pairs
 SPACE = "▁"
 
 
@@ -130,17 +132,51 @@ def group_texts(ids_a, ids_b, group_a, group_b, doc_a, doc_b, docs: int) -> list
     return [raw[x : y - 1] if y > x else b"" for x, y in zip(cut, cut[1:])]
 
 
-def _align(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _align(batches: Iterator[pa.RecordBatch], shared, with_groups: bool) -> Iterator[pa.RecordBatch]:
     (automaton, split), model = shared.value
     pieces = PieceEncoder(model)
+    if with_groups:
+        for batch in batches:
+            for part in chunks(batch, limit=PART):
+                _, _, groups = _align_part(part, automaton, split, pieces)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g.decode() for g in groups])], ["doc_id", "groups"])
+        return
     number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    pairs: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        for part in chunks(batch, limit=CHUNK):
-            yield _align_part(part, number, automaton, split, pieces)
-            number += 1
-
-
-def _align_part(part: pa.RecordBatch, number: int, automaton, split, pieces: PieceEncoder) -> pa.RecordBatch:
+        for part in chunks(batch, limit=PART):
+            rows, pair, groups = _align_part(part, automaton, split, pieces)
+            digest = pa.array([sha256(g).hexdigest() if g else "" for g in groups])
+            held.append(pa.RecordBatch.from_arrays([*rows.columns, digest], [*rows.schema.names, "digest"]))
+            pairs.append(pair)
+            size += buffers(part.column("text"))[1][-1]
+            if size >= BATCH:
+                yield _listed(held, pairs, number)
+                held, pairs, size, number = [], [], 0, number + 1
+    if held:
+        yield _listed(held, pairs, number)
+
+
+def _listed(held: list[pa.RecordBatch], pairs: list[np.ndarray], number: int) -> pa.RecordBatch:
+    """One batch: links as places in the list of its distinct pairs, which travels in the first row."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    pair, place, count = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+    cut = np.append(0, np.cumsum(rows.column("n_links").to_numpy())).tolist()
+    raw = place.astype("<u4").tobytes()
+    blank = [None] * (len(rows) - 1)
+    extra = [
+        pa.array(np.full(len(rows), number)),
+        pa.array([raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])], pa.binary()),
+        pa.array([pair] + blank, pa.list_(pa.int64())),
+        pa.array([count] + blank, pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, "batch", "links", "pairs", "counts"])
+
+
+def _align_part(part: pa.RecordBatch, automaton, split, pieces: PieceEncoder) -> tuple[pa.RecordBatch, np.ndarray, list[bytes]]:
+    """Counts per document, the id pair of each link (documents in order), and the groups' texts."""
     texts = part.column("text").cast(pa.large_string()).fill_null("")
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
     data, offsets = text_buffers(pc.if_else(pc.equal(texts, ""), texts, spaced))
@@ -152,44 +188,27 @@ def _align_part(part: pa.RecordBatch, number: int, automaton, split, pieces: Pie
     good = size > 0
     for doc, ids, side in ((doc_a, ids_a, automaton), (doc_b, ids_b, pieces)):
         good &= np.bincount(doc, side.sizes[ids], len(part)).astype(np.int64) == size
-        joined, n = side.bytes_of(ids[good[doc]])
-        kept = np.repeat(good, size)
-        wrong = np.repeat(np.arange(len(part)), size * good)[joined != data[kept]]
+        joined, _ = side.bytes_of(ids[good[doc]])
+        wrong = np.repeat(np.arange(len(part)), size * good)[joined != data[np.repeat(good, size)]]
         good[wrong] = False
-    keep_a, keep_b = good[doc_a], good[doc_b]
-    ids_a, doc_a, ids_b, doc_b = ids_a[keep_a], doc_a[keep_a], ids_b[keep_b], doc_b[keep_b]
+    if not good.all():
+        keep_a, keep_b = good[doc_a], good[doc_b]
+        ids_a, doc_a, ids_b, doc_b = ids_a[keep_a], doc_a[keep_a], ids_b[keep_b], doc_b[keep_b]
     # bytes are counted over the texts that take part
     end_a, end_b = np.cumsum(automaton.sizes[ids_a]), np.cumsum(pieces.sizes[ids_b])
     a = pd.DataFrame({"doc": doc_a, "at": end_a - automaton.sizes[ids_a]})
     b = pd.DataFrame({"doc": doc_b, "at": end_b - pieces.sizes[ids_b]})
     both = links(a, b)
     link_a, link_b = both["a"].to_numpy(), both["b"].to_numpy()
-    order = np.argsort(doc_a[link_a], kind="stable")
-    pair, place, count = np.unique(ids_a[link_a[order]] << 32 | ids_b[link_b[order]], return_inverse=True, return_counts=True)
-    n_links = np.bincount(doc_a[link_a], minlength=len(part))
-    cut = np.append(0, np.cumsum(n_links)).tolist()
-    raw = place.astype("<u4").tobytes()
+    link_doc = doc_a[link_a]
+    order = np.argsort(link_doc, kind="stable")
+    pair = ids_a[link_a[order]] << 32 | ids_b[link_b[order]]
     ends = np.intersect1d(end_a, end_b, assume_unique=True)
     group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
     groups = group_texts(ids_a, ids_b, group_a, group_b, doc_a, doc_b, len(part))
-    n_groups = np.bincount(doc_a[np.searchsorted(end_a, ends)], minlength=len(part))
-    blank = [None] * (len(part) - 1)
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("doc_id"),
-            pa.array(np.full(len(part), number)),
-            pa.array(np.bincount(doc_a, minlength=len(part))),
-            pa.array(np.bincount(doc_b, minlength=len(part))),
-            pa.array(n_groups),
-            pa.array(n_links),
-            pa.array([g.decode() for g in groups]),
-            pa.array([raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])], pa.binary()),
-            # the batch's pairs travel in its first row
-            pa.array([pair] + blank, pa.list_(pa.int64())),
-            pa.array([count] + blank, pa.list_(pa.int64())),
-        ],
-        ["doc_id", "batch", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "pairs", "counts"],
-    )
+    per_doc = lambda x: pa.array(np.bincount(x, minlength=len(part)))
+    counts = [per_doc(x) for x in (doc_a, doc_b, doc_a[np.searchsorted(end_a, ends)], link_doc)]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *counts], ["doc_id", "n_a", "n_b", "n_groups", "n_links"]), pair, groups
 
 
 def _sums(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -212,14 +231,13 @@ class Alignment:
         with open(model or tokenizer_path(PIECES), "rb") as f:
             shared = spark.sparkContext.broadcast((compiled(vocabulary or tokenizer_path(VOCABULARY)), f.read()))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, batch long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, pairs array<long>, counts array<long>"
-        rows = docs.select("doc_id", "text").mapInArrow(lambda it: _align(it, shared), schema)
-        # groups are whole texts of ids: their digest is kept, and the texts on demand
-        self.rows = rows
-        self.kind = kind
+        schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, digest string, batch long, links binary, pairs array<long>, counts array<long>"
+        texts = docs.select("doc_id", "text")
+        # the groups of a document are as long as its text: their digest is kept, the groups come on demand
+        self._groups = texts.mapInArrow(lambda it: _align(it, shared, True), f"doc_id {kind}, groups string")
+        self.spark, self.kind = spark, kind
         self.path = scratch_path(spark, "aligned")
-        digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("digest")
-        rows.select("doc_id", "batch", "n_a", "n_b", "n_groups", "n_links", digest, "links", "pairs", "counts").write.option("compression", "zstd").parquet(self.path)
+        texts.mapInArrow(lambda it: _align(it, shared, False), schema).write.option("compression", "zstd").parquet(self.path)
         listed = spark.read.parquet(self.path).filter("pairs IS NOT NULL").select("batch", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p"))
         self._listed = listed.select("batch", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
         self._pairs_path = scratch_path(spark, "aligned-pairs")
@@ -227,12 +245,11 @@ class Alignment:
 
     def groups(self) -> DataFrame:
         """(doc_id, groups): ids of each group as text, computed anew."""
-        return self.rows.select("doc_id", "groups")
+        return self._groups
 
     def pairs(self) -> DataFrame:
         """(a, b, total, best): how often ids are linked in the corpus, and whether that is B's highest."""
-        spark = self.rows.sparkSession
-        read = lambda: spark.read.parquet(self._pairs_path).select(
+        read = lambda: self.spark.read.parquet(self._pairs_path).select(
             F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "pair", "total"
         )
         # at most one row per entry of B's vocabulary
@@ -241,9 +258,8 @@ class Alignment:
 
     def documents(self) -> DataFrame:
         """Counts and digests per document."""
-        spark = self.rows.sparkSession
         marks = self._listed.join(self.pairs().select("pair", "total", F.col("best").cast("int").alias("best")), "pair").select("batch", "place", "total", "best")
-        docs = spark.read.parquet(self.path).select("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "links")
+        docs = self.spark.read.parquet(self.path).select("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "links")
         schema = f"doc_id {self.kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
         return docs.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(_sums, schema)
 

@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a tokenization automaton (``bpe_automaton``).
 
-Texts are cut into pieces, the distinct pieces of about 2 MB of text are read through the automaton's
+Texts are cut into pieces, the distinct pieces of about 1 MB of text are read through the automaton's
 tables side by side, and decoding emits the arc labels of the ids. The automaton is compiled once, on
 the driver, from the vocabulary file and sent to the tasks as a few arrays; tasks need no file.
 
@@ -26,7 +26,7 @@ from opslens.llm.packing import tokenizer_path
 from opslens.llm.textnum import buffers, chunks
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 @functools.lru_cache(maxsize=4)

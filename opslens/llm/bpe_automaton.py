@@ -103,6 +103,8 @@ class Automaton:
         self.removal = key[order]
         self.removal_leave = leave[at][order]
         self.removal_time = np.array(when[1:], np.int64)[order]
+        self.ever_removed = np.zeros(n, bool)
+        self.ever_removed[label] = True
 
     def _build_trie(self, labels: list[bytes], usable: list[int]) -> None:
         arcs: dict[int, int] = {}
@@ -117,35 +119,58 @@ class Automaton:
         self.trie_token = np.array(token, np.int32)
         self.arc_key = np.fromiter(arcs, np.int64, len(arcs))
         self.arc_to = np.fromiter(arcs.values(), np.int32, len(arcs))
-
-    @functools.cached_property
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each node that has arcs (0: none), and the transitions of those rows by byte."""
-        row = np.zeros(len(self.trie_token), np.int32)
-        inner = np.unique(self.arc_key >> 8)
-        row[inner] = np.arange(1, len(inner) + 1)
-        table = np.full((len(inner) + 1, 256), -1, np.int32)
-        table[row[self.arc_key >> 8], self.arc_key & 255] = self.arc_to
-        return row, table
+        self._lay_rows()
+
+    def _lay_rows(self) -> None:
+        """One table for all rows of transitions, each moved to where its entries find free slots: the entry of
+        a node and a byte is at base + byte if that slot belongs to the node."""
+        order = np.argsort(self.arc_key)
+        key, to = self.arc_key[order], self.arc_to[order]
+        node, byte = key >> 8, key & 255
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        count = np.diff(np.append(first, len(node)))
+        single = count == 1
+        # rows of several bytes go where the cursor finds room for them; it never goes back, so this is linear
+        cursor, taken, bases = 256, set(), np.zeros(len(first), np.int64)
+        for k in np.flatnonzero(~single)[np.argsort(-count[~single], kind="stable")].tolist():
+            mine = byte[first[k] : first[k] + count[k]].tolist()
+            while any(cursor + x - mine[0] in taken for x in mine):
+                cursor += 1
+            bases[k] = cursor - mine[0]
+            taken.update(cursor + x - mine[0] for x in mine)
+        # rows of one byte fill the gaps
+        used = np.zeros(max(taken, default=0) + int(single.sum()) + 513, bool)
+        used[list(taken)] = True
+        alone = np.flatnonzero(single)
+        bases[alone] = np.flatnonzero(~used[256:])[: len(alone)] + 256 - byte[first[alone]]
+        self.base = np.zeros(len(self.trie_token), np.int32)
+        self.base[node[first]] = bases
+        slots = np.repeat(bases, count) + byte
+        self.owner = np.full(int(slots.max(initial=0)) + 257, -1, np.int32)
+        self.to = self.owner.copy()
+        self.owner[slots] = node
+        self.to[slots] = to
 
     def accepts(self, place: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the states at these places have arcs of these labels."""
         good = np.ones(len(token), bool)
         rows = np.arange(len(token))
         bound = np.full(len(token), _NOW, np.int64)
-        if not len(self.removal):
-            return good
         while len(rows):
-            i = np.searchsorted(self.removal, token.astype(np.int64) << 32 | place, side="right") - 1
-            bad = (i >= 0) & (self.removal[i] >> 32 == token) & (self.removal_leave[i] >= place) & (self.removal_time[i] <= bound)
+            some = np.flatnonzero(self.ever_removed[token])
+            label, at = token[some].astype(np.int64), place[some]
+            i = np.searchsorted(self.removal, label << 32 | at, side="right") - 1
+            bad = some[(i >= 0) & (self.removal[i] >> 32 == label) & (self.removal_leave[i] >= at) & (self.removal_time[i] <= bound[some])]
             good[rows[bad]] = False
-            keep = ~bad & (self.left[token] >= 0)
-            rows, place, bound, token = rows[keep], place[keep], self.made[token[keep]], self.left[token[keep]]
+            keep = self.left[token] >= 0
+            keep[bad] = False
+            keep = np.flatnonzero(keep)
+            token = token[keep]
+            rows, place, bound, token = rows[keep], place[keep], self.made[token], self.left[token]
         return good
 
     def _steps(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Last token of every beginning of every piece: (piece, bytes read)."""
-        row, table = self.table
         width = int(length.max())
         last = np.full((len(start), width + 1), -1, np.int32)
         for at in range(width):
@@ -153,9 +178,9 @@ class Automaton:
             place = self.state[last[piece, at]] if at else np.zeros(len(piece), np.int64)
             node = np.zeros(len(piece), np.int32)
             for end in range(at, width):
-                node = table[row[node], data[start[piece] + end]]
-                alive = node >= 0
-                piece, place, node = piece[alive], place[alive], node[alive]
+                slot = self.base[node] + data[start[piece] + end]
+                alive = np.flatnonzero(self.owner[slot] == node)
+                piece, place, node = piece[alive], place[alive], self.to[slot[alive]]
                 token = self.trie_token[node]
                 whole = np.flatnonzero(token >= 0)
                 whole = whole[self.accepts(place[whole], token[whole])]

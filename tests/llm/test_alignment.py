@@ -97,9 +97,10 @@ def brute(texts, sides):
 NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-@pytest.mark.parametrize("chunk", [1 << 22, 3000])
-def test_against_brute_force(spark, sides, monkeypatch, chunk):
-    monkeypatch.setattr(q, "CHUNK", chunk)
+@pytest.mark.parametrize("sizes", [(1_000_000, 4_000_000), (1000, 3000)])
+def test_against_brute_force(spark, sides, monkeypatch, sizes):
+    monkeypatch.setattr(q, "PART", sizes[0])
+    monkeypatch.setattr(q, "BATCH", sizes[1])
     rng = random.Random(1)
     words = ["the", "Straße", "token", "é", "日本", "x1", "'s", "don't", "  ", "\n", "-", "▁", "...", "1234"]
     texts = TEXTS + [" ".join(rng.choice(words[:11] + words[12:]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
