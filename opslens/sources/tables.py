@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DAY_US = 86_400_000_000
 STREAM = "stream!"
+PARTS = "parts!"
 
 TABLE_NAMES = (
     "task",
@@ -35,6 +36,11 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
         from opslens.streaming.jobs import read_stream
 
         return read_stream(spark, folder.removeprefix(STREAM), f"{name}.parquet")
+    if folder.startswith(PARTS):
+        from opslens.streaming.jobs import read_stream
+
+        path = f"{folder.removeprefix(PARTS)}/{name}.parquet"
+        return read_stream(spark, path, "*.parquet", 1, spark.read.parquet(path).schema)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -43,6 +49,11 @@ def as_stream(folder: str) -> str:
     return STREAM + folder
 
 
+def as_parts(folder: str) -> str:
+    """A folder whose tables are folders of files, read as a stream of one file at a time, oldest first."""
+    return PARTS + folder
+
+
 def shift(ts: Column, micros: Column) -> Column:
     """Timestamp moved by a whole number of microseconds."""
     return F.timestamp_micros(F.unix_micros(ts) + micros.cast("bigint"))

@@ -1,7 +1,13 @@
-"""Streaming jobs with custom state per key.
+"""Streaming jobs with custom state per key, in event-time order.
 
-The rows of one key in one micro-batch are ordered before they are applied; what a trigger
-admits (``maxFilesPerTrigger`` and similar) bounds that. The state is a few values per key.
+Rows wait in the state of their key until the watermark has passed them, and are then applied in the
+order of ``(ts, seq)``, whatever files or micro-batches they came in. So results do not depend on how a
+stream is cut. Rows later than the watermark allows are dropped, as are rows without a time; rows without
+``seq`` come first among those of one time. A key's state is a few values and the rows that wait,
+which ``late`` bounds; it is freed when the machine is back at its start and nothing waits.
+
+The last rows of a stream that has ended are held until the watermark moves on: ``beats`` is a stream of
+times (column ``ts``) that moves it without being data.
 """
 
 from __future__ import annotations
@@ -17,99 +23,240 @@ from opslens.operators.alerts import match_alert_rules
 from opslens.plans.ordered import width_us
 
 
-def _rows(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> list[tuple]:
-    """The named columns of a key's rows as tuples, ordered by the first two. Plain lists: most
-    keys have a few rows per batch, for which frames cost more than the work."""
-    rows: list[tuple] = []
-    for frame in batches:
-        rows.extend(zip(*[frame[c].tolist() for c in columns]))
-    rows.sort(key=lambda r: r[:2])
-    return rows
+class Machine:
+    """What happens to one key. Methods take and return states, tuples of the fields in ``fields``, and never
+    change anything else. Rows are ``(at_us, seq, *columns)``, results are tuples of ``outputs``."""
+
+    columns: Sequence[str] = ()
+    fields: str = ""
+    outputs: str = ""
+    start: tuple = ()
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        """The state after a row, and what it gives."""
+        raise NotImplementedError
+
+    def due(self, state: tuple) -> int | None:
+        """When something happens without a row; after all rows of that time."""
+        return None
+
+    def on_due(self, state: tuple) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+
+def replay(machine: Machine, state: tuple, rows: Sequence[tuple], until_us: int) -> tuple[tuple, list[tuple]]:
+    """Apply rows in order and what falls due between them and up to a time."""
+    out: list[tuple] = []
+
+    def pass_time(state: tuple, before: int) -> tuple:
+        while (due := machine.due(state)) is not None and due < before:
+            state, more = machine.on_due(state)
+            out.extend(more)
+        return state
+
+    for row in rows:
+        state, more = machine.step(pass_time(state, row[0]), row)
+        out.extend(more)
+    return pass_time(state, until_us + 1), out
+
+
+def in_event_time(rows: DataFrame, keys: Sequence[str], machine: Machine, late: str, beats: DataFrame | None = None) -> DataFrame:
+    """Keys and the machine's outputs. ``rows`` has the keys, ``ts``, ``seq`` and the machine's columns."""
+    keys = list(keys)
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (*keys, *machine.columns)}
+    held = "".join(f",{c}:{kind[c]}" for c in machine.columns)
+    fields = ", ".join(filter(None, [machine.fields, f"_held array<struct<_at:bigint,_seq:bigint{held}>>"]))
+    outputs = [c.split()[0] for c in machine.outputs.split(", ")]
+    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in keys], machine.outputs])
+    names = ["_at", "_seq", *machine.columns]
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        value, waiting = machine.start, []
+        if state.exists:
+            *value, before = state.get
+            value, waiting = tuple(value), [tuple(r) for r in before]
+        if not state.hasTimedOut:
+            for frame in batches:
+                # plain lists: most keys have a few rows per batch, for which frames cost more than the work
+                rows = zip(frame["_beat"].tolist(), *[frame[c].tolist() for c in names])
+                waiting.extend(tuple(None if x != x else x for x in r) for beat, *r in rows if not beat)
+        waiting.sort(key=lambda r: r[:2])
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = sum(r[0] <= mark for r in waiting)
+        value, out = replay(machine, value, waiting[:ready], mark)
+        waiting = waiting[ready:]
+        if not waiting and value == machine.start:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*value, waiting))
+            times = [t for t in (waiting[0][0] if waiting else None, machine.due(value)) if t is not None]
+            if times:
+                # a timer goes off once the watermark is beyond it
+                state.setTimeoutTimestamp(max(-(-min(times) // 1000) - 1, mark // 1000 + 1))
+        if out:
+            columns = dict(zip(outputs, map(list, zip(*out))))
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key)}, **columns})
+
+    rows = rows.select(*keys, "ts", F.coalesce("seq", F.lit(-(2**63))).alias("_seq"), *machine.columns, F.lit(False).alias("_beat"))
+    if beats is not None:
+        rows = rows.unionByName(beats.select("ts", F.lit(True).alias("_beat")), allowMissingColumns=True)
+    # beats have to reach the watermark, so they are left out only behind it, under the null key
+    rows = rows.where(F.col("ts").isNotNull()).withWatermark("ts", late)
+    rows = rows.select(*keys, "ts", F.unix_micros("ts").alias("_at"), "_seq", *machine.columns, "_beat")
+    return rows.groupBy(*keys).applyInPandasWithState(update, schema, fields, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def task_state_stream(events: DataFrame, limit_us: int = 300_000_000, late: str = "1 minute") -> DataFrame:
+class TaskStates(Machine):
+    """Moves between statuses; a running task is reported once when its time is over. A final status is
+    remembered for ``retain_us``, so that what follows it shows as illegal."""
+
+    columns = ("event",)
+    fields = "status string, since bigint, told boolean"
+    outputs = "kind string, from_status string, to_status string, at_us bigint"
+    start = (None, 0, False)
+    allowed = frozenset(map(tuple, LIFECYCLE))
+    final = frozenset(b for _, b in LIFECYCLE) - frozenset(a for a, _ in LIFECYCLE)
+
+    def __init__(self, limit_us: int, retain_us: int):
+        self.limit_us, self.retain_us = limit_us, retain_us
+
+    def step(self, state, row):
+        status, at, event = state[0], row[0], row[2]
+        out = [] if status is None else [("move" if (status, event) in self.allowed else "illegal", status, event, at)]
+        return (event, at, False), out
+
+    def due(self, state):
+        status, since, told = state
+        if status == "running" and not told:
+            return since + self.limit_us
+        return since + self.retain_us if status in self.final else None
+
+    def on_due(self, state):
+        status, since, _ = state
+        if status == "running":
+            return (status, since, True), [("stuck", status, status, since + self.limit_us)]
+        return self.start, []
+
+
+def task_state_stream(
+    events: DataFrame, limit_us: int = 300_000_000, late: str = "1 minute", retain: str = "1 day", beats: DataFrame | None = None
+) -> DataFrame:
     """Status of tasks as it changes: ``move`` for allowed and ``illegal`` for other steps, and
     ``stuck`` when a task has been running longer than the limit."""
-    allowed = {tuple(m) for m in LIFECYCLE}
-    schema = "task_id bigint, kind string, from_status string, to_status string, at_us bigint"
-
-    def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            status, since = state.get
-            # one notice; the task stays known but is not watched any more
-            state.update((status, since))
-            yield pd.DataFrame({"task_id": [key[0]], "kind": ["stuck"], "from_status": [status], "to_status": [status], "at_us": [since + limit_us]})
-            return
-        status, since = state.get if state.exists else (None, 0)
-        out = []
-        for at, _seq, event in _rows(batches, ["at_us", "seq", "event"]):
-            if status is not None:
-                kind = "move" if (status, event) in allowed else "illegal"
-                if status == "running" and at - since > limit_us:
-                    out.append((key[0], "stuck", status, status, since + limit_us))
-                out.append((key[0], kind, status, event, int(at)))
-            status, since = event, int(at)
-        state.update((status, since))
-        if status == "running":
-            due = (since + limit_us) // 1000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                out.append((key[0], "stuck", status, status, since + limit_us))
-        if out:
-            yield pd.DataFrame(dict(zip(["task_id", "kind", "from_status", "to_status", "at_us"], zip(*out))))
+    return in_event_time(events, ["task_id"], TaskStates(limit_us, width_us(retain)), late, beats)
+
+
+class Throttle(Machine):
+    """At most one kept run per gap; once the gap is over the next run is kept anyway."""
 
-    rows = events.withWatermark("ts", late).select("task_id", "ts", F.unix_micros("ts").alias("at_us"), "seq", "event")
-    return rows.groupBy("task_id").applyInPandasWithState(
-        update, schema, "status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    fields = "last bigint"
+    outputs = "seq bigint, at_us bigint, kept boolean"
+    start = (None,)
 
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
 
-def throttle_stream(runs: DataFrame, key: str = "check", interval: str = "30 seconds") -> DataFrame:
+    def step(self, state, row):
+        take = state[0] is None or row[0] - state[0] >= self.gap_us
+        return (row[0] if take else state[0],), [(row[1], row[0], take)]
+
+    def due(self, state):
+        return None if state[0] is None else state[0] + self.gap_us
+
+    def on_due(self, state):
+        return self.start, []
+
+
+def throttle_stream(runs: DataFrame, key: str = "check", interval: str = "30 seconds", late: str = "1 minute", beats: DataFrame | None = None) -> DataFrame:
     """Runs of a check that are kept when it may run at most once per interval."""
-    gap = width_us(interval)
-    schema = f"`{key}` string, seq bigint, at_us bigint, kept boolean"
+    return in_event_time(runs, [key], Throttle(width_us(interval)), late, beats)
 
-    def update(group, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        rows = _rows(batches, ["at_us", "seq"])
-        kept = []
-        for at, _seq in rows:
-            take = last is None or at - last >= gap
-            last = int(at) if take else last
-            kept.append(take)
-        state.update((last,))
-        yield pd.DataFrame({key: group[0], "seq": [r[1] for r in rows], "at_us": [r[0] for r in rows], "kept": kept})
 
-    narrow = runs.select(F.col(key), "seq", F.unix_micros("ts").alias("at_us"))
-    return narrow.groupBy(key).applyInPandasWithState(update, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+class RuleStates(Machine):
+    """Breaches of a rule by a series: pending, firing once held for its time, resolved."""
+
+    columns = ("breach", "hold_us")
+    fields = "since bigint, fired boolean"
+    outputs = "change string, since_us bigint, at_us bigint"
+    start = (None, False)
+
+    def step(self, state, row):
+        (since, fired), (at, _, breach, hold) = state, row
+        out = []
+        if not breach:
+            return self.start, [] if since is None else [("resolved", since, at)]
+        if since is None:
+            since, fired = at, False
+            out.append(("pending", since, at))
+        if not fired and at - since >= hold:
+            fired = True
+            out.append(("firing", since, at))
+        return (since, fired), out
 
 
-def alert_state_stream(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def alert_state_stream(samples: DataFrame, rules: DataFrame, late: str = "1 minute", beats: DataFrame | None = None) -> DataFrame:
     """Changes of every rule and series: pending, firing (held for its time), resolved."""
-    schema = "rule string, series string, change string, since_us bigint, at_us bigint"
+    matched = match_alert_rules(samples, rules)
+    matched = matched.select("rule", "series", "ts", "seq", "breach", (F.col("hold_seconds") * 1_000_000).alias("hold_us"))
+    return in_event_time(matched, ["rule", "series"], RuleStates(), late, beats)
 
-    def update(group, batches, state: GroupState):
-        since, fired = state.get if state.exists else (None, False)
-        out = []
-        for at, _seq, breach, hold in _rows(batches, ["at_us", "seq", "breach", "hold_us"]):
-            if breach:
-                if since is None:
-                    since, fired = int(at), False
-                    out.append((*group, "pending", since, int(at)))
-                if not fired and at - since >= hold:
-                    fired = True
-                    out.append((*group, "firing", since, int(at)))
-            elif since is not None:
-                out.append((*group, "resolved", since, int(at)))
-                since, fired = None, False
-        state.update((since, fired))
-        if out:
-            yield pd.DataFrame(dict(zip(["rule", "series", "change", "since_us", "at_us"], zip(*out))))
-
-    matched = match_alert_rules(samples, rules).select(
-        "rule", "series", F.unix_micros("ts").alias("at_us"), "seq", "breach", (F.col("hold_seconds") * 1_000_000).alias("hold_us")
-    )
-    return matched.groupBy("rule", "series").applyInPandasWithState(
-        update, schema, "since bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
-    )
+
+class LastValue(Machine):
+    """The latest value of a key, given out and forgotten when no other has come for the time to live."""
+
+    fields = "at bigint"
+    start = (None,)
+
+    def __init__(self, columns: dict[str, str], ttl_us: int):
+        self.columns, self.ttl_us = tuple(columns), ttl_us
+        ddl = [f"{c} {t}" for c, t in columns.items()]
+        self.fields = ", ".join(["at bigint", *ddl])
+        self.outputs = ", ".join([*ddl, "at_us bigint"])
+        self.start = (None,) * (1 + len(columns))
+
+    def step(self, state, row):
+        return (row[0], *row[2:]), []
+
+    def due(self, state):
+        return None if state[0] is None else state[0] + self.ttl_us
+
+    def on_due(self, state):
+        return self.start, [(*state[1:], state[0])]
+
+
+def expire_results_stream(results: DataFrame, ttl: str = "1 hour", late: str = "1 minute", beats: DataFrame | None = None) -> DataFrame:
+    """Each task's last known result once it has been the last for the time to live: one row per task, or
+    one per stretch of results if there is a longer pause between them."""
+    kind = results.schema["success"].dataType.simpleString()
+    out = in_event_time(results, ["task_id"], LastValue({"success": kind}, width_us(ttl)), late, beats)
+    return out.select("task_id", "success", F.timestamp_micros("at_us").alias("ts"))
+
+
+class First(Machine):
+    """The first row of a key by time; others are dropped for as long as it is remembered."""
+
+    start = (None,)
+    fields = "at bigint"
+
+    def __init__(self, columns: dict[str, str], keep_us: int):
+        self.columns, self.keep_us = tuple(columns), keep_us
+        self.outputs = ", ".join([*[f"{c} {t}" for c, t in columns.items()], "at_us bigint", "seq bigint"])
+
+    def step(self, state, row):
+        return (state, []) if state[0] is not None else ((row[0],), [(*row[2:], row[0], row[1])])
+
+    def due(self, state):
+        return None if state[0] is None else state[0] + self.keep_us
+
+    def on_due(self, state):
+        return self.start, []
+
+
+def dedupe_stream(
+    events: DataFrame, keys: Sequence[str] = ("task_id",), late: str = "1 hour", remember: str = "1 day", beats: DataFrame | None = None
+) -> DataFrame:
+    """First row of an id by (ts, seq); others are dropped for as long as the id is remembered."""
+    columns = {c: t for c, t in events.dtypes if c not in (*keys, "ts", "seq")}
+    out = in_event_time(events, keys, First(columns, width_us(remember)), late, beats)
+    return out.select(*keys, *columns, F.timestamp_micros("at_us").alias("ts"), "seq")

@@ -1,22 +1,80 @@
-from pyspark.sql import functions as F
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
 
 from opslens.session import scratch_path
 from opslens.sources import tables
-from opslens.streaming import jobs, sinks
+from opslens.streaming import jobs, sinks, state
+
+
+def released(machine, rows, cuts):
+    """The machine over rows that come in batches, as the stream runs it: waiting rows are applied up to each mark."""
+    value, waiting, out = machine.start, [], []
+    for batch, mark in cuts:
+        waiting = sorted(waiting + batch)
+        value, more = state.replay(machine, value, [r for r in waiting if r[0] <= mark], mark)
+        waiting = [r for r in waiting if r[0] > mark]
+        out += more
+    return value, waiting, out
+
+
+@pytest.mark.parametrize(
+    "machine, extra",
+    [
+        (state.TaskStates(50, 400), lambda rng: (rng.choice(["pending", "ready", "running", "completed", "blocked"]),)),
+        (state.Throttle(30), lambda rng: ()),
+        (state.RuleStates(), lambda rng: (rng.random() < 0.6, 20)),
+        (state.LastValue({"success": "boolean"}, 25), lambda rng: (rng.random() < 0.5,)),
+        (state.First({"x": "int"}, 60), lambda rng: (rng.randrange(9),)),
+    ],
+)
+def test_any_cut_gives_the_same(machine, extra):
+    rng = random.Random(3)
+    for _ in range(100):
+        rows = sorted((rng.randrange(600), i, *extra(rng)) for i in range(rng.randrange(30)))
+        whole = state.replay(machine, machine.start, rows, 2000)
+        # rows come up to 40 late, in any order
+        marks = sorted(rng.randrange(700) for _ in range(4))
+        cuts, left = [], list(rows)
+        for mark in marks:
+            batch = [r for r in left if r[0] <= mark or (r[0] <= mark + 40 and rng.random() < 0.5)]
+            left = [r for r in left if r not in batch]
+            cuts.append((rng.sample(batch, len(batch)), mark))
+        value, waiting, out = released(machine, rows, cuts + [(left, 2000)])
+        assert not waiting and (value, out) == whole
 
 
-def test_p95_trend(spark, data):
-    t = tables.task(spark, tables.as_stream(data))
-    late = t.select("priority7", F.col("scheduled_at").alias("ts"), ((F.unix_micros("scheduled_at") - F.unix_micros("created_at")) / 1000).alias("value"))
-    rows = jobs.run_available(jobs.stream_p95_trend(late, window="30 days"), "p95").collect()
-    assert rows and all(r.p95 > 2 * r.threshold_ms and r.priority7 in (90, 100) for r in rows)
+def test_state_is_freed(spark):
+    ends = {"completed": None, "running": ("running", 100, True)}
+    for event, left in ends.items():
+        value, _ = state.replay(state.TaskStates(10, 1000), state.TaskStates.start, [(0, 0, "ready"), (50, 1, "running"), (100, 2, event)], 5000)
+        assert value == (left or state.TaskStates.start)
+    assert state.replay(state.Throttle(30), (None,), [(0, 0)], 29)[0] == (0,) and state.replay(state.Throttle(30), (None,), [(0, 0)], 30)[0] == (None,)
 
 
-def test_expired_results_leave(spark, data):
-    out = jobs.expire_results_stream(tables.result(spark, tables.as_stream(data)).withColumn("ts", F.col("ts")))
-    rows = jobs.run_available(out, "expire")
-    total = tables.result(spark, data).groupBy("task_id", "ts").count().count()
-    assert 0 < rows.count() <= total
+def test_ids_of_any_type_null_times_and_late_rows(spark):
+    path = scratch_path(spark, "events")
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    files = [
+        [("a", at(100), 1, "running"), ("a", at(90), None, "ready"), (None, at(95), 2, "pending"), ("b", None, 3, "ready")],
+        [(None, at(96), 5, "ready"), ("a", at(97), 6, "blocked"), ("z", at(500), 7, "pending")],
+        # the mark stands at 40 by then: the row of 30 is late
+        [("a", at(30), 4, "pending"), ("z", at(900), 8, "ready")],
+    ]
+    schema = "task_id string, ts timestamp, seq long, event string"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_stream(spark, path, "*.parquet", 1)
+    out = jobs.run_available(state.task_state_stream(stream, 50_000_000, "1 minute"), "states", 2)
+    start = int(at(0).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+    got = sorted((r.task_id or "", (r.at_us - start) // 1_000_000, r.kind, r.from_status, r.to_status) for r in out.collect())
+    assert got == [
+        ("", 96, "move", "pending", "ready"),
+        ("a", 97, "move", "ready", "blocked"),
+        ("a", 100, "illegal", "blocked", "running"),
+        ("a", 150, "stuck", "running", "running"),
+    ]
 
 
 def test_delivery(spark, data):
