@@ -13,13 +13,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from opslens.functions.fixed import SENSITIVE_WORDS, URL_PATTERN
-from opslens.functions.jsontree import leaves_of, mask_tree, nest
-from opslens.functions.strictjson import strict_json
+from opslens.functions.jsontree import document_leaves, leaf_arrays, mask_tree, nest
 from opslens.plans.ordered import number_chunk, previous
-from opslens.session import cut_lineage
 
 LEAF = ["path", "value", "value_type"]
 KIND_SQL = (
@@ -31,50 +30,28 @@ KIND_SQL = (
 # ---------------------------------------------------------------- shape
 
 
-def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = False, depth: int = 4) -> DataFrame:
-    """Leaves of JSON documents; all other columns are kept.
+def flatten(docs: DataFrame, doc: str = "doc", keep_empty: bool = False) -> DataFrame:
+    """Leaves of JSON documents of any depth; all other columns are kept.
 
-    Documents with at most ``depth`` objects run as built-in expressions; the rest, however
-    deep, goes through a small Arrow-batched helper. Text that is not a JSON object gives no rows.
+    One parser reads all documents, an Arrow batch at a time: numbers come out as ``json.dumps`` writes them,
+    whole numbers exactly; of a repeated key the last value counts. Text that is not exactly one JSON object gives no rows.
     """
     keep = [c for c in docs.columns if c != doc]
-    # outside of strings no brace follows a dollar sign: references to variables do not count
-    plain = F.replace(F.col(doc), F.lit("$" + "{"), F.lit(""))
-    braces = F.length(plain) - F.length(F.replace(plain, F.lit("{"), F.lit("")))
-    shallow = docs.where(braces <= depth)
-    # text that is no object never gets a key, so its path stays empty and it drops out below
-    inner = "try_variant_get(_v, '$', 'map<string,variant>')"
-    kept = [f"`{c}`" for c in keep]
-    level = shallow.select(*keep, F.lit(None).cast("string").alias("path"), strict_json(doc).alias("_v"))
-    for _ in range(depth):
-        # an object gives a row per entry; anything else, and an empty object, stays as it is
-        level = level.selectExpr(*kept, "path", "_v", f"explode_outer({inner}) AS (_key, _item)")
-        level = level.selectExpr(*kept, "concat_ws('.', path, _key) AS path", "coalesce(_item, _v) AS _v")
-    level = level.where("path <> ''")
-    if not keep_empty:
-        level = level.where(f"{inner} IS NULL")
-    typed = level.withColumn("_k", F.schema_of_variant("_v")).selectExpr(
-        *kept, "path", "CASE WHEN _k <> 'VOID' THEN string(_v) END AS value", KIND_SQL.format(k="_k") + " AS value_type"
-    )
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, text in enumerate(frame[doc]):
-                try:
-                    node = json.loads(text)
-                except ValueError:
-                    continue
-                if isinstance(node, dict):
-                    rows += [(i, *leaf) for leaf in leaves_of(node, keep_empty=keep_empty) if leaf[0]]
-            at = [r[0] for r in rows]
-            out = frame[keep].iloc[at].reset_index(drop=True)
-            for n, c in enumerate(LEAF, 1):
-                out[c] = pd.Series([r[n] for r in rows], dtype=object)
-            yield out
-
-    deep = docs.where(braces > depth).mapInPandas(walk, typed.schema)
-    return typed.unionByName(deep)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, leaves = [], []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                found = document_leaves(text, keep_empty)
+                at += [i] * len(found)
+                leaves += found
+            kept = pa.RecordBatch.from_arrays(batch.columns[1:], names=keep).take(pa.array(at, pa.int64())) if keep else None
+            columns = [*(kept.columns if keep else []), *leaf_arrays(leaves)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *LEAF])
+
+    rows = docs.select(F.col(f"`{doc}`"), *[F.col(f"`{c}`") for c in keep])
+    kinds = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.StringType()) for c in LEAF]])
+    return rows.mapInArrow(walk, kinds)
 
 
 def json_text(value: str = "value", kind: str = "value_type") -> Column:
@@ -130,17 +107,13 @@ def set_path(leaves: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def register_explode_leaves(spark: SparkSession, name: str = "explode_leaves") -> None:
-    """Table function for SQL: ``SELECT t.*, l.* FROM t, LATERAL explode_leaves(t.doc) l``."""
+    """Table function for SQL, fed by Arrow batches: ``SELECT t.*, l.* FROM t, LATERAL explode_leaves(t.doc) l``."""
 
-    @F.udtf(returnType="path string, value string, value_type string")
+    # rows travel in Arrow batches; functions over whole batches cannot stand in a lateral join
+    @F.udtf(returnType="path string, value string, value_type string", useArrow=True)
     class ExplodeLeaves:
         def eval(self, doc: str):
-            try:
-                node = json.loads(doc)
-            except (TypeError, ValueError):
-                return
-            if isinstance(node, dict):
-                yield from (leaf for leaf in leaves_of(node) if leaf[0])
+            yield from document_leaves(doc, False)
 
     spark.udtf.register(name, ExplodeLeaves)
 
@@ -148,47 +121,102 @@ def register_explode_leaves(spark: SparkSession, name: str = "explode_leaves") -
 # ---------------------------------------------------------------- merge and defaults
 
 
-def _ancestors() -> Column:
-    """Proper prefixes of ``path``, shortest first."""
-    return F.expr(
-        "transform(filter(sequence(1, size(split(path, '[.]'))), i -> i < size(split(path, '[.]'))), "
-        "i -> array_join(slice(split(path, '[.]'), 1, i), '.'))"
-    )
-
-
 def merge_by_priority(leaves: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame:
     """Layered documents merged from low to high ``priority``, later loads winning ties.
 
     Objects merge; any other value replaces the whole subtree below its path, and an object
-    replaces a value. Empty objects take part when the leaves were flattened with them.
+    replaces a value. Empty objects are nodes like others when the leaves were flattened with them; an object
+    that loses all it held stays as an empty one.
+
+    Every path first keeps its latest value and the latest object seen at or around it, combined
+    on the map side. One sweep in path order then carries the latest value above: a value lives if it is newer than
+    the object at its path and than all values above it, an object if it is newer than all values at and
+    above it.
     """
     keys = list(keys)
-    # one row per path (and one more for an empty object at it); every later step reads this
-    # small result, so it is kept: parsing the documents once per step would cost more
+    # nulls of the order count as the lowest
     rank = F.struct("priority", "loaded_seq")
-    nodes = leaves.groupBy(*keys, "path", (F.col("value_type") == "dict").alias("_empty")).agg(
-        F.max_by(F.struct("value", "value_type", rank.alias("rank")), rank).alias("_n")
+    is_object = F.col("value_type") == "dict"
+    latest = leaves.groupBy(*keys, "path", is_object.alias("_is_object")).agg(F.max_by(F.struct(rank.alias("_rank"), "value", "value_type"), rank).alias("_n"))
+    # what is seen at a path counts as an object for all paths above it
+    parts = F.split("path", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    own = F.col("_path") == F.col("path")
+    nodes = latest.select(*keys, "path", "_is_object", "_n", F.explode(above).alias("_path"))
+    nodes = nodes.groupBy(*keys, F.col("_path").alias("_path")).agg(
+        F.first(F.when(own & ~F.col("_is_object"), F.col("_n")), True).alias("_value"),
+        F.max(F.when(~own | F.col("_is_object"), F.col("_n._rank"))).alias("_object"),
     )
-    nodes = cut_lineage(nodes)
-    empty = F.col("_n.value_type") == "dict"
-    winners = nodes.where(~empty).select(*keys, "path", "_n")
-    # latest object seen at or around each path: leaves below it, or an empty object at it
-    at = F.when(empty, F.concat(_ancestors(), F.array("path"))).otherwise(_ancestors())
-    objects = nodes.select(*keys, F.explode(at).alias("path"), F.col("_n.rank").alias("_rank"))
-    objects = objects.groupBy(*keys, "path").agg(F.max("_rank").alias("_object"))
-    scalars = winners.join(objects, [*keys, "path"], "left")
-    scalars = scalars.where(F.col("_object").isNull() | (F.col("_n.rank") > F.col("_object"))).drop("_object")
-    # a later plain value at a prefix hides what lies below it
-    covers = winners.select(*keys, F.col("path").alias("_prefix"), F.col("_n.rank").alias("_cover"))
-    hidden = (
-        scalars.select(*keys, "path", "_n", F.explode(_ancestors()).alias("_prefix"))
-        .join(covers, [*keys, "_prefix"])
-        .where(F.col("_cover") > F.col("_n.rank"))
-        .select(*keys, "path")
-        .distinct()
+    nodes = nodes.withColumns({"path": F.col("_path"), "_parts": F.split("_path", "[.]")})
+    nodes = nodes.select(
+        *keys,
+        F.size("_parts").alias("_depth"),
+        "path",
+        "_parts",
+        F.col("_value.value").alias("value"),
+        F.col("_value.value_type").alias("value_type"),
+        *[F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in (("_value._rank", "_v"), ("_object", "_o")) for c in ("priority", "loaded_seq")],
+        F.col("_value").isNotNull().alias("_has_value"),
+        F.col("_object").isNotNull().alias("_has_object"),
     )
-    kept = scalars.join(hidden, [*keys, "path"], "left_anti")
-    return kept.select(*keys, "path", "_n.value", "_n.value_type", "_n.rank.priority", "_n.rank.loaded_seq")
+    # a few rows per document are left: its distinct paths
+    placed = nodes.repartition(*keys).sortWithinPartitions(*keys, "_parts").drop("_parts")
+    order = [leaves.schema[c] for c in ("priority", "loaded_seq")]
+    schema = T.StructType([*[leaves.schema[k] for k in keys], *[T.StructField(c, T.StringType()) for c in LEAF], *order])
+    return placed.mapInArrow(lambda it: _sweep(it, keys), schema)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Living nodes of documents that come in path order; holds one chain of objects at a time."""
+
+    def level(priority, seq):
+        return (priority is not None, priority or 0, seq is not None, seq or 0)
+
+    none = ()  # below every rank
+    document = None
+    # per depth: path, latest value at or above, whether it is a living object without living nodes yet, its order
+    chain: list[list] = []
+    schema = None
+
+    def close(depth: int) -> list[tuple]:
+        done = []
+        while len(chain) > depth:
+            path, _, bare, order = chain.pop()
+            if bare:
+                done.append((*document, path, "{}", "dict", *order))
+        return done
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for batch in batches:
+        if schema is None:
+            field = batch.schema.field
+            named = [("priority", "_v_priority"), ("loaded_seq", "_v_loaded_seq")]
+            schema = pa.schema([*[field(k) for k in keys], *[pa.field(c, pa.string()) for c in LEAF], *[pa.field(n, field(c).type) for n, c in named]])
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("_depth", *LEAF, "_v_priority", "_v_loaded_seq", "_o_priority", "_o_loaded_seq", "_has_value", "_has_object")]
+        owners = zip(*[batch.column(k).to_pylist() for k in keys]) if keys else [()] * len(batch)
+        for own, (depth, path, value, kind, vp, vs, op, os_, has_value, has_object) in zip(owners, zip(*columns)):
+            if own != document:
+                out += close(0)
+                document = own
+            out += close(depth - 1)
+            above = chain[-1][1] if chain else none
+            value_rank = level(vp, vs) if has_value else none
+            object_rank = level(op, os_) if has_object else none
+            lives = has_value and value_rank > object_rank and value_rank > above
+            stands = has_object and object_rank >= value_rank and object_rank > above
+            if lives or stands:
+                for entry in chain:
+                    entry[2] = False
+            if lives:
+                out.append((*own, path, value, kind, vp, vs))
+            chain.append([path, max(above, value_rank), stands, (op, os_)])
+        yield packed(out)
+    if schema is not None:
+        yield packed(close(0))
 
 
 @dataclass(frozen=True)
@@ -217,7 +245,9 @@ def _document_map(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per document with ``doc``: path -> (value, value_type), and its object paths."""
     entry = F.struct("path", F.struct("value", "value_type").alias("leaf"))
     docs = leaves.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("doc"))
-    return docs.withColumn("objects", F.array_distinct(F.flatten(F.transform(F.map_keys("doc"), _prefixes_of))))
+    around = F.flatten(F.transform(F.map_keys("doc"), _prefixes_of))
+    empty = F.map_keys(F.map_filter("doc", lambda _, leaf: leaf["value_type"] == "dict"))
+    return docs.withColumn("objects", F.array_distinct(F.concat(around, empty)))
 
 
 def _prefixes_of(p: Column) -> Column:
@@ -242,8 +272,14 @@ def apply_defaults(leaves: DataFrame, rules: Sequence[FieldRule], keys: Sequence
         text = r.default if isinstance(r.default, str) else json.dumps(r.default)
         row = F.struct(F.lit(r.path).alias("path"), F.lit(text).alias("value"), F.lit(kind).alias("value_type"))
         added.append(F.when(absent & nested, row))
-    new = docs.select(*keys, F.inline(F.filter(F.array(*added), lambda x: x.isNotNull())))
-    return leaves.select(*keys, *LEAF).unionByName(new)
+    docs = docs.withColumn("_new", F.filter(F.array(*added), lambda x: x.isNotNull()))
+    # an empty object that got a default is none any more
+    filled = lambda e: (e.value["value_type"] == "dict") & F.exists("_new", lambda n: F.startswith(n["path"], F.concat(e.key, F.lit("."))))
+    old = F.transform(
+        F.filter(F.map_entries("doc"), lambda e: ~filled(e)),
+        lambda e: F.struct(e.key.alias("path"), e.value["value"].alias("value"), e.value["value_type"].alias("value_type")),
+    )
+    return docs.select(*keys, F.inline(F.concat(old, F.col("_new"))))
 
 
 # ---------------------------------------------------------------- values

@@ -11,6 +11,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # merged label maps: the right-hand side wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # of a repeated key of a JSON object the last value counts, as in the parser of documents
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # split a hot join key even where that costs one more exchange

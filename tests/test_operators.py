@@ -1,6 +1,7 @@
 """Small hand-written cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,10 +183,9 @@ def leaf_set(df):
     return {(r.path, r.value, r.value_type) for r in df.collect()}
 
 
-@pytest.mark.parametrize("depth", [0, 4, 8])
-def test_flatten(spark, depth):
+def test_flatten(spark):
     doc = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "n": None, "l": [1, {"x": 2}], "e": {}, "s": "t", "b": True, "x": 1.5}
-    got = leaf_set(flat(spark, json.dumps(doc), depth=depth))
+    got = leaf_set(flat(spark, json.dumps(doc)))
     want = {
         ("a.b.c.d.e.f", "1", "int"),
         ("n", None, "null"),
@@ -195,7 +195,42 @@ def test_flatten(spark, depth):
         ("x", "1.5", "float"),
     }
     assert got == want
-    assert leaf_set(flat(spark, json.dumps(doc), depth=depth, keep_empty=True)) == want | {("e", "{}", "dict")}
+    assert leaf_set(flat(spark, json.dumps(doc), keep_empty=True)) == want | {("e", "{}", "dict")}
+
+
+NUMBERS = '{"one":1.0,"big":1e20,"whole":123456789012345678901234567890,"small":1.50,"minus":-0.0,"k":1,"k":{"z":2},"k":3,"l":[1.0,1e20]}'
+NUMBER_LEAVES = {
+    ("one", "1.0", "float"),
+    ("big", "1e+20", "float"),
+    ("whole", "123456789012345678901234567890", "int"),
+    ("small", "1.5", "float"),
+    ("minus", "-0.0", "float"),
+    ("k", "3", "int"),
+    ("l", "[1.0,1e+20]", "list"),
+}
+
+
+def nested(text, levels):
+    for i in range(levels, 0, -1):
+        text = f'{{"p{i}":{text}}}'
+    return text
+
+
+@pytest.mark.parametrize("levels", [0, 1, 6, 300])
+def test_values_do_not_depend_on_depth(spark, levels):
+    prefix = "".join(f"p{i}." for i in range(1, levels + 1))
+    want = {(prefix + p, v, k) for p, v, k in NUMBER_LEAVES}
+    text = nested(NUMBERS, levels)
+    assert leaf_set(flat(spark, text)) == want
+    docs.register_explode_leaves(spark)
+    spark.createDataFrame([(text,), (None,), ("[1]",)], "doc string").createOrReplaceTempView("deep_docs")
+    assert leaf_set(spark.sql("SELECT l.* FROM deep_docs t, LATERAL explode_leaves(t.doc) l")) == want
+
+
+def test_no_object_no_rows(spark):
+    odd = [None, "", "1", "[{}]", '{"a":1} x', '{"a":NaN}', '{"a":Infinity}', "{", "{}", '{"":1}', nested("1", 100_000)]
+    got = flat(spark, *odd, '{"a":"\\ud800x"}').select("scope", *docs.LEAF).collect()
+    assert [tuple(r) for r in got] == [("s11", "a", "?x", "string")]
 
 
 def test_unflatten_restores(spark):
@@ -206,7 +241,7 @@ def test_unflatten_restores(spark):
 def merge(spark, *layers):
     rows = [("s", "f", i, i, json.dumps(t)) for i, t in enumerate(layers)]
     df = spark.createDataFrame(rows, "scope string, source string, priority int, loaded_seq int, doc string")
-    out = docs.unflatten(docs.merge_by_priority(docs.flatten(df, keep_empty=True)).where("value_type <> 'dict'")).collect()
+    out = docs.unflatten(docs.merge_by_priority(docs.flatten(df, keep_empty=True))).collect()
     return json.loads(out[0].doc) if out else {}
 
 
@@ -220,12 +255,7 @@ def python_merge(*layers):
     result = {}
     for layer in layers:
         result = deep(result, layer)
-    return prune(result)
-
-
-def prune(node):
-    out = {k: prune(v) if isinstance(v, dict) else v for k, v in node.items()}
-    return {k: v for k, v in out.items() if v != {}}
+    return result
 
 
 @pytest.mark.parametrize(
@@ -244,6 +274,34 @@ def test_merge(spark, layers):
     assert merge(spark, *layers) == python_merge(*layers)
 
 
+def test_merge_keeps_empty_objects(spark):
+    assert merge(spark, {"a": 5, "b": {"q": 1}}, {"a": {}, "b": 7}, {"b": {}}) == {"a": {}, "b": {}}
+
+
+def test_random_merges(spark):
+    rng = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return rng.choice([1, "x", None, [1], {}])
+        return {rng.choice("abc-"): tree(depth - 1) for _ in range(rng.randrange(4))}
+
+    scopes = [[{k: tree(3) for k in "ab"} for _ in range(rng.randrange(1, 6))] for _ in range(150)]
+    # the order of layers is that of priority, then load
+    rows = [(None if i == 0 else f"s{i}", j // 2, j % 2, json.dumps(layer)) for i, layers in enumerate(scopes) for j, layer in enumerate(layers)]
+    df = spark.createDataFrame(rows, "scope string, priority int, loaded_seq int, doc string").repartition(5)
+    out = docs.unflatten(docs.merge_by_priority(docs.flatten(df, keep_empty=True))).collect()
+    got = {r.scope: json.loads(r.doc) for r in out}
+    want = {None if i == 0 else f"s{i}": python_merge(*layers) for i, layers in enumerate(scopes)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_defaults_below_empty_objects(spark):
+    rules = [docs.FieldRule("e.x", "int", default=1), docs.FieldRule("m.x", "int", default=2), docs.FieldRule("t", "str", default="d")]
+    got = leaf_set(docs.apply_defaults(flat(spark, '{"e":{},"f":{},"a":1}', keep_empty=True), rules))
+    assert got == {("e.x", "1", "int"), ("f", "{}", "dict"), ("a", "1", "int"), ("t", "d", "string")}
+
+
 def test_expand(spark):
     leaves = spark.createDataFrame(
         [
