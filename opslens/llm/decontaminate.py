@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from opslens.llm.bm25 import BlockMaxIndex
 from opslens.llm.textnum import Spans, chunks, split_words
@@ -143,12 +144,12 @@ def find(column: pa.Array, items: Items, threshold: float = THRESHOLD, overlap:
         yield text, item, *found
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], items: Items, threshold: float, overlap: float) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], items: Items, threshold: float, overlap: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             rows = list(find(part.column("text"), items, threshold, overlap))
             at = pa.array([r[0] for r in rows], pa.int64())
-            columns = [part.column("doc_id").take(at), pa.array([items.ids[r[1]] for r in rows], pa.int64())]
+            columns = [part.column("doc_id").take(at), pa.array([items.ids[r[1]] for r in rows], id_type)]
             columns += [pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3, 4)]
             columns.append(pa.array([r[5] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_term"])
@@ -158,10 +159,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """One row per document and item that is verified in it, with the score and place of the best passage and piece."""
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_term long"
+    item = benchmark.schema["item_id"].dataType
+    id_type = to_arrow_type(item)
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, score double, question_overlap double, answer_overlap double, first_term long"
     out = None
     for items in item_blocks(benchmark):
-        one = texts.mapInArrow(lambda it, items=items: _pairs(it, items, threshold, overlap), schema)
+        one = texts.mapInArrow(lambda it, items=items: _pairs(it, items, threshold, overlap, id_type), schema)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

@@ -40,7 +40,8 @@ IDENTIFIER = r"^[A-Za-z_][A-Za-z_.\-]*$"
 ASSIGNS = r"^[\"'`]?[\x20\x09]*[=:]"
 PLAIN = r"^[A-Za-z]?[a-z]+\.?$"  # a word as prose has it
 # forms that tell: numbers, words, paths and hosts with an extension
-OTHER_FORM = r"^([0-9./\-]+|[A-Za-z]?[a-z]+\.?|[A-Za-z0-9_\-]*+([./][A-Za-z0-9_\-]*+)*\.[A-Za-z]{2,5})$"
+# no group is repeated here: the engine goes one call deeper for each turn of one
+OTHER_FORM = r"^([0-9./\-]+|[A-Za-z]?[a-z]+\.?|[A-Za-z0-9_\-./]*\.[A-Za-z]{2,5})$"
 SAMPLE = 20_000  # labelled findings to learn from
 DICTIONARY = 2_000  # words
 TREES, DEPTH = 30, 6

@@ -114,3 +114,13 @@ def test_empty_tables(spark):
     assert q.contaminated_pairs(docs, none).count() == 0 and q.without_contaminated(docs, none).count() == 1
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert q.contaminated_pairs(docs.limit(0), items).count() == 0
+
+
+def test_item_ids_of_any_type(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank today. It was seen there by nine people."
+    docs = spark.createDataFrame([("d1", "before " + text + " after"), ("d2", "nothing of it"), (None, text)], "doc_id string, text string")
+    for kind, name in (("string", "item-a"), ("int", 7)):
+        items = spark.createDataFrame([(name, text)], f"item_id {kind}, text string")
+        found = q.contaminated_pairs(docs, items)
+        assert dict(found.dtypes)["item_id"] == kind
+        assert sorted((r.doc_id or "", r.item_id) for r in found.collect()) == [("", name), ("d1", name)]

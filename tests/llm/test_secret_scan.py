@@ -120,3 +120,13 @@ def test_dictionary_covers_all_documents(spark):
 
 def test_empty_table(spark):
     assert q.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_findings_of_many_segments(spark):
+    """No pattern goes deeper with the segments of a path."""
+    long = ["ab/" * 100_000 + "cd.py", "ab." * 100_000 + "cd", "a1/b2." * 50_000, "key=" * 50_000 + "v" * 20, ("x" * 20 + "=") * 20_000]
+    rows = [(i, f'see {text} and token = "{"ab12" * 10}" here') for i, text in enumerate(long)]
+    docs = spark.createDataFrame([r[:2] for r in corpus()[0]] + [(1000 + i, t) for i, t in rows], "doc_id long, text string")
+    out = q.scan(docs).collect()
+    assert {r.doc_id for r in out} >= {1000 + i for i, _ in rows}
+    assert len({r.doc_id for r in out if r.doc_id >= 1000 and r.is_secret}) == len(rows)
