@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.functions.strictjson import strict_json
+from opslens.session import scratch_path
 
-RESULT = "task_id bigint, success boolean, result double, error string"
 
 
 def apply_by_type(
@@ -24,46 +24,70 @@ def apply_by_type(
     handles, becomes ``success=false`` with the error; the others are not affected.
     """
     functions = functions or {}
-    typed = tasks.where(F.col("task_type").isin(*registry)) if registry else tasks.limit(0)
     value = F.lit(None).cast("double")
     for name, body in registry.items():
         value = F.when(F.col("task_type") == name, body.cast("double")).otherwise(value)
-    by_expression = typed.select(
+    known = F.coalesce(F.col("task_type").isin(*registry), F.lit(False)) if registry else F.lit(False)
+    nobody = F.concat(F.lit("No worker pool for task type: "), F.coalesce("task_type", F.lit("none")))
+    by_function = F.coalesce(F.col("task_type").isin(*functions), F.lit(False)) if functions else F.lit(False)
+    out = tasks.where(~by_function).select(
         "task_id",
-        value.isNotNull().alias("success"),
-        value.alias("result"),
-        F.when(value.isNull(), F.lit("no result")).alias("error"),
+        (known & value.isNotNull()).alias("success"),
+        F.when(known, value).alias("result"),
+        F.when(~known, nobody).when(value.isNull(), F.lit("no result")).alias("error"),
     )
-    known = [*registry, *functions]
-    nobody = tasks.where(~F.col("task_type").isin(*known) | F.col("task_type").isNull()).select(
-        "task_id",
-        F.lit(False).alias("success"),
-        F.lit(None).cast("double").alias("result"),
-        F.concat(F.lit("No worker pool for task type: "), F.coalesce("task_type", F.lit("none"))).alias("error"),
-    )
-    out = by_expression.unionByName(nobody)
     if functions:
-        mine = tasks.where(F.col("task_type").isin(*functions))
+        # only the rows that need Python go there
+        mine = tasks.where(by_function)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for name, part in frame.groupby("task_type", sort=False):
                     yield _run_batch(part, functions[name])
 
-        out = out.unionByName(mine.mapInPandas(run, RESULT))
+        kind = tasks.schema["task_id"].dataType.simpleString()
+        out = out.unionByName(mine.mapInPandas(run, f"task_id {kind}, success boolean, result double, error string"))
     return out
 
 
 def _run_batch(part: pd.DataFrame, body: Callable[[pd.DataFrame], pd.Series]) -> pd.DataFrame:
-    """The whole batch at once; row by row only where the batch fails."""
+    """The whole batch at once; a batch that fails is halved until the rows at fault stand alone."""
+    ids = part["task_id"].to_numpy()
     try:
         values = pd.Series(body(part)).astype(float).to_numpy()
-        return pd.DataFrame({"task_id": part["task_id"].to_numpy(), "success": True, "result": values, "error": None})
-    except Exception as batch_error:
+        return pd.DataFrame({"task_id": ids, "success": True, "result": values, "error": None})
+    except Exception as error:
         if len(part) == 1:
-            return pd.DataFrame({"task_id": part["task_id"].to_numpy(), "success": False, "result": None, "error": str(batch_error)})
-        rows = [_run_batch(part.iloc[i : i + 1], body) for i in range(len(part))]
-        return pd.concat(rows, ignore_index=True)
+            return pd.DataFrame({"task_id": ids, "success": False, "result": None, "error": str(error)})
+        half = len(part) // 2
+        return pd.concat([_run_batch(p, body) for p in (part.iloc[:half], part.iloc[half:])], ignore_index=True)
+
+
+def run_with_retry(
+    tasks: DataFrame,
+    registry: dict[str, Column],
+    functions: dict[str, Callable[[pd.DataFrame], pd.Series]] | None = None,
+    max_retries: int = 3,
+) -> DataFrame:
+    """Attempts of every task by the bodies of ``apply_by_type``: those that failed run again, the others do not.
+
+    Bodies see the number of the attempt as column ``attempt``. Every attempt is written before the next one starts, so
+    a lost executor repeats none that is done; the input shrinks to the failed tasks. Columns: ``task_id,
+    attempt, success, result, outcome, error``. ``task_id`` is unique and not null. Runs its jobs at once.
+    """
+    spark = tasks.sparkSession
+    path = scratch_path(spark, "attempts")
+    left = tasks
+    for attempt in range(1, max_retries + 2):
+        part = f"{path}/attempt={attempt}"
+        apply_by_type(left.withColumn("attempt", F.lit(attempt)), registry, functions).write.parquet(part)
+        failed = spark.read.parquet(part).where(~F.col("success")).select("task_id")
+        if attempt > max_retries or failed.isEmpty():
+            break
+        left = tasks.join(failed, "task_id", "left_semi")
+    tried = spark.read.option("basePath", path).parquet(path)
+    outcome = F.when(F.col("success"), "completed").when(F.col("attempt") > max_retries, "failed").otherwise("retried")
+    return tried.select("task_id", "attempt", "success", "result", outcome.alias("outcome"), "error")
 
 
 def apply_with_retry(tasks: DataFrame, body: Callable[[Column], Column], error: Callable[[Column], Column], max_retries: int = 3) -> DataFrame:

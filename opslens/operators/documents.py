@@ -72,21 +72,26 @@ def unflatten(leaves: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame:
     return grouped.select(*keys, build("_ls").alias("doc"))
 
 
+def _escaped(text: str) -> str:
+    """Text as it stands inside a quoted SQL string."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def get_path(docs: DataFrame, path: str, default: str | None = None, doc: str = "doc", out: str = "value") -> DataFrame:
     """Adds the text at ``path``; the default only where the path is absent, a stored null stays null."""
     node = "try_parse_json(`%s`)" % doc
     found = "true"
-    for part in path.split("."):
+    for part in map(_escaped, path.split(".")):
         here = f"try_variant_get({node}, '$', 'map<string,variant>')"
         found = f"({found} AND coalesce(map_contains_key({here}, '{part}'), false))"
         node = f"try_element_at({here}, '{part}')"
-    given = "NULL" if default is None else "'" + default.replace("'", "\\'") + "'"
+    given = "NULL" if default is None else f"'{_escaped(default)}'"
     return docs.withColumn(out, F.expr(f"CASE WHEN {found} THEN string({node}) ELSE {given} END"))
 
 
 def get_section(docs: DataFrame, name: str, doc: str = "doc", out: str = "section") -> DataFrame:
     """Adds the JSON text of a section; ``{}`` where the value is not an object."""
-    node = f"try_element_at(try_variant_get(try_parse_json(`{doc}`), '$', 'map<string,variant>'), '{name}')"
+    node = f"try_element_at(try_variant_get(try_parse_json(`{doc}`), '$', 'map<string,variant>'), '{_escaped(name)}')"
     whole = f"CASE WHEN try_variant_get({node}, '$', 'map<string,variant>') IS NOT NULL THEN to_json({node}) END"
     return docs.withColumn(out, F.coalesce(F.expr(whole), F.lit("{}")))
 

@@ -2,7 +2,9 @@
 
 import json
 import random
+import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +455,57 @@ def test_codecs(spark):
     assert [(r.value, r.error) for r in apply.decode_messages(df, "framed").collect()] == [("x", None), (None, "Invalid message format")]
     good, dead = apply.split_decoded(apply.decode_messages(df, "framed"))
     assert (good.count(), dead.count()) == (1, 1)
+
+
+def test_quotes_in_paths(spark):
+    df = spark.createDataFrame([('{"it\'s":{"a\\\\b":1}}',)], "doc string")
+    assert docs.get_path(df, "it's.a\\b").first().value == "1"
+    assert docs.get_path(df, "it's.x", default="o'\\n").first().value == "o'\\n"
+    assert docs.get_section(df, "it's").first().section == '{"a\\\\b":1}'
+
+
+def test_bad_rows_of_a_batch_stand_alone(spark):
+    calls = []
+
+    def body(part):
+        calls.append(len(part))
+        if (part["v"] < 0).any():
+            raise ValueError(f"bad {part['v'].min()}")
+        return part["v"] * 2
+
+    part = pd.DataFrame({"task_id": [f"t{i}" for i in range(1000)], "v": [-1 if i in (3, 700) else i for i in range(1000)]})
+    got = apply._run_batch(part, body)
+    assert list(got.task_id) == list(part.task_id) and list(got[~got.success].task_id) == ["t3", "t700"]
+    assert got.result[999] == 1998 and len(calls) < 60
+
+
+def test_retry_runs_only_what_failed(spark, tmp_path):
+    """Bodies that fail at random by a seed; every run of one leaves a line."""
+    seen = str(tmp_path / "runs")
+    fails = lambda task, attempt: zlib.crc32(f"{task}/{attempt}".encode()) % 100 < 40
+
+    def body(part):
+        task, attempt = part["task_id"].iloc[0], part["attempt"].iloc[0]
+        if len(part) > 1:
+            raise ValueError("one by one")
+        with open(seen, "a") as f:
+            f.write(f"{task}/{attempt}\n")
+        if fails(task, attempt):
+            raise ValueError(f"failed {attempt}")
+        return part["v"] + part["attempt"]
+
+    ids = [f"u{i}" for i in range(60)]
+    df = spark.createDataFrame([(t, "f", float(i)) for i, t in enumerate(ids)] + [("e1", "e", 5.0), ("n1", None, 1.0)], "task_id string, task_type string, v double")
+    expression = F.when(F.col("attempt") >= 3, F.col("v"))
+    got = sorted(tuple(r) for r in apply.run_with_retry(df, {"e": expression}, {"f": body}, 2).collect())
+    want = [("e1", n, n == 3, 5.0 if n == 3 else None, "completed" if n == 3 else "retried", None if n == 3 else "no result") for n in (1, 2, 3)]
+    want += [("n1", n, False, None, "failed" if n == 3 else "retried", "No worker pool for task type: none") for n in (1, 2, 3)]
+    for i, t in enumerate(ids):
+        for n in (1, 2, 3):
+            bad = fails(t, n)
+            want.append((t, n, not bad, None if bad else float(i + n), ("failed" if n == 3 else "retried") if bad else "completed", f"failed {n}" if bad else None))
+            if not bad:
+                break
+    assert got == sorted(want)
+    with open(seen) as f:
+        assert sorted(f.read().split()) == sorted(f"{r[0]}/{r[1]}" for r in want if r[0][0] == "u")
