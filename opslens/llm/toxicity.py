@@ -89,25 +89,28 @@ class Model:
 def maximal_segments(place: list[int], gain: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a text whose other words each cost ``DRIFT``.
 
-    One pass with a stack of candidate segments, each with the running totals at its two ends.
+    One pass with a stack of candidate segments, each with the running totals at its two ends and the place of the
+    nearest earlier one that starts lower. Looking back follows those places only; what it passes over is
+    never looked at again, so the time is linear.
     """
-    stack: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, earlier one that starts lower
     total, last = 0.0, -1
     for at, value in zip(place, gain):
         total -= DRIFT * (at - last - 1)
         start, before, total, last = at, total, total + value, at
         if value <= 0:
             continue
-        while stack:
-            n = len(stack) - 1
+        n = len(stack) - 1
+        while True:
             while n >= 0 and stack[n][2] >= before:
-                n -= 1
+                n = stack[n][4]
             if n < 0 or stack[n][3] >= total:
                 break
-            start, before = stack[n][0], stack[n][2]
+            start, _, before, _, lower = stack[n]
             del stack[n:]
-        stack.append((start, at + 1, before, total))
-    return [(a, b, after - before) for a, b, before, after in stack]
+            n = lower
+        stack.append((start, at + 1, before, total, n))
+    return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -39,6 +40,34 @@ def test_maximal_segments():
         assert set(got) == set(true) and all(abs(got[k] - true[k]) < 1e-9 for k in got)
 
 
+def by_rescanning(place, gain):
+    """The same segments with a look at the whole stack for each hit."""
+    stack, total, last = [], 0.0, -1
+    for at, value in zip(place, gain):
+        total -= q.DRIFT * (at - last - 1)
+        start, before, total, last = at, total, total + value, at
+        while value > 0 and (lower := [n for n, s in enumerate(stack) if s[2] < before]) and stack[lower[-1]][3] < total:
+            start, before = stack[lower[-1]][0], stack[lower[-1]][2]
+            del stack[lower[-1] :]
+        if value > 0:
+            stack.append((start, at + 1, before, total))
+    return [(a, b, after - before) for a, b, before, after in stack]
+
+
+def test_many_hits_take_linear_time():
+    rng = random.Random(7)
+    for _ in range(300):
+        place = sorted(rng.sample(range(900), rng.randrange(1, 300)))
+        gain = [rng.uniform(-2, rng.choice([1, 3, 30])) for _ in place]
+        assert q.maximal_segments(place, gain) == by_rescanning(place, gain)
+    # totals that fall, rise and swing
+    for step, values in ((40, [1.0]), (1, [1.0]), (7, [3.0, 0.5, -2.0, 9.0]), (3, [0.1, 2.0])):
+        place = list(range(0, step * 100_000, step))
+        began = time.process_time()
+        q.maximal_segments(place, (values * 100_000)[:100_000])
+        assert time.process_time() - began < 2
+
+
 def corpus():
     rng = random.Random(2)
     vocab = [f"{a}{b}" for a in "pqrst" for b in ("an", "el", "or", "ix", "um")]
