@@ -18,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,53 +66,61 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        # ids as bytes: short, and nothing for the garbage collector to walk through
+        self.code = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cuts_here = os.path.basename(path) == TOKENIZER
         letters = byte_letters()
         self.letters = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(0xC0, 0x180)}
 
-    def _plain(self, word: str) -> list[int]:
-        out: list[int] = []
-        for part in CUT.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))]
-            out += ids
-        return out
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.translate(self.letters)
+            ids = self.parts[part] = b"".join([self.code[t.id] for t in self.tokenize(shown)])
+        return ids
+
+    def _plain(self, word: str) -> bytes:
+        lower = word.lower()
+        # letters alone are one part
+        return self._part(lower) if word.isalpha() else b"".join(map(self._part, CUT.findall(lower)))
 
-    def _of_words(self, words: list[bytes]) -> list[list[int]]:
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        out, odd = [], []
-        for i, raw in enumerate(words):
-            ids = self.known.get(raw)
-            if ids is None:
-                word = raw.decode()
-                if self.cuts_here and PLAIN.fullmatch(word):
-                    ids = self.known[raw] = self._plain(word)
-                else:
-                    odd.append(i)
-            out.append(ids)
+        out = list(map(self.known.get, words))
+        odd = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            raw = words[i]
+            word = raw.decode()
+            if self.cuts_here and (raw.isascii() and word.isprintable() or PLAIN.fullmatch(word)):
+                out[i] = self.known[raw] = self._plain(word)
+            else:
+                odd.append(i)
         for i, coded in zip(odd, self.tokenizer.encode_batch([words[i].decode() for i in odd], add_special_tokens=False)):
-            out[i] = self.known[words[i]] = coded.ids
+            out[i] = self.known[words[i]] = b"".join([self.code[t] for t in coded.ids])
         return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by ``END``, and where each text begins."""
         words = split_words(column)
-        distinct, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        coded_as = pa.array(words.hashes()).dictionary_encode()
+        which = coded_as.indices.to_numpy().astype(np.int64)
+        at = np.empty(len(coded_as.dictionary), np.int64)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # first place of each distinct word
         raw = words.data.tobytes()
         coded = self._of_words([raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())])
-        coded.append([END])
+        coded.append(self.code[END])
         # each text is its words and one end mark
-        order = np.insert(which, words.first[1:], len(distinct))
-        sizes = np.array([len(c) for c in coded], np.int64)
+        order = np.insert(which, words.first[1:], len(at))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
         heads = np.cumsum(sizes) - sizes
-        pool = np.fromiter(chain.from_iterable(coded), self.kind, int(sizes.sum()))
+        pool = np.frombuffer(b"".join(coded), self.kind)
         n = sizes[order]
         ends = np.cumsum(n)
         ids = pool[np.repeat(heads[order] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
