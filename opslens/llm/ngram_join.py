@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.llm.components import components, smallest_member
+from opslens.llm.sampling import first_by_hash
 from opslens.llm.textnum import Spans, chunks, mix, signed, split_words
 from opslens.session import scratch_path
 
@@ -111,8 +112,19 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int, least: int = 2) -> Iter
 
 def frequency_order(docs: DataFrame, k: int = SHINGLE, size: int = ORDER_SIZE) -> Order:
     """The ``size`` most frequent shingles, by documents per batch that hold them, over all documents."""
-    counts = docs.select("text").mapInArrow(lambda it: _frequent(it, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(size).toPandas()
+    where = scratch_path(docs.sparkSession, "shingle-counts")
+    docs.select("text").mapInArrow(lambda it: _frequent(it, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).write.parquet(where)
+    counts = docs.sparkSession.read.parquet(where)
+    # the count that the last of them has; different counts are few, at most the root of twice their sum
+    have, least = 0, 0
+    for n, shingles in sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True):
+        least, have = n, have + shingles
+        if have >= size:
+            break
+    # ties at that count go by the shingle, which is a hash: first_by_hash takes as many as are still wanted
+    more, tied = counts.filter(F.col("n") > least), counts.filter(F.col("n") == least)
+    wanted = size - more.count()
+    top = more.unionByName(first_by_hash(tied, F.col("shingle"), wanted)).orderBy(F.desc("n"), "shingle").toPandas()
     return Order(top["shingle"].to_numpy(np.int64).view(U64), np.arange(len(top), 0, -1))
 
 
