@@ -72,3 +72,12 @@ def test_edge_rows(spark, tmp_path):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
     out = {r.doc_id for r in p.run(spark, str(tmp_path)).collect()}
     assert out == {1, 2, 3, 5}
+
+
+def test_repeated_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "g h i j k l", 3), (2, "m n o p q r", 4), (3, "", 5), (3, "", 6), (4, None, 7), (4, None, 8), (5, "a b c d e f", 9), (None, "s t u v w x", 10), (None, "s t u v w x", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, count long").repartition(3)
+    out = p.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [r["count"] for r in out.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) - {1, 2} == {3, 4, 5, 6, 7, 8, 10, 11} and len({1, 2} & set(kept)) == 1
