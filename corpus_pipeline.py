@@ -4,11 +4,15 @@ Order: toxic documents go, one document of each near-duplicate group stays, docu
 items go, personal data is redacted, and what is left is packed into sequences. All stages but the
 last return the columns of ``documents``. Each stage's rows are written to the shared folder and read
 again, so a lost executor never costs more than the stage at hand.
+
+Defined results of all stages: null and empty texts stay until packing, where each is an end mark; extra
+columns are kept until then; rows with a null id are documents like others, but no near duplicates of
+any; an empty table gives an empty one; ties of scores fall on the side the operator's threshold names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.llm import decontaminate, ngram_join, packing, pii, toxicity
 from opslens.llm.sampling import id_remainder
@@ -22,9 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component; documents without words all stay."""
+    """The document with the smallest id of every component; documents without words all stay.
+
+    Of rows that repeat an id and a text one stays. Different texts under one id share a fate: they go if
+    one of them is in a component with a smaller id.
+    """
     found = ngram_join.near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    # ids alone are counted; where none repeats, the rest is an empty join
+    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
+    words = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    once = repeated.filter(words).dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeated.filter(~words)).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
