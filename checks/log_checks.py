@@ -6,7 +6,7 @@ from checks.registry import check, r, us
 from checks.stats_checks import SUMMARY_SQL
 from opslens.operators import logs as ops
 from opslens.operators.throttle import throttle
-from opslens.sources import logs as log_source, tables
+from opslens.sources import configs, logs as log_source, tables
 
 
 def parsed(spark, d):
@@ -56,6 +56,32 @@ def _(spark, d):
     )
 
 
+@check(
+    "log_values_round_trip",
+    "",
+    """SELECT 'event ' || CAST(event_id AS VARCHAR) AS message, CASE WHEN event_type IN ('click', 'error') THEN value END AS duration_ms,
+      CASE WHEN event_type IN ('click', 'error') THEN 'bool' END AS success_kind, CASE WHEN event_type IN ('click', 'error') THEN event_type <> 'error' END AS success,
+      CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'string' END AS shard_kind, CASE WHEN event_type IN ('click', 'error') THEN 'string' END AS operation_kind FROM events""",
+)
+def _(spark, d):
+    again = log_source.parse_structured_logs(log_source.format_structured_logs(parsed(spark, d)))
+
+    def value(name, column="extra_values"):
+        return F.try_element_at(column, F.lit(name))
+
+    def kind(v):
+        return F.when(v.isNotNull(), configs.variant_kind(v))
+
+    return again.select(
+        "message",
+        F.try_variant_get(value("duration_ms"), "$", "double").alias("duration_ms"),
+        kind(value("success")).alias("success_kind"),
+        F.try_variant_get(value("success"), "$", "boolean").alias("success"),
+        kind(value("shard")).alias("shard_kind"),
+        kind(value("operation", "context_values")).alias("operation_kind"),
+    )
+
+
 PERF_SQL = """perf AS (SELECT event_id, user_id AS thread_id, 'op' || CAST(event_id % 7 AS VARCHAR) AS operation, CASE WHEN event_id % 2 = 0 THEN 'reactive' END AS cognitive_layer,
   value AS duration_ms, event_type <> 'error' AS success, event_id % 2 = 0 AS performance_metric FROM events WHERE event_type IN ('click', 'error'))"""
 

@@ -436,6 +436,16 @@ def test_log_lines(spark, tmp_path):
     assert json.loads(text) == line
 
 
+def test_log_values_keep_their_types(spark):
+    extras = {"ratio": 12.5, "code": "12.5", "ok": True, "yes": "true", "o": {"x": {"y": "1"}}, "l": [1, "1", None], "none": None, "big": 12345678901234567890, "text": '{"c":1}'}
+    lines = [{"timestamp": "2024-01-01", "message": "m", "context": {"n": 1, "o": {"a": [1, "1", True]}, "t": "1"}, **extras}, {"a": 1}, {"message": "plain"}]
+    records = logs.parse_structured_logs(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
+    assert [json.loads(r.value) for r in logs.format_structured_logs(records).collect()] == lines
+    # records made elsewhere have text alone
+    text = logs.format_structured_logs(records.drop("extra_values", "context_values")).collect()
+    assert json.loads(text[0].value)["ratio"] == "12.5"
+
+
 def test_failing_bodies(spark):
     t = spark.createDataFrame([(1, "e", 1.0), (2, "f", 2.0), (3, "f", 0.0), (4, "x", 1.0)], "task_id bigint, task_type string, v double")
 
