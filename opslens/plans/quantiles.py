@@ -1,43 +1,76 @@
 """Exact order statistics per key without sorting a key in one task.
 
-Values are first counted in cells (a fixed number per power of two, so the number of cells
-of a key does not depend on its number of rows). The cells that hold a wanted rank are then
-the only ones whose values are looked at again, counted by distinct value.
+Doubles have 64-bit numbers in their order. A wanted rank is found by descending through the leading
+bits of these numbers, ``BITS`` at a time: the rows of a key are counted by prefix, and only the prefix
+that holds the rank is looked at more closely. No window has more than ``2 ** BITS`` rows, whatever the
+number and spread of the values, and nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from opslens.session import cut_lineage
+BITS = 11
+# bits that the first pass drops; the second counts whole values
+FINE = 64 - 2 * BITS
+# size of the row filter of the second pass: 8 kB, whatever the number of keys
+FILTER_WORDS = 1024
 
-CELLS_PER_OCTAVE = 65536
-# a looked-up cell is some 300 bytes with its statistics, so this stays near 30 MB
-BROADCAST_ROWS = 100_000
 
+def value_order(column: str) -> Column:
+    """Number of a double in the order of doubles; zeros are 0, NaN comes after infinity.
 
-def value_cell(column: str) -> Column:
-    """Monotone cell number of a double column. Scaling by a power of two is exact, and an
-    exponent that is off by one next to a power of two gives the same cell."""
-    k, top = CELLS_PER_OCTAVE, 4000 * CELLS_PER_OCTAVE
-    exponent = f"floor(log2(abs({column})))"
-    fine = f"({exponent} + 1100) * {k} + floor((abs({column}) / pow(2D, double({exponent})) - 1) * {k})"
+    The logarithm only guesses the exponent, two comparisons put it right; the rest is scaling by
+    powers of two, which is exact.
+    """
+    size, guess = f"abs({column})", f"floor(log2(abs({column})))"
+    exponent = f"({guess} + int({size} >= pow(2D, {guess} + 1)) - int({size} < pow(2D, {guess})))"
+    normal = f"({exponent} + 1023) * {2**52} + bigint(({size} / pow(2D, {exponent}) - 1) * {2**52}D)"
+    # below the smallest power of two with a full mantissa, steps are even
+    small = f"bigint({size} * pow(2D, 537) * pow(2D, 537))"
     return F.expr(
-        f"CASE WHEN isnan({column}) THEN bigint({top} + 1) WHEN {column} = 0 THEN bigint(0)"
-        f" WHEN {column} = double('infinity') THEN bigint({top}) WHEN {column} = double('-infinity') THEN bigint(-{top})"
-        f" ELSE bigint(sign({column})) * bigint({fine}) END"
+        f"CASE WHEN isnan({column}) THEN bigint({2047 * 2**52 + 1}) WHEN {column} = 0 THEN bigint(0)"
+        f" WHEN {size} = double('infinity') THEN bigint(sign({column})) * bigint({2047 * 2**52})"
+        f" WHEN {size} < {2.0**-1022!r}D THEN bigint(sign({column})) * {small}"
+        f" ELSE bigint(sign({column})) * ({normal}) END"
     )
 
 
-def _meet(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on columns in which null equals null."""
-    named = right.withColumnsRenamed({c: f"{c}_of" for c in on})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in on])
-    return left.join(named, same).drop(*[f"{c}_of" for c in on])
+def _prefix(column: str, dropped: int) -> Column:
+    return F.shiftright(column, dropped)
+
+
+def _wanted(skip: str, upto: str) -> Column:
+    """The wanted ranks behind ``skip`` and up to ``upto``, counted from ``skip``."""
+    inside = f"filter(_wants, w -> w.rank > {skip} AND w.rank <= {upto})"
+    return F.expr(f"transform({inside}, w -> named_struct('_name', w._name, 'rank', w.rank - {skip}))")
+
+
+def _descend(targets: DataFrame, counted: DataFrame, outer: int, inner: int) -> DataFrame:
+    """One step: targets ``(_k, _at, _stats, _wants)`` at prefixes with ``outer`` dropped bits, to prefixes
+    with ``inner`` dropped bits. ``counted`` has ``_k, _o, _v, _n``."""
+    level = counted.groupBy("_k", _prefix("_o", inner).alias("_next")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"))
+    found = targets.drop("_lo").join(level.withColumn("_at", _prefix("_next", outer - inner)), ["_k", "_at"])
+    running = W.partitionBy("_k", "_at").orderBy("_next").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = found.withColumn("_to", F.sum("_n").over(running)).withColumn("_wants", _wanted("(_to - _n)", "_to"))
+    return found.where(F.size("_wants") > 0).select("_k", F.col("_next").alias("_at"), "_stats", "_wants", "_lo")
+
+
+def _filter(targets: DataFrame) -> Column:
+    """Bits of the hashed targets, as an array of ``FILTER_WORDS`` numbers."""
+    word, bit = _slot("_k", "_at")
+    bits = targets.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.expr("bit_or(shiftleft(bigint(1), _b))").alias("_m"))
+    words = targets.sparkSession.range(FILTER_WORDS, numPartitions=1).select(F.col("id").alias("_w"))
+    rows = words.join(bits, "_w", "left").agg(F.sort_array(F.collect_list(F.struct("_w", F.coalesce("_m", F.lit(0)).alias("_m")))).alias("_all"))
+    return rows.select(F.expr("transform(_all, x -> x._m)")).scalar()
+
+
+def _slot(*columns: str) -> tuple[Column, Column]:
+    """Word and bit of a row in the filter of the second pass."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(64 * FILTER_WORDS))
+    return F.floor(slot / 64), F.pmod(slot, F.lit(64)).cast("int")
 
 
 def order_statistics(
@@ -45,19 +78,20 @@ def order_statistics(
 ) -> DataFrame:
     """One row per key: ``n, total, low, high, m2`` (sum of squared deviations) and the value
     at every wanted 1-based rank. ``ranks`` maps output names to SQL over ``n``; ``counts`` adds
-    numbers of rows that meet a condition.
+    numbers of rows that meet a condition. Null values are left out; null keys are keys.
 
-    The first pass runs at once: its result, the few cells per key that hold a wanted rank, is
-    checkpointed. If each of them has a single value, that is all. Otherwise the values of these
-    cells are looked up with a join that is broadcast only if their counted number is small.
+    The first pass counts rows by key and 22 leading bits. Ranks whose cell has a single value are
+    found by that. For the others a second pass counts the values of their cells; which rows it
+    shuffles is decided by a filter of fixed size, so no side has to be small enough to be sent around.
     """
     keys, counts = list(keys), counts or {}
-    if not keys:
-        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, counts).drop("_all")
     marks = [F.when(c, 1).otherwise(0).alias(f"_is_{name}") for name, c in counts.items()]
-    base = df.select(*keys, value.cast("double").alias("_v"), *marks).where(F.col("_v").isNotNull())
-    base = base.withColumn("_cell", value_cell("_v"))
-    cells = base.groupBy(*keys, "_cell").agg(
+    # inside a struct null equals null, in groups and in joins
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    base = df.select(key.alias("_k"), value.cast("double").alias("_v"), *marks).where(F.col("_v").isNotNull())
+    # never null, or each step would push its own null check below the counts
+    base = base.withColumn("_o", F.coalesce(value_order("_v"), F.lit(0)))
+    cells = base.groupBy("_k", _prefix("_o", FINE).alias("_at")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_v").alias("_s"),
         F.min("_v").alias("_lo"),
@@ -65,66 +99,60 @@ def order_statistics(
         F.var_pop("_v").alias("_var"),
         *[F.sum(f"_is_{name}").alias(f"_is_{name}") for name in counts],
     )
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumns(
+    # always true: every use below needs all columns then, so all of them read one exchange
+    used = ["_s", "_lo", "_hi", "_var", *[f"_is_{name}" for name in counts]]
+    cells = cells.where(" AND ".join(f"{c} IS NOT NULL" for c in used)).withColumn("_top", _prefix("_at", BITS))
+    group = W.partitionBy("_k", "_top")
+    upto = group.orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    gap = F.col("_s") / F.col("_n") - F.sum("_s").over(group) / F.sum("_n").over(group)
+    cells = cells.withColumns({"_to": F.sum("_n").over(upto), "_m2": (F.col("_var") + gap * gap) * F.col("_n")})
+    tops = cells.groupBy("_k", "_top").agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_s", "_m2", *[f"_is_{name}" for name in counts])],
+        F.min("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+    )
+    whole = W.partitionBy("_k")
+    upto = whole.orderBy("_top").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tops = tops.withColumns(
         {
             "n": F.sum("_n").over(whole),
             "total": F.sum("_s").over(whole),
             "low": F.min("_lo").over(whole),
             "high": F.max("_hi").over(whole),
-            "_upto": F.sum("_n").over(upto),
+            "_to": F.sum("_n").over(upto),
             **{name: F.sum(f"_is_{name}").over(whole) for name in counts},
         }
     )
     gap = F.col("_s") / F.col("_n") - F.col("total") / F.col("n")
-    cells = cells.withColumn("m2", F.sum((F.col("_var") + gap * gap) * F.col("_n")).over(whole))
-    cells = cells.withColumn("_skip", F.col("_upto") - F.col("_n"))
-    stats = ["n", "total", "low", "high", "m2", *counts]
-    names = list(ranks)
+    tops = tops.withColumn("m2", F.sum(F.col("_m2") + gap * gap * F.col("_n")).over(whole))
+    stats, names = ["n", "total", "low", "high", "m2", *counts], list(ranks)
     each = ", ".join(f"named_struct('_name', '{k}', 'rank', bigint({ranks[k]}))" for k in names)
-    # the cells that hold a wanted rank: at most one row per name and key
-    targets = cells.select(
-        *keys,
-        "_cell",
-        "_lo",
-        "_hi",
-        "_skip",
-        F.struct(*stats).alias("_stats"),
-        F.expr(f"filter(array({each}), w -> w.rank > _skip AND w.rank <= _upto)").alias("_wants"),
-    ).where(F.size("_wants") > 0)
-    targets = cut_lineage(targets)
-    part = keys + ["_cell"]
-    picked = targets.where(F.col("_lo") == F.col("_hi")).select(
-        *keys, "_stats", F.expr("transform(_wants, w -> named_struct('_name', w._name, '_x', _lo))").alias("_got")
-    )
-    mixed = targets.where(~(F.col("_lo") == F.col("_hi")))
-    # one row more than the limit is enough to know
-    number = mixed.limit(BROADCAST_ROWS + 1).count()
-    if number:
-        wanted = mixed.drop("_lo", "_hi")
-        if number <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-            inside = _meet(base.select(*part, "_v"), wanted.select(*part), part)
-        else:
-            # equal values are counted before the shuffle, so a hot value is one row per task
-            inside = base
-        counted = _meet(inside.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c")), wanted, part)
-        running = W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        counted = counted.withColumn("_to", F.col("_skip") + F.sum("_c").over(running))
-        hit = "filter(_wants, w -> w.rank > _to - _c AND w.rank <= _to)"
-        found = counted.select(
-            *keys, "_stats", F.expr(f"transform({hit}, w -> named_struct('_name', w._name, '_x', _v))").alias("_got")
-        ).where(F.size("_got") > 0)
-        picked = picked.unionByName(found)
-    return (
-        picked.select(*keys, "_stats", F.inline("_got"))
-        .groupBy(*keys)
+    targets = tops.withColumn("_wants", F.expr(f"array({each})")).withColumn("_wants", _wanted("(_to - _n)", "_to"))
+    targets = targets.where(F.size("_wants") > 0).select("_k", "_top", F.struct(*stats).alias("_stats"), "_wants")
+    targets = targets.join(cells.select("_k", "_top", "_at", "_n", "_to", "_lo", "_hi"), ["_k", "_top"])
+    targets = targets.withColumn("_wants", _wanted("(_to - _n)", "_to")).where(F.size("_wants") > 0)
+    mixed = targets.where(~(F.col("_lo") == F.col("_hi"))).select("_k", "_at", "_stats", "_wants")
+    word, bit = _slot("_k", "_at")
+    near = base.select("_k", "_v", "_o", _prefix("_o", FINE).alias("_at"))
+    # the partition's number keeps the filter above the projection, where the value is computed once
+    near = near.withColumns({"_w": word.cast("int"), "_b": bit, "_bits": _filter(mixed), "_part": F.spark_partition_id()})
+    near = near.where("shiftright(_bits[_w], _b) & 1 = 1 AND _part >= 0")
+    counted = near.groupBy("_k", "_o", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    steps = list(range(FINE, 0, -BITS)) + [0]
+    for outer, inner in zip(steps, steps[1:]):
+        mixed = _descend(mixed, counted, outer, inner)
+    found = [targets.where("_lo = _hi"), mixed]
+    picked = [f.select("_k", "_stats", F.expr("inline(transform(_wants, w -> named_struct('_name', w._name, '_x', _lo)))")) for f in found]
+    out = (
+        picked[0]
+        .unionByName(picked[1])
+        .groupBy("_k")
         .agg(
-            *[F.expr(f"first(_stats.{c}) AS {c}") for c in stats],
-            *[F.expr(f"max(CASE WHEN _name = '{k}' THEN _x END) AS {k}") for k in names],
+            F.first("_stats").alias("_stats"),
+            *[F.expr(f"max(CASE WHEN _name = '{k}' THEN _x END)").alias(k) for k in names],
         )
     )
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], "_stats.*", *names)
 
 
 def exclusive_ranks(prefix: str, i: int, q: int) -> dict[str, str]:

@@ -1,7 +1,9 @@
 """Plans that must hold at scale."""
 
 import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import alerts, flow, graph, logs, metrics, stats, tasks
@@ -50,17 +52,29 @@ def test_no_pairs(spark, data):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_large_lookup_is_not_broadcast(spark, monkeypatch):
-    """Both ways of the second pass give the same values."""
+def test_order_statistics_are_lazy_and_bounded(spark, monkeypatch):
+    """No job while the result is defined, no window over more than 2,048 rows, whatever the values."""
     rng = random.Random(5)
-    rows = [(rng.randrange(40), rng.random() * 1e-3 + 1.0) for _ in range(3000)]
-    df = spark.createDataFrame(rows, "k int, value double")
-    monkeypatch.setattr(quantiles, "CELLS_PER_OCTAVE", 4)
-    small = sorted(stats.metric_summary(df, ["k"]).collect())
-    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
-    large = stats.metric_summary(df, ["k"])
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
-    assert sorted(large.collect()) == small
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([rng.randrange(10**6) / 7, 1.0 + rng.random() * 2e-13, rng.gauss(0, 10.0 ** rng.randrange(-9, 9))])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    group = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "definition")
+    summary = stats.metric_summary(df, ["k"])
+    assert list(group.getJobIdsForGroup("lazy")) == []
+    got = {r.k: r for r in summary.collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k in (None, "a", "b"):
+        values = [v for n, v in rows if n == k]
+        assert got[k]["count"] == len(values) and got[k]["median"] == statistics.median(values)
+        assert got[k].p95 == pytest.approx(statistics.quantiles(values, n=20)[18], rel=1e-12)
+    # a filter that lets nearly every row through changes nothing
+    monkeypatch.setattr(quantiles, "FILTER_WORDS", 1)
+    assert {r.k: r for r in stats.metric_summary(df, ["k"]).collect()} == got
+    number = df.select("k", quantiles.value_order("value").alias("o"))
+    for dropped in (53, 42, 31, 20, 9, 0):
+        inner = number.select("k", F.shiftright("o", dropped).alias("p")).distinct()
+        outer = [F.shiftright("p", 11 if dropped else 9)] if dropped < 53 else []
+        assert inner.groupBy("k", *outer).count().agg(F.max("count")).first()[0] <= 2048
 
 
 def test_log_stream_matches_batch(spark, data, tmp_path):

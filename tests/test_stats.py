@@ -1,11 +1,13 @@
+import math
 import random
 import statistics
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import stats
-from opslens.plans.quantiles import value_cell
+from opslens.plans.quantiles import value_order
 
 
 def samples(spark, values, name="m"):
@@ -50,14 +52,15 @@ def test_random_groups_with_one_hot_key(spark):
         assert got[name].stddev == pytest.approx(statistics.stdev(values), rel=1e-9)
 
 
-def test_cells_are_monotone(spark):
+def test_numbers_keep_the_order_of_values(spark):
     rng = random.Random(2)
-    values = sorted([rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(3000)] + [s * 2.0**e for e in range(-1022, 1023, 7) for s in (1, -1)] + [0.0])
-    near = sorted(values + [v * (1 + 1e-16) for v in values] + [v * (1 - 2e-16) for v in values])
-    rows = spark.createDataFrame([(float(v),) for v in near], "v double").withColumn("c", value_cell("v")).orderBy("v").collect()
-    cells = [r.c for r in rows]
-    assert cells == sorted(cells)
-
+    values = [rng.uniform(-1, 1) * 10 ** rng.randrange(-320, 300) for _ in range(3000)] + [s * 2.0**e for e in range(-1074, 1024) for s in (1, -1)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 1.7976931348623157e308, 5e-324, 2.2250738585072011e-308]
+    near = values + [math.nextafter(v, math.inf) for v in values] + [math.nextafter(v, -math.inf) for v in values]
+    rows = spark.createDataFrame([(float(v),) for v in near + [math.nan]], "v double").withColumn("o", value_order("v")).collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.o == (2047 * 2**52 + 1 if math.isnan(r.v) else -bits if r.v < 0 else bits), r.v
 
 def test_nearest_rank_of_hundred(spark):
     rows = [(i, "t", 100, i, f"1970-01-01 00:00:{i // 1000:02d}.{i % 1000:03d}") for i in range(100)]
