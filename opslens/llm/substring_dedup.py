@@ -9,12 +9,14 @@ so one row stands for all of its windows. Only where one anchor leads to several
 spans come back with source coordinates, are joined into maximal spans, and the words they cover
 are removed.
 
-Two sequences count as equal if two independent 64-bit hashes and their lengths agree.
+Two windows count as equal if two independent 64-bit hashes agree, two paths if their hashes (64 and 32
+bits), the hash of their least n-gram and their lengths agree.
 
 Defined results: null or empty texts and texts shorter than a window lose nothing; of equal
-documents the one with the smallest id keeps its words; a document id must be unique and not null
-(rows with a null id keep their words and are no source); extra columns are ignored; an empty
-table gives an empty result.
+documents the one with the smallest id keeps its words; ids may be of any ordered type; rows that repeat
+an id are rows of their own, told apart by a hash of their text, and never lose words to one another
+(only a smaller id is a source); rows with a null id keep their words and are no source; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,13 +74,14 @@ def _paths(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Itera
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(doc)),
+                    part.column("row").take(pa.array(doc)),
                     signed(grams[least[head]]),
                     signed(spans(lo, hi)),
-                    signed(Spans(two, 1)(lo, hi)),
+                    pa.array((Spans(two, 1)(lo, hi) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array((lo - words.first[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                 ],
-                ["doc_id", "anchor", "path", "path2", "lo", "n"],
+                ["doc_id", "row", "anchor", "path", "path2", "lo", "n"],
             )
 
 
@@ -99,45 +102,51 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(owner)),
+                    part.column("row").take(pa.array(owner)),
                     signed(Spans(words.hashes(0), 0)(at, at + window)),
                     signed(Spans(words.hashes(1), 1)(at, at + window)),
                     pa.array((at - words.first[owner]).astype(np.int32)),
                 ],
-                ["doc_id", "edge", "edge2", "lo"],
+                ["doc_id", "row", "edge", "edge2", "lo"],
             )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Covered windows as (doc_id, lo, n, source): words lo to lo + n + window - 1 recur in ``source``.
+    """Covered windows as (doc_id, row, lo, n, source): words lo to lo + n + window - 1 recur in ``source``.
 
-    ``source`` is the smallest document that holds the path or window, and is smaller than doc_id.
+    ``source`` is the smallest document that holds the path or window, and is smaller than doc_id; ``row`` is the
+    hash of the text.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    texts = _rows(docs).filter("doc_id IS NOT NULL")
     kind = texts.schema["doc_id"].dataType.simpleString()
     path = scratch_path(spark, "paths")
-    texts.mapInArrow(lambda it: _paths(it, window, anchor), f"doc_id {kind}, anchor long, path long, path2 long, lo int, n int").write.parquet(path)
+    texts.mapInArrow(lambda it: _paths(it, window, anchor), f"doc_id {kind}, row long, anchor long, path long, path2 int, lo int, n int").write.parquet(path)
     paths = spark.read.parquet(path)
     key = ["anchor", "path", "path2"]
     compact = paths.groupBy(*key).agg(F.min("doc_id").alias("source"))
     found = paths.join(compact, key)
-    whole = found.filter("source < doc_id").select("doc_id", "lo", "n", "source")
+    whole = found.filter("source < doc_id").select("doc_id", "row", "lo", "n", "source")
     # an anchor with different paths in different documents: the graph branches there
     branching = compact.groupBy("anchor").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("anchor")
     # a passage that many texts share makes hot anchors: their paths are dealt out by salt
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     own = found.filter("source = doc_id").withColumn("salt", F.pmod(F.col("path"), F.lit(SALTS)).cast("int"))
-    apart = own.join(branching.select("anchor", salts), ["anchor", "salt"], "left_semi").select("doc_id", "lo", "n")
-    listed = apart.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("paths"))
+    apart = own.join(branching.select("anchor", salts), ["anchor", "salt"], "left_semi").select("doc_id", "row", "lo", "n")
+    listed = apart.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("paths"))
     edges_path = scratch_path(spark, "edges")
     (
-        texts.join(listed, "doc_id")
-        .mapInArrow(lambda it: _edges(it, window), f"doc_id {kind}, edge long, edge2 long, lo int")
+        texts.join(listed, ["doc_id", "row"])
+        .mapInArrow(lambda it: _edges(it, window), f"doc_id {kind}, row long, edge long, edge2 long, lo int")
         .write.parquet(edges_path)
     )
     edges = spark.read.parquet(edges_path)
     least = edges.groupBy("edge", "edge2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
-    single = edges.join(least, ["edge", "edge2"]).filter("source < doc_id").select("doc_id", "lo", F.lit(1).alias("n"), "source")
+    single = edges.join(least, ["edge", "edge2"]).filter("source < doc_id").select("doc_id", "row", "lo", F.lit(1).alias("n"), "source")
     return whole.unionByName(single)
 
 
@@ -181,23 +190,25 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left in each document, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # at most one entry per window of the document itself
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    # at most one entry per window of the document itself, however often rows repeat id and text
+    listed = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
     empty = F.expr("cast(array() AS array<struct<lo: int, n: int>>)")
-    joined = docs.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("spans", F.coalesce("spans", empty))
+    joined = _rows(docs).join(listed, ["doc_id", "row"], "left").withColumn("spans", F.coalesce("spans", empty))
     return joined.mapInArrow(lambda it: _kept(it, window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def maximal_spans(spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Covered words as maximal spans (doc_id, start, end), with the smallest source among their parts."""
-    listed = spans.groupBy("doc_id").agg(
+    """Covered words as maximal spans (doc_id, start, end, source) of each row, with the smallest source among
+    their parts."""
+    kind = spans.schema["source"].dataType.simpleString()
+    listed = spans.groupBy("doc_id", "row").agg(
         F.sort_array(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"), "source"))).alias("s")
     )
     merged = F.expr(
-        "aggregate(s, cast(array() AS array<struct<lo: int, hi: int, source: bigint>>), (a, x) -> "
+        f"aggregate(s, cast(array() AS array<struct<lo: int, hi: int, source: {kind}>>), (a, x) -> "
         "CASE WHEN size(a) > 0 AND element_at(a, -1).hi >= x.lo THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).lo AS lo, "
         "greatest(element_at(a, -1).hi, x.hi) AS hi, least(element_at(a, -1).source, x.source) AS source))) "
-        "ELSE concat(a, array(struct(x.lo AS lo, x.hi AS hi, cast(x.source AS bigint) AS source))) END)"
+        "ELSE concat(a, array(struct(x.lo AS lo, x.hi AS hi, x.source AS source))) END)"
     )
     return listed.select("doc_id", F.explode(merged).alias("m")).select("doc_id", F.col("m.lo").alias("start"), F.col("m.hi").alias("end"), "m.source")
 

@@ -63,6 +63,32 @@ def test_very_long_text(spark):
     assert got[1][1] == 0 and got[2][:2] == (200_001, 200_000) and got[2][2] == b"x" and got[3][1] == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Each row loses what a smaller id holds; rows of one id take nothing from one another; ids are text."""
+    rng = random.Random(6)
+    rows = [(f"d{rng.randrange(12):02d}", " ".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for _ in range(60)]
+    rows += [rows[3], rows[3], rows[40], (rows[5][0], None), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, 1, "r") for i, t in rows], "doc_id string, text string, n int, row string").repartition(3)
+    out = q.remove_spans(docs, q.repeated_spans(docs, 6, 3), 6)
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 5):
+            if i is not None:
+                key = tuple(w[p : p + 6])
+                first[key] = min(first.get(key, i), i)
+    want = []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for p in range(len(w) - 5):
+            if i is not None and first[tuple(w[p : p + 6])] < i:
+                gone[p : p + 6] = [True] * 6
+        want.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g).encode()))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, bytes(r.kept)) for r in out.collect()) == sorted(want)
+    assert {r.source[0] for r in q.maximal_spans(q.repeated_spans(docs, 6, 3), 6).collect()} == {"d"}
+
+
 def test_empty_table_and_spans(spark):
     assert run(spark, []) == {}
     text = " ".join(f"t{i}" for i in range(60))
