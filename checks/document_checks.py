@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from opslens.operators import documents as ops
 from opslens.operators.documents import FieldRule
+from opslens.session import scratch_path
 from opslens.sources import configs, tables
 
 
@@ -131,6 +132,26 @@ def _(spark, d):
     return ops.mask_sensitive(leaves(spark, d)).select("scope", "loaded_seq", "path", "value", "value_type")
 
 
+WRITTEN_SQL = """SELECT scope, path, CASE WHEN path = 'db.password' THEN '***' ELSE value END AS value,
+  CASE WHEN path = 'db.password' THEN 'string' ELSE value_type END AS value_type FROM merged"""
+
+
+def written(spark, d, fmt):
+    path = scratch_path(spark, f"config-{fmt}")
+    configs.write_config(merged(spark, d), path, mask=True, fmt=fmt)
+    return ops.flatten(configs.read_written_config(spark, path, fmt, "scope long")).select("scope", "path", "value", "value_type")
+
+
+@check("write_config_json", "merged", WRITTEN_SQL)
+def _(spark, d):
+    return written(spark, d, "json")
+
+
+@check("write_config_parquet", "merged", WRITTEN_SQL)
+def _(spark, d):
+    return written(spark, d, "parquet")
+
+
 RULES = [
     FieldRule("name", "regex", regex_pattern="web-1"),
     FieldRule("server", "dict"),

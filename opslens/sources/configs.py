@@ -72,7 +72,32 @@ def variant_kind(v: Column) -> Column:
     )
 
 
-def write_config(leaves: DataFrame, path: str, mask: bool = False) -> None:
-    """Documents as JSON text, one folder per scope."""
-    out = mask_sensitive(leaves) if mask else leaves
-    unflatten(out).write.mode("overwrite").partitionBy("scope").text(path)
+def write_config(leaves: DataFrame, path: str, mask: bool = False, fmt: str = "text", keys: tuple[str, ...] = ("scope",)) -> None:
+    """Documents by key, replacing what is there.
+
+    ``text`` writes one folder per key, for people and for few keys; ``json`` one line per document, an object with
+    the keys and the document as ``doc``; ``parquet`` the keys and the document's text as columns.
+    """
+    docs = unflatten(mask_sensitive(leaves) if mask else leaves, keys)
+    if fmt == "text":
+        docs.write.mode("overwrite").partitionBy(*keys).text(path)
+    elif fmt == "json":
+        # the document's text goes in unchanged, so numbers stay as written
+        head = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        line = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"doc":'), F.col("doc"), F.lit("}"))
+        docs.select(line.alias("value")).write.mode("overwrite").text(path)
+    elif fmt == "parquet":
+        docs.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"no such format: {fmt}")
+
+
+def read_written_config(spark: SparkSession, path: str, fmt: str, keys: str = "scope string") -> DataFrame:
+    """Documents that ``write_config`` wrote as ``json`` or ``parquet``: the keys, typed as in ``keys``, and ``doc``."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    lines = spark.read.text(path)
+    names = F.from_json("value", keys).alias("_k")
+    # quotes inside a key's text are escaped, so the first such mark is the separator
+    doc = F.expr("substr(value, locate(',\"doc\":', value) + 7, length(value) - locate(',\"doc\":', value) - 7)")
+    return lines.select(names, doc.alias("doc")).select("_k.*", "doc")

@@ -421,6 +421,20 @@ def test_config_files(spark, tmp_path):
     assert json.loads(text) == {"db": {"password": "***", "port": 1}}
 
 
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_config_formats(spark, tmp_path, fmt):
+    """Keys with quotes and marks, numbers as written, null keys; two key columns."""
+    rows = [('a",\\"doc":{', 1, '{"x":1.50,"y":{"z":[1,"}"]}}'), (None, 2, '{"e":{},"n":null}'), ("", None, '{"t":"\\"doc\\":"}')]
+    read = spark.createDataFrame(rows, "scope string, part int, doc string")
+    leaves = docs.flatten(read)
+    configs.write_config(leaves, str(tmp_path / "out"), fmt=fmt, keys=("scope", "part"))
+    back = configs.read_written_config(spark, str(tmp_path / "out"), fmt, "scope string, part int")
+    want = {(r.scope, r.part, r.path, r.value, r.value_type) for r in leaves.collect()}
+    assert {(r.scope, r.part, r.path, r.value, r.value_type) for r in docs.flatten(back).collect()} == want and len(want) == 4
+    with pytest.raises(ValueError):
+        configs.write_config(leaves, str(tmp_path / "out"), fmt="ini")
+
+
 # ------------------------------------------------------------------ logs and codecs
 
 

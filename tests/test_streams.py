@@ -93,3 +93,28 @@ def test_delivery(spark, data):
     query.awaitTermination()
     assert errors == [("bad", "down")] and sum(seen) == 1000
     assert spark.read.parquet(f"{path}/rows").count() == 1000
+
+
+def test_a_repeated_batch_is_delivered_once(spark, data, tmp_path):
+    """The last batch is not committed, so it comes again: only the handler that failed gets it."""
+    path, calls, broken = str(tmp_path), [], [True]
+
+    def fine(df, batch_id):
+        calls.append(("fine", batch_id, df.count()))
+
+    def flaky(df, batch_id):
+        if broken[0]:
+            raise ValueError("down")
+        calls.append(("flaky", batch_id, df.count()))
+
+    stream = tables.metric(spark, tables.as_stream(data)).select("name", "seq")
+    handlers = {"fine": fine, "flaky": flaky}
+    sinks.deliver(stream, handlers, f"{path}/state").awaitTermination()
+    assert calls == [("fine", 0, 1000)]
+    assert {(r.batch_id, r.handler, r.error) for r in sinks.read_ledger(spark, f"{path}/state").collect()} == {(0, "fine", None), (0, "flaky", "down")}
+    for name in ("0", ".0.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    broken[0] = False
+    sinks.deliver(stream, handlers, f"{path}/state").awaitTermination()
+    sinks.deliver(stream, handlers, f"{path}/state").awaitTermination()
+    assert calls == [("fine", 0, 1000), ("flaky", 0, 1000)]
