@@ -1,7 +1,9 @@
 import random
+import sys
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from opslens.session import scratch_path
 from opslens.sources import tables
@@ -118,3 +120,63 @@ def test_a_repeated_batch_is_delivered_once(spark, data, tmp_path):
     sinks.deliver(stream, handlers, f"{path}/state").awaitTermination()
     sinks.deliver(stream, handlers, f"{path}/state").awaitTermination()
     assert calls == [("fine", 0, 1000), ("flaky", 0, 1000)]
+
+
+def _stream(spark, parts, schema):
+    path = scratch_path(spark, "rows")
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, "*.parquet", 1)
+
+
+def test_keys_share_state_values(spark):
+    """State values and calls of Python are as many as buckets, not keys; whole numbers beside nulls stay exact."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    big = 2**60 + 1
+    first = [(big + k, at(k % 50), k, big - k if k % 3 else None, at(k) if k % 5 else None, k / 2 if k % 2 else None) for k in range(300)]
+    first += [(None, at(9), 1, big, None, 1.0), (None, at(3), 2, None, at(1), 2.0)]
+    again = [(k, at(70), s, 0, None, 0.0) for k, _, s, *_ in first if k is not None] + [(0, at(5000), 0, 0, None, 0.0)]
+    stream = _stream(spark, [first, again], "task_id long, ts timestamp, seq long, worker long, seen timestamp, x double")
+    columns = {"worker": "bigint", "seen": "timestamp", "x": "double"}
+    out = state.in_event_time(stream, ["task_id"], state.First(columns, 10**12), "10 minutes", buckets=4)
+    path = scratch_path(spark, "shared")
+    query = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4
+    got = {r.task_id: (r.seq, r.worker, r.seen, r.x) for r in spark.read.schema(out.schema).parquet(f"{path}/rows").collect()}
+    want = {r[0]: (r[2], *r[3:]) for r in first if r[2:] != (1, big, None, 1.0)}
+    assert repr(sorted(got.items(), key=str)) == repr(sorted(want.items(), key=str)) and len(got) == 301
+
+
+def test_a_part_of_several_files_comes_at_once(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    for k in range(3):
+        spark.range(100).withColumn("part", F.lit(k)).repartition(4).write.mode("append").parquet(path)
+    seen = []
+    stream = tables._read(spark, tables.as_parts(str(tmp_path), 4), "t")
+    stream.writeStream.foreachBatch(lambda df, _: seen.append({(r.part, r["count"]) for r in df.groupBy("part").count().collect()})).option(
+        "checkpointLocation", f"{tmp_path}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{(0, 100)}, {(1, 100)}, {(2, 100)}]
+
+
+def test_a_hot_key_is_not_held_as_python_objects(spark):
+    """Rows of a key that wait are arrays; only a slice of them at a time are Python objects."""
+
+    class Probe(state.Machine):
+        outputs = "blocks bigint"
+
+        def step(self, value, row):
+            return value, [(sys.getallocatedblocks(),)] if row[1] % 1000 == 0 else []
+
+    def blocks(n):
+        rows = spark.range(n).select(F.lit("a").alias("check"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("ts"), F.col("id").alias("seq"))
+        path = scratch_path(spark, "hot")
+        rows.coalesce(1).write.parquet(path)
+        spark.createDataFrame([("b", datetime(2024, 6, 1), 1)], rows.schema).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.read_stream(spark, path, "*.parquet", 1, rows.schema)
+        got = [r.blocks for r in jobs.run_available(state.in_event_time(stream, ["check"], Probe(), "1 minute"), "hot", 1).collect()]
+        assert len(got) == n // 1000
+        return max(got)
+
+    assert blocks(200_000) - blocks(20_000) < 150_000
