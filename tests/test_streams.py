@@ -180,3 +180,10 @@ def test_a_hot_key_is_not_held_as_python_objects(spark):
         return max(got)
 
     assert blocks(200_000) - blocks(20_000) < 150_000
+
+
+def test_the_p95_of_a_warning_is_exact(spark):
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000))
+    rows = spark.range(400_000, numPartitions=4).select(F.lit(100).alias("priority7"), at.alias("ts"), (F.col("id") * 7919 % 400_000 + 1).cast("double").alias("value"))
+    got = jobs.stream_p95_trend(rows).collect()
+    assert [(r["count"], r.p95) for r in got] == [(400_000, 380_000.0)]
