@@ -229,6 +229,24 @@ def test_values_do_not_depend_on_depth(spark, levels):
     assert leaf_set(spark.sql("SELECT l.* FROM deep_docs t, LATERAL explode_leaves(t.doc) l")) == want
 
 
+@pytest.mark.parametrize("levels", [0, 6])
+def test_leaves_as_an_array_for_tables(spark, levels):
+    text = nested(NUMBERS, levels)
+    docs.register_explode_leaves(spark)
+    spark.createDataFrame([(1, text), (2, None), (3, "[1]"), (4, text)], "k int, doc string").createOrReplaceTempView("many_docs")
+    got = spark.sql("SELECT t.k, l.* FROM many_docs t LATERAL VIEW inline(explode_leaves_array(t.doc)) l")
+    want = leaf_set(flat(spark, text))
+    assert [leaf_set(got.where(f"k = {k}").drop("k")) for k in (1, 2, 3, 4)] == [want, set(), set(), want]
+
+
+def test_documents_of_one_file_are_dealt_to_all_cores(spark, data):
+    from opslens.sources import tables
+
+    assert spark.read.parquet(f"{data}/orders.parquet").rdd.getNumPartitions() == 1
+    sizes = tables.config_doc(spark, data).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism
+
+
 def test_no_object_no_rows(spark):
     odd = [None, "", "1", "[{}]", '{"a":1} x', '{"a":NaN}', '{"a":Infinity}', "{", "{}", '{"":1}', nested("1", 100_000)]
     got = flat(spark, *odd, '{"a":"\\ud800x"}').select("scope", *docs.LEAF).collect()
