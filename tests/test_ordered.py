@@ -148,3 +148,12 @@ def test_null_keys_and_times(spark):
     same(ordered.first_n(rows, ["k"], ["ts", "seq"], 3), rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3"))
     samples = rows.select(F.lit("r").alias("rule"), F.col("k").alias("series"), "ts", "seq", (F.col("v") > 1).alias("breach"), F.lit(60).cast("bigint").alias("hold_seconds"))
     assert breach_runs(samples, "3 hours").count() == len(data)
+
+
+def test_values_travel_once(spark):
+    """The value of a row is taken behind the last exchange, not carried through it beside its columns."""
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("a", 12, None), ("b", 3, "z")], "k string, seq long, value string")
+    out = ordered.previous(rows, ["k"], ["seq"], ["value"], ordered.number_chunk("seq", 10), "prev")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("CASE WHEN (_mark") < plan.index("Exchange")
+    assert sorted((r.k, r.seq, r.prev and r.prev.value) for r in out.collect()) == [("a", 1, None), ("a", 5, "x"), ("a", 12, "y"), ("b", 3, None)]
