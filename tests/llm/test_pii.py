@@ -5,7 +5,7 @@ import time
 import numpy as np
 
 from opslens.llm import pii as q
-from opslens.llm.boosting import BoostedTrees
+from opslens.llm.boosting import BoostedTrees, fit_folds
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -143,3 +143,31 @@ def test_other_columns_called_n_chars(spark):
     docs = spark.createDataFrame([(i, f"write to user{i}@mail.com now", "many", 1.5) for i in range(40)], "doc_id long, text string, n_chars string, spans double")
     out = q.redact(docs, q.train(docs)).collect()
     assert all("@" not in r.text and r.n_chars == "many" and r.spans == 1.5 for r in out)
+
+
+def test_learns_from_all_candidates(spark):
+    """Thirty spans among 60,000 candidates that are none: too few of them are in a sample of 20,000."""
+    rows = [(k, " lorem ".join(f"v{k}x{i} 999.{300 + i % 700}.{300 + k}.1" for i in range(1000))) for k in range(60)]
+    rows += [(100 + k, f"call +{10 + k % 80} 555 {1000 + 37 * k} lorem") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = q.train(docs.repartition(3))
+    assert model.thresholds[q.KINDS.index("phone")] <= 1
+    other = q.train(docs.repartition(7, "text"))
+    assert (other.trees.splits == model.trees.splits).all() and (other.trees.leaves == model.trees.leaves).all() and other.thresholds == model.thresholds
+
+
+def test_boosting_over_a_table_equals_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, size=(3000, 4)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 5)).astype(int)
+    want = BoostedTrees(rounds=12).fit(x, y)
+    got = [BoostedTrees(rounds=12, cuts=want.cuts) for _ in range(2)]
+    for trees in got:
+        trees.start(y.mean())
+    rows = [(b.tobytes(), int(label), 0, 2) for b, label in zip(want.binned(x).astype(np.uint8), y)]
+    cells = spark.createDataFrame(rows, "bins binary, y int, fold int, n long").repartition(5)
+    # no row is of fold 1, so the second model sees them all; twice each, so with half the ridge
+    got[1].ridge *= 2
+    total = fit_folds(cells, 4, got, lambda block: np.array([s.sum() for s in block["scores"]]))
+    assert (got[0].leaves == 0).all() and (got[1].splits == want.splits).all() and np.allclose(got[1].leaves, want.leaves)
+    assert np.allclose(total, [3000 * got[0].base, want.score(want.binned(x), np.full(3000, want.base), 0, 12).sum()])
