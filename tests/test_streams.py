@@ -187,3 +187,19 @@ def test_the_p95_of_a_warning_is_exact(spark):
     rows = spark.range(400_000, numPartitions=4).select(F.lit(100).alias("priority7"), at.alias("ts"), (F.col("id") * 7919 % 400_000 + 1).cast("double").alias("value"))
     got = jobs.stream_p95_trend(rows).collect()
     assert [(r["count"], r.p95) for r in got] == [(400_000, 380_000.0)]
+
+
+def test_a_join_of_streams_counts_no_state_rows(spark, tmp_path):
+    """State partitions follow the rows; settings hold for one query, and the result does not depend on them."""
+    at = lambda day: datetime(2024, 1, 1) + timedelta(days=day)
+    tasks = _stream(spark, [[(k, at(k % 50)) for k in range(300)] + [(999, at(200))]], "task_id long, created_at timestamp")
+    results = _stream(spark, [[(k, k, True, at(k % 50 + k % 40)) for k in range(0, 300, 2)] + [(999, 1, True, at(300))]], "task_id long, worker_id long, success boolean, ts timestamp")
+    name, seen = next(iter(jobs.JOIN_SETTINGS)), []
+    path = f"{tmp_path}/t.parquet"
+    spark.range(95).write.parquet(path)
+    assert jobs.state_partitions(spark, path, least=1, rows_each=10) == 10 and jobs.state_partitions(spark, path, least=1) == 1
+    for settings in (None, jobs.JOIN_SETTINGS):
+        out = jobs.run_available(jobs.join_task_result_stream(tasks, results), "join", 3, settings)
+        seen.append(sorted(map(str, out.collect())))
+        assert spark.conf.get(name, None) is None
+    assert seen[0] == seen[1] and len(seen[0]) == 300
