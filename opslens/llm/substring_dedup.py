@@ -9,8 +9,12 @@ so one row stands for all of its windows. Only where one anchor leads to several
 spans come back with source coordinates, are joined into maximal spans, and the words they cover
 are removed.
 
-Two windows count as equal if two independent 64-bit hashes agree, two paths if their hashes (64 and 32
-bits), the hash of their least n-gram and their lengths agree.
+What cannot match does not travel: paths whose anchor stands in one document only, and texts without
+branching paths or without spans, are left out of the joins by filters of bounded size (``keyset``). The
+joins behind them are exact, so what a filter lets through too much costs time only.
+
+Two windows count as equal if two independent 64-bit hashes agree, two paths if an independent hash of each
+agrees besides that of their least n-gram, 64 bits each, and their lengths.
 
 Defined results: null or empty texts and texts shorter than a window lose nothing; of equal
 documents the one with the smallest id keeps its words; ids may be of any ordered type; rows that repeat
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opslens.llm import keyset
 from opslens.llm.textnum import Spans, chunks, signed, split_words
 from opslens.session import scratch_path
 
@@ -76,12 +81,11 @@ def _paths(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Itera
                     part.column("doc_id").take(pa.array(doc)),
                     part.column("row").take(pa.array(doc)),
                     signed(grams[least[head]]),
-                    signed(spans(lo, hi)),
-                    pa.array((Spans(two, 1)(lo, hi) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    signed(Spans(two, 1)(lo, hi)),
                     pa.array((lo - words.first[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                 ],
-                ["doc_id", "row", "anchor", "path", "path2", "lo", "n"],
+                ["doc_id", "row", "anchor", "path", "lo", "n"],
             )
 
 
@@ -115,36 +119,43 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A table written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Covered windows as (doc_id, row, lo, n, source): words lo to lo + n + window - 1 recur in ``source``.
 
     ``source`` is the smallest document that holds the path or window, and is smaller than doc_id; ``row`` is the
     hash of the text.
     """
-    spark = docs.sparkSession
     texts = _rows(docs).filter("doc_id IS NOT NULL")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    path = scratch_path(spark, "paths")
-    texts.mapInArrow(lambda it: _paths(it, window, anchor), f"doc_id {kind}, row long, anchor long, path long, path2 int, lo int, n int").write.parquet(path)
-    paths = spark.read.parquet(path)
-    key = ["anchor", "path", "path2"]
-    compact = paths.groupBy(*key).agg(F.min("doc_id").alias("source"))
-    found = paths.join(compact, key)
+    paths = _written(texts.mapInArrow(lambda it: _paths(it, window, anchor), f"doc_id {kind}, row long, anchor long, path long, lo int, n int"), "paths")
+    # an anchor that one document holds neither recurs nor branches
+    several = paths.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    shared, _ = keyset.divided(paths, _written(several, "anchors"), ["anchor"])
+    key = ["anchor", "path"]
+    compact = shared.groupBy(*key).agg(F.min("doc_id").alias("source"))
+    # the hashes are only needed further on where the document is the source itself
+    hashes = [F.when(F.expr("source = doc_id"), F.col(k)).alias(k) for k in key]
+    found = _written(shared.join(compact, key).select("doc_id", "row", "lo", "n", "source", *hashes), "found")
     whole = found.filter("source < doc_id").select("doc_id", "row", "lo", "n", "source")
     # an anchor with different paths in different documents: the graph branches there
-    branching = compact.groupBy("anchor").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("anchor")
+    own = found.filter("source = doc_id")
+    branching = own.groupBy("anchor").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("anchor")
     # a passage that many texts share makes hot anchors: their paths are dealt out by salt
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    own = found.filter("source = doc_id").withColumn("salt", F.pmod(F.col("path"), F.lit(SALTS)).cast("int"))
-    apart = own.join(branching.select("anchor", salts), ["anchor", "salt"], "left_semi").select("doc_id", "row", "lo", "n")
-    listed = apart.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("paths"))
-    edges_path = scratch_path(spark, "edges")
-    (
-        texts.join(listed, ["doc_id", "row"])
-        .mapInArrow(lambda it: _edges(it, window), f"doc_id {kind}, row long, edge long, edge2 long, lo int")
-        .write.parquet(edges_path)
+    salted = own.withColumn("salt", F.pmod(F.col("path"), F.lit(SALTS)).cast("int"))
+    apart = salted.join(branching.select("anchor", salts), ["anchor", "salt"], "left_semi").select("doc_id", "row", "lo", "n")
+    listed = _written(apart.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("paths")), "listed")
+    branched, _ = keyset.divided(texts, listed, ["doc_id", "row"])
+    edges = _written(
+        branched.join(listed, ["doc_id", "row"]).mapInArrow(lambda it: _edges(it, window), f"doc_id {kind}, row long, edge long, edge2 long, lo int"), "edges"
     )
-    edges = spark.read.parquet(edges_path)
     least = edges.groupBy("edge", "edge2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
     single = edges.join(least, ["edge", "edge2"]).filter("source < doc_id").select("doc_id", "row", "lo", F.lit(1).alias("n"), "source")
     return whole.unionByName(single)
@@ -191,10 +202,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> Dat
     """(doc_id, n_words, n_removed, kept): the words left in each document, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     # at most one entry per window of the document itself, however often rows repeat id and text
-    listed = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    listed = _written(spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "spans")
     empty = F.expr("cast(array() AS array<struct<lo: int, n: int>>)")
-    joined = _rows(docs).join(listed, ["doc_id", "row"], "left").withColumn("spans", F.coalesce("spans", empty))
-    return joined.mapInArrow(lambda it: _kept(it, window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    # only texts that may have spans go to the join
+    some, none = keyset.divided(_rows(docs), listed, ["doc_id", "row"])
+    joined = some.join(listed, ["doc_id", "row"], "left").withColumn("spans", F.coalesce("spans", empty))
+    return joined.unionByName(none.withColumn("spans", empty)).mapInArrow(lambda it: _kept(it, window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def maximal_spans(spans: DataFrame, window: int = WINDOW) -> DataFrame:

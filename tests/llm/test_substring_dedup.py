@@ -1,6 +1,10 @@
 import hashlib
+import json
+import os
 import random
 import re
+import subprocess
+import sys
 
 from opslens.llm import substring_dedup as q
 
@@ -101,3 +105,42 @@ def test_digest(spark, data):
     row = q.op2_substring_dedup(spark, data).orderBy("doc_id").first()
     text = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").first().text
     assert row.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_texts_without_repeats_do_not_travel(tmp_path):
+    """What joins move follows what repeats: it stays below half the bytes of a corpus with few repeats."""
+    code = """
+import random, sys
+from pyspark.sql import SparkSession
+from opslens.llm import substring_dedup as q
+from opslens.session import configure
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[4]").config(map={
+    "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4",
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{folder}/events", "spark.eventLog.compress": "false",
+    "spark.eventLog.rolling.enabled": "false", "spark.checkpoint.dir": f"file://{folder}/shared", "spark.sql.warehouse.dir": f"{folder}/warehouse",
+}).getOrCreate()
+spark = configure(spark)
+rng = random.Random(7)
+texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(2000)]
+texts += texts[:20] + ["so " + t for t in texts[20:40]]
+spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{folder}/in/documents.parquet")
+spark.sparkContext.setLocalProperty("opslens.test", "op2")
+out = q.op2_substring_dedup(spark, f"{folder}/in").collect()
+print("bytes", sum(map(len, texts)), "removed", sum(r.n_removed for r in out), "rows", len(out))
+spark.stop()
+"""
+    (tmp_path / "events").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    said = done.stdout.split()
+    assert said, done.stderr
+    assert (int(said[3]), int(said[5])) == (40 * 400, 2040)
+    mine, moved = set(), 0
+    for line in open(next((tmp_path / "events").iterdir())):
+        event = json.loads(line)
+        if event["Event"] == "SparkListenerStageSubmitted" and event.get("Properties", {}).get("opslens.test") == "op2":
+            mine.add(event["Stage Info"]["Stage ID"])
+        if event["Event"] == "SparkListenerTaskEnd" and event["Stage ID"] in mine:
+            moved += event["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"]
+    assert 0 < moved < int(said[1]) / 2
