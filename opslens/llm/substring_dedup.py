@@ -9,9 +9,9 @@ so one row stands for all of its windows. Only where one anchor leads to several
 spans come back with source coordinates, are joined into maximal spans, and the words they cover
 are removed.
 
-What cannot match does not travel: paths whose anchor stands in one document only, and texts without
-branching paths or without spans, are left out of the joins by filters of bounded size (``keyset``). The
-joins behind them are exact, so what a filter lets through too much costs time only.
+What cannot match does not travel: paths whose anchor and single windows that stand in one document only, and
+texts without branching paths or without spans, are left out of the joins by filters of bounded size
+(``keyset``). The joins behind them are exact, so what a filter lets through too much costs time only.
 
 Two windows count as equal if two independent 64-bit hashes agree, two paths if an independent hash of each
 agrees besides that of their least n-gram, 64 bits each, and their lengths.
@@ -126,6 +126,11 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _sources(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that several documents hold, with the smallest of these as ``source``."""
+    return rows.groupBy(*key).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").drop("last")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Covered windows as (doc_id, row, lo, n, source): words lo to lo + n + window - 1 recur in ``source``.
 
@@ -136,17 +141,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     kind = texts.schema["doc_id"].dataType.simpleString()
     paths = _written(texts.mapInArrow(lambda it: _paths(it, window, anchor), f"doc_id {kind}, row long, anchor long, path long, lo int, n int"), "paths")
     # an anchor that one document holds neither recurs nor branches
-    several = paths.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    several = _sources(paths, ["anchor"]).select("anchor")
     shared, _ = keyset.divided(paths, _written(several, "anchors"), ["anchor"])
     key = ["anchor", "path"]
-    compact = shared.groupBy(*key).agg(F.min("doc_id").alias("source"))
+    # written, so that both sides of the join come straight from exchanges and Spark can split a hot path's rows
+    compact = _written(_sources(shared, key), "compact")
     # the hashes are only needed further on where the document is the source itself
     hashes = [F.when(F.expr("source = doc_id"), F.col(k)).alias(k) for k in key]
-    found = _written(shared.join(compact, key).select("doc_id", "row", "lo", "n", "source", *hashes), "found")
+    sourced = shared.join(compact, key, "left").withColumn("source", F.coalesce("source", "doc_id"))
+    found = _written(sourced.select("doc_id", "row", "lo", "n", "source", *hashes), "found")
     whole = found.filter("source < doc_id").select("doc_id", "row", "lo", "n", "source")
     # an anchor with different paths in different documents: the graph branches there
     own = found.filter("source = doc_id")
-    branching = own.groupBy("anchor").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("anchor")
+    branching = _sources(own, ["anchor"])
     # a passage that many texts share makes hot anchors: their paths are dealt out by salt
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salted = own.withColumn("salt", F.pmod(F.col("path"), F.lit(SALTS)).cast("int"))
@@ -156,8 +163,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     edges = _written(
         branched.join(listed, ["doc_id", "row"]).mapInArrow(lambda it: _edges(it, window), f"doc_id {kind}, row long, edge long, edge2 long, lo int"), "edges"
     )
-    least = edges.groupBy("edge", "edge2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
-    single = edges.join(least, ["edge", "edge2"]).filter("source < doc_id").select("doc_id", "row", "lo", F.lit(1).alias("n"), "source")
+    least = _written(_sources(edges, ["edge", "edge2"]), "least")
+    recurring, _ = keyset.divided(edges, least, ["edge", "edge2"])
+    single = recurring.join(least, ["edge", "edge2"]).filter("source < doc_id").select("doc_id", "row", "lo", F.lit(1).alias("n"), "source")
     return whole.unionByName(single)
 
 
