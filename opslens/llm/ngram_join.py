@@ -2,9 +2,12 @@
 
 Shingles have one global order, from frequent to rare: a bounded table of the most frequent ones
 (``ORDER_SIZE`` entries, counted over all documents) and, beyond it, the hash. The order is the same
-everywhere, so any table gives right results; a good one gives short candidate lists.
+everywhere, so any table gives right results; a good one gives short candidate lists. Shingles that the
+table lacks and more than ``CROWD`` sets would look at are counted and put in below it: how many shingles
+recur grows with the corpus, and groups of such shingles tie unrelated texts together.
 
-1. Equal sets become one class (set hashes), so copies are never compared.
+1. Equal sets become one class (set hashes), so copies are never compared; only texts that may stand for
+   a class by a filter of ids (``keyset``) go on.
 2. Two sets with the wanted overlap share one of their rarest shingles (for a Jaccard of 4/5, one of
    the last ``n // 5 + 1`` in the order). Spark groups classes by those shingles; only shingles that
    two classes hold go on.
@@ -28,10 +31,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.llm.components import components, smallest_member
+from opslens.llm.keyset import divided
 from opslens.llm.sampling import first_by_hash
 from opslens.llm.textnum import Spans, chunks, mix, signed, split_words
 from opslens.session import scratch_path
@@ -40,9 +45,12 @@ U64 = np.uint64
 SHINGLE = 5
 SHARE = (4, 5)  # Jaccard bound as a fraction
 ORDER_SIZE = 131_072  # shingles in the broadcast order: 16 bytes each
+LAST = -1  # the salt of rows that tell how far a set was looked at
 SALTS = 64  # a frequent shingle's group is dealt to so many tasks
 BLOCK = 256  # sets in a block, on average
 SMALL = 32  # groups up to this size are listed as pairs
+CROWD = 12  # sets that look at a shingle beyond the order before it is put in
+CROWDED = 524_288  # such shingles at most, the most crowded ones
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -89,32 +97,42 @@ class Order:
         return np.where(self.shingles[at] == hashes, self.rank[at], 0)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], k: int, least: int = 2) -> Iterator[pa.RecordBatch]:
-    """Shingles that several documents of one batch hold, with the number of those."""
+def _scan(batches: Iterator[pa.RecordBatch], k: int, least: int = 2) -> Iterator[pa.RecordBatch]:
+    """Size and hashes of each text's set; and rows with the shingles that several documents of one batch hold, with the number of those."""
     held: list[np.ndarray] = []
+    names = ["doc_id", "n", "set_id", "set2", "shingle"]
 
-    def counted() -> pa.RecordBatch:
+    def counted(kind: pa.DataType) -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return pa.RecordBatch.from_arrays([signed(values[n >= least]), pa.array(n[n >= least])], ["shingle", "n"])
+        often = n >= least
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none.cast(kind), pa.array(n[often]), none, none, signed(values[often])], names)
 
     size = 0
     for batch in batches:
+        kind = batch.schema.field("doc_id").type
         for part in chunks(batch):
-            held.append(shingle_sets(part.column("text"), k)[0])
-            size += len(held[-1])
+            hashes, offsets = shingle_sets(part.column("text"), k)
+            one, two = _set_keys(hashes, offsets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), signed(one), signed(two), pa.nulls(len(part), pa.int64())], names)
+            held.append(hashes)
+            size += len(hashes)
             if size > 2_000_000:
-                yield counted()
+                yield counted(kind)
                 size = 0
     if held:
-        yield counted()
+        yield counted(kind)
 
 
-def frequency_order(docs: DataFrame, k: int = SHINGLE, size: int = ORDER_SIZE) -> Order:
-    """The ``size`` most frequent shingles, by documents per batch that hold them, over all documents."""
-    where = scratch_path(docs.sparkSession, "shingle-counts")
-    docs.select("text").mapInArrow(lambda it: _frequent(it, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).write.parquet(where)
-    counts = docs.sparkSession.read.parquet(where)
+def frequency_order(counts: DataFrame, size: int = ORDER_SIZE) -> Order:
+    """The ``size`` most frequent shingles, by documents per batch that hold them, over all documents; ``counts`` is (shingle, n)."""
+    top = most_frequent(_saved(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts"), size)
+    return Order(top["shingle"].to_numpy(np.int64).view(U64), np.arange(len(top), 0, -1))
+
+
+def most_frequent(counts: DataFrame, size: int) -> pd.DataFrame:
+    """The ``size`` rows of (shingle, n) with the greatest counts, from the greatest on."""
     # the count that the last of them has; different counts are few, at most the root of twice their sum
     have, least = 0, 0
     for n, shingles in sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True):
@@ -124,8 +142,27 @@ def frequency_order(docs: DataFrame, k: int = SHINGLE, size: int = ORDER_SIZE) -
     # ties at that count go by the shingle, which is a hash: first_by_hash takes as many as are still wanted
     more, tied = counts.filter(F.col("n") > least), counts.filter(F.col("n") == least)
     wanted = size - more.count()
-    top = more.unionByName(first_by_hash(tied, F.col("shingle"), wanted)).orderBy(F.desc("n"), "shingle").toPandas()
-    return Order(top["shingle"].to_numpy(np.int64).view(U64), np.arange(len(top), 0, -1))
+    return more.unionByName(first_by_hash(tied, F.col("shingle"), wanted)).orderBy(F.desc("n"), "shingle").toPandas()
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The looked-at shingles of each set that the order has no rank for."""
+    for batch in batches:
+        for part in chunks(batch):
+            hashes, offsets = shingle_sets(part.column("text"), k)
+            owner, rank, place = _rarest_first(hashes, offsets, order)
+            yield pa.RecordBatch.from_arrays([signed(hashes[(rank == 0) & (place < _n_rarest(np.diff(offsets), share)[owner])])], ["shingle"])
+
+
+def refined(texts: DataFrame, order: Order, k: int = SHINGLE, share: tuple[int, int] = SHARE, size: int = CROWDED) -> Order:
+    """The order with the shingles put in, below all others, that more than ``CROWD`` sets look at and that it has no rank for.
+
+    How many shingles that many texts hold grows with the corpus, the first table does not. ``texts`` has each set once.
+    """
+    looked = texts.mapInArrow(lambda it: _crowded(it, k, order, share), "shingle long").repartition("shingle")
+    top = most_frequent(_saved(looked.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD), "crowded"), size)
+    more = top["shingle"].to_numpy(np.int64).view(U64)
+    return Order(np.append(more, order.shingles), np.append(np.arange(len(more), 0, -1), order.rank + len(more)))
 
 
 def _rarest_first(hashes: np.ndarray, offsets: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,42 +185,31 @@ def _n_rarest(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return n - -(-n * share[0] // share[1]) + 1
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Set hashes, and the last looked-at shingle's place in the order as (rank, hash)."""
-    for batch in batches:
-        for part in chunks(batch):
-            hashes, offsets = shingle_sets(part.column("text"), k)
-            n = np.diff(offsets)
-            owner, rank, place = _rarest_first(hashes, offsets, order)
-            last = np.flatnonzero(place == (_n_rarest(n, share) - 1)[owner])
-            last_rank, last_hash = np.zeros(len(n), np.int64), np.zeros(len(n), U64)
-            last_rank[owner[last]], last_hash[owner[last]] = rank[last], hashes[last]
-            one, two = _set_keys(hashes, offsets)
-            # flipping the sign bit keeps the order of unsigned values
-            columns = [part.column("doc_id"), pa.array(n), signed(one), signed(two), pa.array(last_rank), signed(last_hash ^ U64(1 << 63))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "set2", "last_rank", "last_hash"])
-
-
 def _rarest(batches: Iterator[pa.RecordBatch], k: int, order: Order, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Each set's rarest shingles, of which linked sets share at least one."""
+    """Each set's rarest shingles, of which linked sets share at least one; and, with the salt ``LAST``, the last of these in the order."""
     for batch in batches:
         for part in chunks(batch):
             hashes, offsets = shingle_sets(part.column("text"), k)
             owner, rank, place = _rarest_first(hashes, offsets, order)
-            keep = np.flatnonzero(place < _n_rarest(np.diff(offsets), share)[owner])
+            n_rarest = _n_rarest(np.diff(offsets), share)[owner]
+            keep, last = np.flatnonzero(place < n_rarest), np.flatnonzero(place == n_rarest - 1)
             sets = _set_keys(hashes, offsets)[0]
             # a frequent shingle's members are dealt out by set, all others stay together
             salt = np.where(rank[keep] > 0, (sets[owner[keep]] >> U64(32)).astype(np.int64) % SALTS, 0)
-            yield pa.RecordBatch.from_arrays(
-                [signed(hashes[keep]), pa.array(salt.astype(np.int8)), pa.array(rank[keep] > 0), signed(sets[owner[keep]])], ["shingle", "salt", "frequent", "set_id"]
-            )
+            # flipping the sign bit keeps the order of unsigned values
+            columns = [np.append(hashes[keep], hashes[last] ^ U64(1 << 63)), np.append(salt, np.full(len(last), LAST)), np.append(rank[keep], rank[last]), sets[owner[np.append(keep, last)]]]
+            yield pa.RecordBatch.from_arrays([signed(columns[0]), pa.array(columns[1].astype(np.int8)), pa.array(columns[2].astype(np.int32)), signed(columns[3])], ["shingle", "salt", "rank", "set_id"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (shingle, set_id), those whose shingle is frequent or held by two sets; no row twice."""
+    """Of rows sorted by (shingle, set_id), those whose shingle is frequent or held by two sets, no row twice; and the
+    last looked-at shingles, with their rank."""
     held = None
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "set_id", "frequent")] + [np.zeros(len(batch), bool)]
+        shingle, ids, rank, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "set_id", "rank", "salt"))
+        if (ends := salt == LAST).any():
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[ends]), pa.array(ids[ends]), pa.array(rank[ends])], ["shingle", "set_id", "last"])
+        now = [shingle[~ends], ids[~ends], rank[~ends] > 0, np.zeros(int((~ends).sum()), bool)]
         if held is not None:
             now = [np.concatenate(pair) for pair in zip(held, now)]
         if not len(now[0]):
@@ -196,7 +222,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[1:] |= same
         keep[:-1] |= same
         out = keep & ~given
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(ids[out])], ["shingle", "set_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(ids[out]), pa.nulls(int(out.sum()), pa.int32())], ["shingle", "set_id", "last"])
         # whether the last row has company shows with the next batch
         held = [shingle[-1:], ids[-1:], frequent[-1:], keep[-1:]]
 
@@ -329,29 +355,32 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] =
     """(doc_id, n_shingles, component_id): the smallest id reachable over links of Jaccard >= share."""
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    order = frequency_order(texts, k)
-    schema = f"doc_id {kind}, n long, set_id long, set2 long, last_rank long, last_hash long"
-    keys = _saved(texts.mapInArrow(lambda it: _keys(it, k, order, share), schema), "sets")
-    same = ["n", "set_id", "set2", "last_rank", "last_hash"]
+    scanned = _saved(texts.mapInArrow(lambda it: _scan(it, k), f"doc_id {kind}, n long, set_id long, set2 long, shingle long"), "sets")
+    keys = scanned.filter("shingle IS NULL").drop("shingle")
+    same = ["n", "set_id", "set2"]
     full = _saved(keys.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
 
-    posted = texts.mapInArrow(lambda it: _rarest(it, k, order, share), "shingle long, salt byte, frequent boolean, set_id long")
+    ones = divided(texts, full.select(F.col("rep").alias("doc_id")), ["doc_id"])[0]
+    order = refined(ones, frequency_order(scanned.filter("shingle IS NOT NULL").select("shingle", "n")), k, share)
+    posted = ones.mapInArrow(lambda it: _rarest(it, k, order, share), "shingle long, salt byte, rank int, set_id long")
     sorted_rows = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "set_id")
-    groups = _saved(sorted_rows.mapInArrow(_shared, "shingle long, set_id long"), "groups")
+    told = _saved(sorted_rows.mapInArrow(_shared, "shingle long, set_id long, last int"), "groups")
+    groups = told.filter("last IS NULL").select("shingle", "set_id")
+    ends = told.filter("last IS NOT NULL").select("set_id", F.struct(F.col("last").alias("rank"), "shingle").alias("last")).distinct()
 
     sized = groups.groupBy("shingle").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
     few = groups.join(sized.filter(F.col("members") <= SMALL).select("shingle"), "shingle")
     many = _saved(groups.join(sized.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle"), "large")
     pairs = few.toDF("shingle", "x").join(few.toDF("shingle", "y"), "shingle").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
-    info = full.select("set_id", "n", F.struct("last_rank", "last_hash").alias("last"))
-    told = pairs.join(info.toDF("x", "nx", "lx"), "x").join(info.toDF("y", "ny", "ly"), "y")
+    info = full.select("set_id", "n").join(ends, "set_id")
+    counted = pairs.join(info.toDF("x", "nx", "lx"), "x").join(info.toDF("y", "ny", "ly"), "y")
     num, den = share
     # both have looked at all their shingles up to the earlier of the two ends
     n_first = F.when(F.col("lx") <= F.col("ly"), F.col("nx")).otherwise(F.col("ny"))
     looked = n_first - F.ceil(n_first * num / den) + 1
     overlap = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den))
     fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    close = _saved(told.filter(fits & (looked - F.col("common") <= n_first - overlap)).select("x", "y"), "close")
+    close = _saved(counted.filter(fits & (looked - F.col("common") <= n_first - overlap)).select("x", "y"), "close")
 
     ties = close.unionByName(many.filter("set_id <> pivot").select(F.col("set_id").alias("x"), F.col("pivot").alias("y")))
     clusters = components(ties, "x", "y").toDF("set_id", "root")
@@ -364,8 +393,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: tuple[int, int] =
     by_group = stands.toDF("shingle", "bx").join(stands.toDF("shingle", "by"), "shingle").select("bx", "by")
     meet = by_pair.unionByName(by_group).select(F.least("bx", "by").alias("x"), F.greatest("bx", "by").alias("y")).distinct()
     meet = _saved(meet, "meetings")
-    members = placed.join(full.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("block", "doc_id")
-    packed = texts.mapInArrow(_pack_texts, f"doc_id {kind}, size long, packed binary")
+    members = _saved(placed.join(full.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("block", "doc_id"), "placed")
+    packed = divided(texts, members.select("doc_id"), ["doc_id"])[0].mapInArrow(_pack_texts, f"doc_id {kind}, size long, packed binary")
     carried = _saved(members.join(packed, "doc_id"), "members")
     left = meet.join(carried.withColumnRenamed("block", "x"), "x").withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise(0))
     right = meet.filter("x < y").join(carried.withColumnRenamed("block", "y"), "y").withColumn("side", F.lit(1))

@@ -85,3 +85,23 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component_id for r in c.smallest_member(c.components(spark.createDataFrame(edges, "a long, b long"))).collect()}
     assert got == {n: find(n) for e in edges for n in e if e[0] != e[1]}
+
+
+def test_shared_line_ties_nothing(spark, monkeypatch):
+    """A line that no batch holds twice is not in the table of frequent shingles; unlike texts must not meet over it."""
+    rng = random.Random(3)
+    line = [f"line{i}" for i in range(24)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(100)] + line)) for i in range(q.SMALL + 8)]
+    rows += [(i + 1000, t + " end") for i, t in rows[:3]]
+    kept, saved = {}, q._saved
+
+    def spy(df, label):
+        kept[label] = saved(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(q, "_saved", spy)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in q.near_duplicates(docs).collect()}
+    assert out == by_hand(rows)
+    assert kept["large"].count() == 0
+    assert kept["members"].count() == 6
