@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.llm import decontaminate, ngram_join, packing, pii, toxicity
+from opslens.llm.keyset import divided
 from opslens.llm.sampling import id_remainder
 from opslens.session import scratch_path
 
@@ -31,14 +32,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat an id and a text one stays. Different texts under one id share a fate: they go if
     one of them is in a component with a smaller id.
     """
-    found = ngram_join.near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
-    kept = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    path = scratch_path(spark, "near")
+    ngram_join.near_duplicates(docs).select("doc_id", "component_id").write.parquet(path)
+    near = spark.read.parquet(path)
+    goes = F.coalesce(F.col("component_id") != F.col("doc_id"), F.lit(False))
+    found = near.filter(goes).select("doc_id")
     # ids alone are counted; where none repeats, the rest is an empty join
-    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    twice = near.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    # texts go through a join only where the filters of ids leave open what becomes of them
+    open_, stays = divided(docs, found.union(twice), ["doc_id"])
+    open_ = divided(open_, near.filter(~goes).select("doc_id"), ["doc_id"])[0]
+    kept = open_.join(found, "doc_id", "left_anti").select(docs.columns)
     repeated = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
     words = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
     once = repeated.filter(words).dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeated.filter(~words)).unionByName(once)
+    single = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
+    return stays.unionByName(single).unionByName(repeated.filter(~words)).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

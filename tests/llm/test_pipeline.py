@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as p
@@ -81,3 +82,31 @@ def test_repeated_rows_of_one_id(spark):
     assert out.columns == docs.columns
     kept = [r["count"] for r in out.collect()]
     assert len(kept) == len(set(kept)) and set(kept) - {1, 2} == {3, 4, 5, 6, 7, 8, 10, 11} and len({1, 2} & set(kept)) == 1
+
+
+def _shuffled_bytes(node):
+    """Bytes that the exchanges of a finished plan were given."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled_bytes(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled_bytes(node.plan())
+    own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+    children = node.children()
+    return own + sum(_shuffled_bytes(children.apply(i)) for i in range(children.size()))
+
+
+def test_texts_stay_out_of_joins(spark):
+    """Of all texts only those whose fate the filters leave open are shuffled in the stage of near duplicates."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(1000))) for i in range(100)]
+    rows += [(100 + i, t) for i, t in rows[:5]] + [rows[50]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = p.drop_near_duplicates(spark, docs, "")
+        assert sorted(map(tuple, out.collect())) == sorted(rows[:100])
+        assert _shuffled_bytes(out._jdf.queryExecution().executedPlan()) < 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
