@@ -2,6 +2,7 @@ import random
 import sys
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,33 @@ def test_a_join_of_streams_counts_no_state_rows(spark, tmp_path):
         seen.append(sorted(map(str, out.collect())))
         assert spark.conf.get(name, None) is None
     assert seen[0] == seen[1] and len(seen[0]) == 300
+
+
+@pytest.mark.parametrize("gap", [0, 1, 30])
+def test_a_throttle_of_arrays_equals_that_of_rows(gap):
+    rng = random.Random(7)
+    machine = state.Throttle(gap)
+    for _ in range(200):
+        rows = sorted((rng.randrange(300), i) for i in range(rng.randrange(1, 80)))
+        start = (None,) if rng.random() < 0.3 else (rng.randrange(-40, rows[0][0] + 1),)
+        after, out = state.replay(machine, start, rows, rows[-1][0] - 1)
+        at, seq = (np.array(c, np.int64) for c in zip(*rows))
+        got, columns = machine.replay_all(start, at, seq)
+        assert list(zip(*(c.tolist() for c in columns))) == out
+        # a run is only remembered while the gap lasts, which the state of rows may already have forgotten
+        assert got == after or (after == machine.start and got[0] + gap < rows[-1][0])
+
+
+def test_hot_checks_of_a_throttle_are_replayed_as_arrays(spark):
+    class ByArrays(state.Throttle):
+        def step(self, state, row):
+            # the single row that moves the watermark on
+            assert row[1] == -1, "one by one"
+            return state, []
+
+    rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=7 * i), i) for k in ("a", "b", None) for i in range(500)]
+    stream = _stream(spark, [rows, [("z", datetime(2024, 1, 2), -1)]], "check string, ts timestamp, seq long")
+    out = state.in_event_time(stream, ["check"], ByArrays(60_000_000), "0 seconds")
+    got = jobs.run_available(out, "arrays", 2, state.HOT_SETTINGS).collect()
+    # nine steps of seven seconds are the first beyond a minute
+    assert sorted((r["check"] or "", r.seq, r.kept) for r in got) == sorted((k, i, i % 9 == 0) for k in ("", "a", "b") for i in range(500))
